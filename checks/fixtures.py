@@ -14,7 +14,7 @@ from parlance import constants as C
 from parlance.functions.text import truncate_last_terminator
 from parlance.operators.documents import vector_documents
 from parlance.operators.keyed import lookup_join, number_within
-from parlance.operators.labelling import rule_labels, validate_labels
+from parlance.operators.labelling import label_texts, validate_labels
 from parlance.operators.rollups import agent_rollup, conversation_rollup
 from parlance.operators.topics import Topics
 from parlance.sources.taxonomy import taxonomy_tables
@@ -173,7 +173,7 @@ def event_labels(spark: SparkSession, sf: str) -> DataFrame:
     seen = event_turns(spark, sf).where(
         "text_clean LIKE 'purchase %' OR text_clean LIKE 'error %'"
     ).select("text_clean", "role").distinct()
-    accepted, _ = validate_labels(rule_labels(seen), LABELLED_AT)
+    accepted, _ = validate_labels(label_texts(seen), LABELLED_AT)
     return accepted
 
 

@@ -22,6 +22,7 @@ from parlance.operators import (
     vectors,
 )
 from parlance.plans import questions
+from parlance.schema import LABELS
 from parlance.sources import storage
 from parlance.sources.turns import read_turns_csv, upsert_turns
 
@@ -319,10 +320,10 @@ def upsert_labels(spark, sf):
 
 @query
 def propagate_labels(spark, sf):
-    labelled = labelling.propagate_labels(
-        fx.unlabelled_event_turns(spark, sf), labelling.upsert_labels(
-            fx.event_labels(spark, sf), fx.event_labels(spark, sf))
-    )
+    none = spark.createDataFrame([], LABELS)
+    labels = storage.materialize(
+        labelling.upsert_labels(none, fx.event_labels(spark, sf)), fx.scratch(spark, "labels"))
+    labelled = labelling.propagate_labels(fx.unlabelled_event_turns(spark, sf), labels)
     return plain(labelled.select(
         "conv_id", "turn_index", "text_clean", "sentiment_label", "sentiment_score", "intent",
         "empathy_signal", "is_escalation", "contains_pii", "language", "text_clean_en",
@@ -442,7 +443,8 @@ def semantic_search_documents(spark, sf):
     """Search of the chat documents for each agent's own words, with excerpts."""
     docs = fx.chat_documents(spark, sf)
     model = vectors.fit_embedder(docs)
-    stored = vectors.embed_documents(docs, model)
+    stored = storage.write_vectors(
+        vectors.embed_documents(docs, model), fx.scratch(spark, "vectors"))
     asked = fx.chat_turns(spark, sf).where("turn_index <= 1 AND role = 'customer'").groupBy(
         F.col("intent").alias("query_id")).agg(F.min("text_clean").alias("document"))
     hits = vectors.semantic_topk(

@@ -1,8 +1,7 @@
 """Cleaning of turn text against a lexicon of known words.
 
-Texts repeat, so every text is tokenised once. Gibberish is decided per distinct
-word; only positions of gibberish words are gathered per text, and only texts
-that lose a word are rebuilt and joined back.
+Texts repeat, so every text is tokenised once. Only positions of gibberish words
+are gathered per text, and only texts that lose a word are rebuilt and joined back.
 """
 
 from collections.abc import Sequence
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parlance import constants as C
 from parlance.functions.text import tidy_spaces, truncate_last_terminator
-from parlance.operators.keyed import lookup_join
+from parlance.operators.keyed import fits_broadcast, lookup_join, settle
 
 _PIECE_PATTERN = f"({C.WORD_PATTERN}|[^A-Za-z]+)"
 
@@ -31,34 +30,34 @@ def _words(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     )
 
 
-def _gibberish_words(
-    words: DataFrame,
-    lexicon: DataFrame,
-    allow: DataFrame | Sequence[str],
-    threshold: float,
+def _known_words(
+    lexicon: DataFrame, allow: DataFrame | Sequence[str], threshold: float
 ) -> DataFrame:
-    """Distinct words that are unknown, rare in every language and not allowed.
+    """Words that are frequent enough in some language, or allowed.
 
     `lexicon` has `token, zipf`, one row per token and language.
     """
-    known = lexicon.where(F.col("zipf") >= threshold).select(F.lower("token").alias("word"))
-    rare = (
-        words.where(~F.col("token").rlike(C.NUMERIC_TOKEN_PATTERN))
-        .select("word").distinct()
-        .join(known, "word", "left_anti")
-    )
-    if isinstance(allow, DataFrame):
-        return rare.join(allow.select(F.lower("token").alias("word")), "word", "left_anti")
-    return rare.where(~F.col("word").isin(*allow)) if allow else rare
+    frequent = lexicon.where(F.col("zipf") >= threshold).select(F.lower("token").alias("word"))
+    if not isinstance(allow, DataFrame):
+        allow = lexicon.sparkSession.createDataFrame([(w,) for w in allow], "token string")
+    return frequent.union(allow.select(F.lower("token"))).distinct()
 
 
 def _gibberish_rows(
     df: DataFrame, keys: Sequence[str], text: str, lexicon: DataFrame,
     allow: DataFrame | Sequence[str], threshold: float,
 ) -> DataFrame:
-    words = _words(df, keys, text)
-    bad = _gibberish_words(words, lexicon, allow, threshold)
-    return lookup_join(words, bad, ["word"], "left_semi", spread=[*keys, "pos"])
+    """Word tokens that are not known words.
+
+    A lexicon measured to be small is broadcast, and no token is shuffled. A
+    larger one is compared with the distinct words, and hot words are salted.
+    """
+    words = _words(df, keys, text).where(~F.col("token").rlike(C.NUMERIC_TOKEN_PATTERN))
+    known = settle(_known_words(lexicon, allow, threshold))
+    if fits_broadcast(known):
+        return words.join(F.broadcast(known), "word", "left_anti")
+    unknown = words.select("word").distinct().join(known, "word", "left_anti")
+    return lookup_join(words, unknown, ["word"], "left_semi", spread=[*keys, "pos"])
 
 
 def gibberish_tokens(
@@ -108,13 +107,13 @@ def strip_gibberish(
     rebuilt = F.array_join(
         F.transform(kept, lambda pos: F.get(F.col("_pieces"), pos)), ""
     )
-    changed = (
+    changed = settle(
         _with_positions(df, text, lexicon, allow, threshold)
         .withColumn("_pieces", _pieces(F.col(text)))
         .select(text, tidy_spaces(rebuilt).alias("_rebuilt"))
     )
     return (
-        lookup_join(df, changed, [text], "left")
+        lookup_join(df, changed, [text], "left", measure=True)
         .withColumn(into, F.coalesce("_rebuilt", tidy_spaces(F.col(text))))
         .drop("_rebuilt")
     )
@@ -129,14 +128,14 @@ def gibberish_ratio(
     into: str = "gibberish_ratio",
 ) -> DataFrame:
     """Add the share of word tokens that are gibberish; 0.0 without words."""
-    found = (
+    found = settle(
         _with_positions(df, text, lexicon, allow, threshold)
         .select(text, F.size("_positions").alias("_bad"))
     )
     n_words = F.regexp_count(F.col(text), F.lit(C.WORD_PATTERN))
     ratio = F.try_divide(F.col("_bad").cast("double"), n_words.cast("double"))
     return (
-        lookup_join(df, found, [text], "left")
+        lookup_join(df, found, [text], "left", measure=True)
         .withColumn(into, F.coalesce(ratio, F.lit(0.0)))
         .drop("_bad")
     )

@@ -4,15 +4,47 @@ A key (a text, a conversation, a session) may hold a large share of all rows.
 Nothing here sends all rows of a key to one task.
 """
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.schema import TURN_BLOCK
 
 SALTS = 8
 
+# A table is broadcast only if it was measured to be within both bounds.
+BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 128 * 1024 * 1024
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a table once and cut its lineage, in the cluster's checkpoint folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="run-"))
+    return df.checkpoint()
+
+
+def fits_broadcast(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> bool:
+    """Measure a table that is stored or settled: is it small enough to broadcast?"""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    lists = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    width = F.lit(8 * len(df.columns))
+    for name in texts:
+        width = width + F.coalesce(F.octet_length(name), F.lit(0))
+    for name in lists:
+        width = width + 8 * F.coalesce(F.size(name), F.lit(0))
+    size = df.limit(max_rows + 1).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")
+    ).first()
+    return size["n"] <= max_rows and size["bytes"] <= max_bytes
+
 
 def lookup_join(
     facts: DataFrame,
@@ -21,15 +53,18 @@ def lookup_join(
     how: str = "left",
     spread: Sequence[str] | None = None,
     salts: int = SALTS,
+    measure: bool = False,
 ) -> DataFrame:
-    """Join facts to a lookup that has one row per key, with the keys salted.
+    """Join facts to a lookup that has one row per key, safe for hot keys.
 
-    The rows of a key are spread over `salts` shuffle keys by a hash of the
-    `spread` columns (stable under task retries), and the lookup is repeated
-    once per salt. There is no broadcast hint: Spark broadcasts the lookup only
-    when its measured size is under spark.sql.autoBroadcastJoinThreshold.
+    With `measure`, a stored or settled lookup that is small is broadcast, and
+    the facts are not shuffled. Otherwise the keys are salted: the rows of a key
+    are spread over `salts` shuffle keys by a hash of the `spread` columns
+    (stable under task retries), and the lookup is repeated once per salt.
     """
     on = list(on)
+    if measure and fits_broadcast(lookup):
+        return facts.join(F.broadcast(lookup), on, how)
     spread = list(spread or [c for c in facts.columns if c not in on] or on)
     salted = facts.withColumn(
         "_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")

@@ -96,7 +96,12 @@ def label_texts(
     it twice, or the labeller runs twice.
     """
     if labeller is None:
-        return rule_labels(pending)
+        # max() keeps a filter on the labels from being moved below the grouping,
+        # where the rules would run once per turn and not once per text.
+        once = pending.groupBy(F.col("text_clean").alias("_text"), "role").agg(
+            F.max("text_clean").alias("text_clean")
+        )
+        return rule_labels(once.select("text_clean", "role"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -187,14 +192,17 @@ def upsert_labels(labels: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def propagate_labels(turns: DataFrame, labels: DataFrame) -> DataFrame:
-    """Copy a text's labels onto every turn that holds it; other turns keep theirs."""
+    """Copy a text's labels onto every turn that holds it; other turns keep theirs.
+
+    `labels` should be a stored table: its size decides how it is joined.
+    """
     found = labels.select(
         "text_clean",
         F.lit(True).alias("_found"),
         *[F.col(c).alias(f"_{c}") for c in LABEL_COLUMNS],
     )
     joined = lookup_join(
-        turns, found, ["text_clean"], "left", spread=["conv_id", "turn_index"]
+        turns, found, ["text_clean"], "left", spread=["conv_id", "turn_index"], measure=True
     )
     new = {
         c: F.when(F.col("_found"), F.col(f"_{c}")).otherwise(F.col(c))
