@@ -425,7 +425,7 @@ FROM eval_scored GROUP BY status""",
     "truncate_last_terminator": f"SELECT doc_id, {cut('text')} AS text_clean, '' AS none_found"
     " FROM documents",
     "gibberish_tokens": f"""
-SELECT doc_id, piece AS token, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos
+SELECT doc_id, piece AS token, count(*) AS n, min(pos // 2) AS first_pos, max(pos // 2) AS last_pos
 FROM ({pieces_sql('documents', 'doc_id', C.ZIPF_THRESHOLD)}) WHERE bad GROUP BY ALL""",
     "strip_gibberish": f"""
 SELECT doc_id, {tidy('kept')} AS stripped FROM (

@@ -65,9 +65,8 @@ DOMAIN_ALLOWLIST = (
 # A word below this Zipf frequency counts as gibberish.
 ZIPF_THRESHOLD = 1.0
 
-# What a word token is, and the number-like tokens that are kept.
+# What a word token is.
 WORD_PATTERN = r"[A-Za-z][A-Za-z'’/-]*"
-NUMERIC_TOKEN_PATTERN = r"^[0-9]+[A-Za-z]*$"
 
 # Opener templates (id, pattern with the slot as group 1), first match wins.
 SLOT_TEMPLATES = (

@@ -13,20 +13,39 @@ from parlance import constants as C
 from parlance.functions.text import tidy_spaces, truncate_last_terminator
 from parlance.operators.keyed import fits_broadcast, lookup_join, settle
 
-_PIECE_PATTERN = f"({C.WORD_PATTERN}|[^A-Za-z]+)"
+def _words(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """One row per word token: keys, pos (0 for the first word), token, word.
 
+    A word token starts with a letter, so the numbers that count as known are
+    never among them.
+    """
+    tokens = F.regexp_extract_all(F.col(text), F.lit(f"({C.WORD_PATTERN})"), F.lit(1))
+    return df.select(*keys, F.posexplode(tokens).alias("pos", "token")).withColumn(
+        "word", F.lower("token")
+    )
 
-def _pieces(text: Column) -> Column:
-    """A text cut into word tokens and the stretches between them."""
-    return F.regexp_extract_all(text, F.lit(_PIECE_PATTERN), F.lit(1))
 
+def _without_words(df: DataFrame, text: str, positions: str, into: str) -> DataFrame:
+    """Add a text without some of its word tokens.
 
-def _words(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """One row per word token: keys, position among the pieces, token, word."""
+    Words and the stretches between them take turns, so the n-th word is piece
+    2n, or 2n + 1 if the text does not start with a letter. The pieces are a
+    column of their own, so that they are cut once and not per element.
+    """
+    pieces = F.regexp_extract_all(
+        F.col(text), F.lit(f"({C.WORD_PATTERN}|[^A-Za-z]+)"), F.lit(1)
+    )
+    first = F.when(F.col(text).rlike("^[A-Za-z]"), F.lit(0)).otherwise(F.lit(1))
+    dropped = F.transform(positions, lambda n: n * 2 + F.col("_first"))
+    every = F.sequence(F.lit(0), F.size("_pieces") - 1)
     return (
-        df.select(*keys, F.posexplode(_pieces(F.col(text))).alias("pos", "token"))
-        .where(F.col("token").rlike("^[A-Za-z]"))
-        .withColumn("word", F.lower("token"))
+        df.withColumns({"_pieces": pieces, "_first": first})
+        .withColumn("_kept", F.array_except(every, dropped))
+        .withColumn(
+            into,
+            F.array_join(F.transform("_kept", lambda n: F.get(F.col("_pieces"), n)), ""),
+        )
+        .drop("_pieces", "_first", "_kept")
     )
 
 
@@ -52,7 +71,7 @@ def _gibberish_rows(
     A lexicon measured to be small is broadcast, and no token is shuffled. A
     larger one is compared with the distinct words, and hot words are salted.
     """
-    words = _words(df, keys, text).where(~F.col("token").rlike(C.NUMERIC_TOKEN_PATTERN))
+    words = _words(df, keys, text)
     known = settle(_known_words(lexicon, allow, threshold))
     if fits_broadcast(known):
         return words.join(F.broadcast(known), "word", "left_anti")
@@ -68,7 +87,7 @@ def gibberish_tokens(
     allow: DataFrame | Sequence[str] = C.DOMAIN_ALLOWLIST,
     threshold: float = C.ZIPF_THRESHOLD,
 ) -> DataFrame:
-    """Gibberish word tokens of each row: keys, pos (among the text's pieces), token."""
+    """Gibberish word tokens of each row: keys, pos (among the text's words), token."""
     rows = _gibberish_rows(df, keys, text, lexicon, allow, threshold)
     return rows.select(*keys, "pos", "token")
 
@@ -101,16 +120,10 @@ def strip_gibberish(
     into: str = "stripped",
 ) -> DataFrame:
     """Add the text without its gibberish words, white space tidied."""
-    kept = F.array_except(
-        F.sequence(F.lit(0), F.size("_pieces") - 1), F.col("_positions")
-    )
-    rebuilt = F.array_join(
-        F.transform(kept, lambda pos: F.get(F.col("_pieces"), pos)), ""
-    )
+    found = _with_positions(df, text, lexicon, allow, threshold)
     changed = settle(
-        _with_positions(df, text, lexicon, allow, threshold)
-        .withColumn("_pieces", _pieces(F.col(text)))
-        .select(text, tidy_spaces(rebuilt).alias("_rebuilt"))
+        _without_words(found, text, "_positions", "_rebuilt")
+        .select(text, tidy_spaces(F.col("_rebuilt")).alias("_rebuilt"))
     )
     return (
         lookup_join(df, changed, [text], "left", measure=True)
