@@ -161,11 +161,8 @@ def lexicon(spark: SparkSession, sf: str) -> DataFrame:
     words = table(spark, sf, "benchmark").select(
         F.explode(F.regexp_extract_all("text", F.lit(f"({C.WORD_PATTERN})"), F.lit(1))).alias("w")
     ).groupBy(F.lower("w").alias("token")).agg(F.count("*").alias("n"))
-    total = words.agg(F.sum("n").alias("total"), F.lit(1).alias("one"))
-    return (
-        words.withColumn("one", F.lit(1)).join(F.broadcast(total), "one")
-        .select("token", F.expr("round(log10(n * 1e9D / total), 2)").alias("zipf"))
-    )
+    total = words.agg(F.sum("n")).first()[0] or 1
+    return words.select("token", F.expr(f"round(log10(n * 1e9D / {total}), 2)").alias("zipf"))
 
 
 def event_labels(spark: SparkSession, sf: str) -> DataFrame:

@@ -46,8 +46,8 @@ def redact(text: str) -> str:
     return f"regexp_replace({done}, 'x(\\pL)x', '\\1', 'g')"
 
 
-def six(expr: str) -> str:
-    return f"round({expr}, 6) + 0.0"
+def nine(expr: str) -> str:
+    return f"round({expr}, 9) + 0.0"
 
 
 def stamp(expr: str) -> str:
@@ -335,23 +335,23 @@ GROUP BY query_id""",
 CONVERSATION_ROW = f"""
 SELECT conv_id, customer_name, agent_name, {stamp('start_ts')} AS start_ts,
   {stamp('end_ts')} AS end_ts, turn_count, topic,
-  {six('customer_sentiment_overall')} AS customer_sentiment_overall,
+  {nine('customer_sentiment_overall')} AS customer_sentiment_overall,
   coalesce(array_to_string(list_transform(scores, lambda x: round(x * 1000)::BIGINT), ','), '')
     AS sentiment_trajectory,
-  resolution_flag, escalation_flag, {six('agent_empathy_mean')} AS agent_empathy_mean,
+  resolution_flag, escalation_flag, {nine('agent_empathy_mean')} AS agent_empathy_mean,
   contains_pii_any
 FROM """
 LIST_ROW = f"""
 SELECT conv_id, customer_name, agent_name, {stamp('start_ts')} AS start_ts,
   {stamp('end_ts')} AS end_ts, turn_count, topic,
-  {six('customer_sentiment_overall')} AS customer_sentiment_overall, resolution_flag,
-  escalation_flag, {six('agent_empathy_mean')} AS agent_empathy_mean
+  {nine('customer_sentiment_overall')} AS customer_sentiment_overall, resolution_flag,
+  escalation_flag, {nine('agent_empathy_mean')} AS agent_empathy_mean
 FROM """
 AGENT_ROW = f"""
 SELECT agent_name, conv_count::BIGINT AS conv_count,
-  {six('avg_customer_sentiment')} AS avg_customer_sentiment,
-  {six('empathy_mean')} AS empathy_mean, {six('resolution_rate')} AS resolution_rate,
-  {six('escalation_rate')} AS escalation_rate, top_topics
+  {nine('avg_customer_sentiment')} AS avg_customer_sentiment,
+  {nine('empathy_mean')} AS empathy_mean, {nine('resolution_rate')} AS resolution_rate,
+  {nine('escalation_rate')} AS escalation_rate, top_topics
 FROM """
 ARC = "array_to_string(list_transform(scores, lambda x: round(x * 1000)::BIGINT), ',')"
 
@@ -373,10 +373,10 @@ LEFT JOIN lexicon ON lower(piece) = token"""
 def metrics(*names: str) -> str:
     known = {
         "count": "count(*)",
-        "avg_sentiment": six("avg(customer_sentiment_overall)"),
-        "avg_empathy": six("avg(agent_empathy_mean)"),
-        "escalation_rate": six("avg(escalation_flag)"),
-        "resolution_rate": six("avg(resolution_flag)"),
+        "avg_sentiment": nine("avg(customer_sentiment_overall)"),
+        "avg_empathy": nine("avg(agent_empathy_mean)"),
+        "escalation_rate": nine("avg(escalation_flag)"),
+        "resolution_rate": nine("avg(resolution_flag)"),
     }
     return ", ".join(f'{known[n]} AS "{n}"' for n in names)
 
@@ -385,7 +385,7 @@ def topk_sql(k: int, where: str, columns: str) -> str:
     return f"""
 SELECT query_id::BIGINT AS query_id,
   row_number() OVER (PARTITION BY query_id ORDER BY s DESC, conv_id) AS rank, conv_id,
-  {six('s')} AS similarity{columns}
+  {nine('s')} AS similarity{columns}
 FROM (SELECT *, round(list_cosine_similarity(embedding, query), 9) AS s
       FROM vector_docs, vector_queries WHERE {where})
 QUALIFY rank <= {k}"""
@@ -432,7 +432,7 @@ SELECT doc_id, {tidy('kept')} AS stripped FROM (
   SELECT doc_id, coalesce(string_agg(piece, '' ORDER BY pos) FILTER (NOT bad), '') AS kept
   FROM ({pieces_sql('documents', 'doc_id', C.ZIPF_THRESHOLD)}) GROUP BY doc_id)""",
     "gibberish_ratio": f"""
-SELECT doc_id, {six('coalesce(avg(bad::BIGINT) FILTER (is_word), 0.0)')} AS gibberish_ratio
+SELECT doc_id, {nine('coalesce(avg(bad::BIGINT) FILTER (is_word), 0.0)')} AS gibberish_ratio
 FROM ({pieces_sql('documents', 'doc_id', 5.5)}) GROUP BY doc_id""",
     "clean_turns": f"""
 SELECT conv_id, turn_index, {tidy('kept')} AS text_clean FROM (
@@ -474,7 +474,7 @@ SELECT doc_id, array_to_string(string_split(
 FROM documents""",
     "pending_texts": "SELECT text_clean, role FROM pending",
     "label_texts": "SELECT * REPLACE (md5(text_clean) AS text_clean,"
-    f" {six('sentiment_score')} AS sentiment_score) FROM ({rule_sql('document_pairs')})",
+    f" {nine('sentiment_score')} AS sentiment_score) FROM ({rule_sql('document_pairs')})",
     "label_texts_by_function": "SELECT role, 'neu' AS sentiment_label, count(*) AS n"
     " FROM pending GROUP BY role",
     "validate_labels": "SELECT * FROM accepted",
@@ -520,7 +520,7 @@ GROUP BY conv_id""",
 SELECT conv_id, coalesce(agent_name, '') AS agent_name,
   coalesce(customer_name, '') AS customer_name, turn_count, {stamp('start_ts')} AS start_ts,
   {stamp('end_ts')} AS end_ts, topic,
-  {six('coalesce(customer_sentiment_overall, 0)')} AS customer_sentiment_overall,
+  {nine('coalesce(customer_sentiment_overall, 0)')} AS customer_sentiment_overall,
   escalation_flag, language
 FROM chat_convs JOIN (
   SELECT conv_id, CASE WHEN count(*) = 1 THEN min(language) ELSE 'mixed' END AS language FROM (
@@ -529,7 +529,7 @@ FROM chat_convs JOIN (
     "document_metadata_from_turns": f"""
 SELECT conv_id, coalesce(agent_name, '') AS agent_name, '' AS customer_name, turn_count,
   {stamp('start_ts')} AS start_ts, {stamp('end_ts')} AS end_ts, 'unknown' AS topic,
-  {six('coalesce(customer_sentiment_overall, 0)')} AS customer_sentiment_overall,
+  {nine('coalesce(customer_sentiment_overall, 0)')} AS customer_sentiment_overall,
   escalation_flag, language
 FROM event_folded JOIN (
   SELECT conv_id, CASE WHEN count(*) = 1 THEN min(language) ELSE 'mixed' END AS language FROM (
@@ -537,7 +537,7 @@ FROM event_folded JOIN (
     QUALIFY n = max(n) OVER (PARTITION BY conv_id)) GROUP BY conv_id) USING (conv_id)""",
     "vector_documents": f"""
 SELECT conv_id, 0::BIGINT AS part, n_chars, topic, language,
-  {six('coalesce(customer_sentiment_overall, 0)')} AS customer_sentiment_overall
+  {nine('coalesce(customer_sentiment_overall, 0)')} AS customer_sentiment_overall
 FROM chat_convs JOIN (
   SELECT conv_id, CASE WHEN count(*) = 1 THEN min(language) ELSE 'mixed' END AS language FROM (
     SELECT conv_id, language, count(*) AS n FROM chat GROUP BY conv_id, language
@@ -550,7 +550,7 @@ JOIN (SELECT conv_id, sum(length(role) + 3 + length(text_clean))::BIGINT + count
         ", topic"),
     "filter_conversations": f"""
 SELECT conv_id, {stamp('start_ts')} AS start_ts, topic,
-  {six('customer_sentiment_overall')} AS customer_sentiment_overall
+  {nine('customer_sentiment_overall')} AS customer_sentiment_overall
 FROM chat_convs
 WHERE start_ts >= TIMESTAMP '2025-08-15' AND start_ts <= TIMESTAMP '2025-11-30 23:59:59'
   AND customer_sentiment_overall >= -0.6 AND customer_sentiment_overall <= 0.4
@@ -582,18 +582,18 @@ GROUP BY language ORDER BY "count" DESC, group_key LIMIT 10""",
     " ORDER BY chat_agents.resolution_rate DESC NULLS LAST, agent_name LIMIT 15)",
     "conversation_trajectory": f"""
 SELECT conv_id, 0::BIGINT AS part, topic,
-  {six('customer_sentiment_overall')} AS customer_sentiment_overall, resolution_flag,
+  {nine('customer_sentiment_overall')} AS customer_sentiment_overall, resolution_flag,
   escalation_flag, coalesce({ARC}, '') AS customer_arc, turn_index, role, sentiment_label,
-  {six('sentiment_score')} AS sentiment_score, intent, empathy_signal, text_clean
+  {nine('sentiment_score')} AS sentiment_score, intent, empathy_signal, text_clean
 FROM chat JOIN (SELECT conv_id, topic, customer_sentiment_overall, resolution_flag,
   escalation_flag, scores FROM chat_convs) USING (conv_id)""",
     "conversation_transcript": f"""
 SELECT conv_id, 0::BIGINT AS part, h.customer_name, h.agent_name, {stamp('start_ts')} AS start_ts,
   {stamp('end_ts')} AS end_ts, topic,
-  {six('customer_sentiment_overall')} AS customer_sentiment_overall, resolution_flag,
+  {nine('customer_sentiment_overall')} AS customer_sentiment_overall, resolution_flag,
   escalation_flag, turn_index, role, {stamp('"timestamp"')} AS "timestamp", text_clean,
   NULL::VARCHAR AS text_clean_en, language, sentiment_label,
-  {six('sentiment_score')} AS sentiment_score, intent, empathy_signal, is_escalation, contains_pii
+  {nine('sentiment_score')} AS sentiment_score, intent, empathy_signal, is_escalation, contains_pii
 FROM chat t JOIN chat_convs h USING (conv_id)""",
     "conversation_transcript_translated": """
 SELECT conv_id, h.agent_name, turn_index, text_clean, text_clean_en, language
@@ -620,7 +620,7 @@ GROUP BY topic ORDER BY escalation_rate DESC, group_key LIMIT 1""",
     "resolved_vs_unresolved": 'SELECT resolution_flag, count(*) AS "count" FROM event_convs'
     " GROUP BY resolution_flag",
     "low_empathy_agents_with_quote": f"""
-SELECT agent_name, conv_count, {six('empathy_mean')} AS empathy_mean,
+SELECT agent_name, conv_count, {nine('empathy_mean')} AS empathy_mean,
   conv_id AS quote_conv_id, turn_index AS quote_turn_index, text_clean AS quote
 FROM (SELECT * FROM chat_agents WHERE conv_count >= 2
       ORDER BY chat_agents.empathy_mean ASC NULLS FIRST, agent_name LIMIT 10)
@@ -633,7 +633,7 @@ LEFT JOIN (
     "compare_agents": AGENT_ROW + "chat_agents WHERE agent_name IN ('Agent007', 'Agent014')",
     "sentiment_arc": f"""
 SELECT conv_id, 0::BIGINT AS part, topic,
-  {six('customer_sentiment_overall')} AS customer_sentiment_overall,
+  {nine('customer_sentiment_overall')} AS customer_sentiment_overall,
   coalesce({ARC}, '') AS customer_arc FROM chat_convs""",
     "sentiment_inflections": f"""
 WITH scored AS (SELECT conv_id, turn_index, sentiment_score AS score, sentiment_score
@@ -641,8 +641,8 @@ WITH scored AS (SELECT conv_id, turn_index, sentiment_score AS score, sentiment_
   FROM event_turns WHERE role = 'customer'),
 moves AS (SELECT *, lag(change) OVER (PARTITION BY conv_id ORDER BY turn_index) AS previous_change
   FROM scored WHERE change <> 0)
-SELECT conv_id, turn_index, {six('score')} AS score, {six('change')} AS change,
-  {six('previous_change')} AS previous_change
+SELECT conv_id, turn_index, {nine('score')} AS score, {nine('change')} AS change,
+  {nine('previous_change')} AS previous_change
 FROM moves WHERE sign(change) <> sign(previous_change)""",
     "severity_ranking_with_example": f"""
 SELECT topic, {metrics("count", "avg_sentiment", "escalation_rate")},
@@ -652,22 +652,22 @@ FROM chat_convs GROUP BY topic""",
     "high_volume_low_resolution": f"""
 WITH per_topic AS (SELECT topic, count(*) AS n, avg(resolution_flag) AS rate FROM chat_convs
   GROUP BY topic)
-SELECT topic, n AS "count", {six('rate')} AS resolution_rate FROM per_topic
+SELECT topic, n AS "count", {nine('rate')} AS resolution_rate FROM per_topic
 WHERE n >= (SELECT avg(n) FROM per_topic)
   AND rate <= (SELECT avg(resolution_flag) FROM chat_convs)""",
     "urgent_turns_by_language": f"""
-SELECT conv_id, turn_index, language, {six('sentiment_score')} AS sentiment_score, text_clean
+SELECT conv_id, turn_index, language, {nine('sentiment_score')} AS sentiment_score, text_clean
 FROM chat WHERE role = 'customer' AND intent = 'urgency_request' AND language = 'hi'""",
     "agent_drilldown": f"""
-SELECT agent_name, conv_count, {six('empathy_mean')} AS empathy_mean, conv_id, turn_index, role,
+SELECT agent_name, conv_count, {nine('empathy_mean')} AS empathy_mean, conv_id, turn_index, role,
   text_clean
 FROM (SELECT * FROM chat_agents WHERE agent_name = 'Agent007')
 JOIN (SELECT agent_name, min(conv_id) AS conv_id FROM chat_convs GROUP BY agent_name)
   USING (agent_name)
 JOIN (SELECT conv_id, turn_index, role, text_clean FROM chat) USING (conv_id)""",
     "escalated_not_resolved": f"""
-SELECT conv_id, agent_name, {six('customer_sentiment_overall')} AS customer_sentiment_overall,
-  turn_index AS quote_turn_index, {six('sentiment_score')} AS quote_score, text_clean AS quote
+SELECT conv_id, agent_name, {nine('customer_sentiment_overall')} AS customer_sentiment_overall,
+  turn_index AS quote_turn_index, {nine('sentiment_score')} AS quote_score, text_clean AS quote
 FROM (SELECT * FROM chat_convs WHERE topic = 'billing_refunds' AND escalation_flag = 1
       AND resolution_flag = 0)
 LEFT JOIN (SELECT conv_id, turn_index, sentiment_score, text_clean FROM chat
@@ -694,7 +694,7 @@ SELECT session_id, turn_idx, question, answer FROM (
 WHERE toxic = 0""",
     "tool_selection": "SELECT id, tools_ok::BIGINT AS tool_selection_pass FROM eval_checks",
     "keyword_coverage": f"""
-SELECT id, {six('CASE WHEN len(expected_keywords) = 0 THEN 1.0 ELSE len(matched)'
+SELECT id, {nine('CASE WHEN len(expected_keywords) = 0 THEN 1.0 ELSE len(matched)'
                 ' / len(expected_keywords)::DOUBLE END')} AS coverage,
   coalesce(array_to_string(matched, '|'), '') AS coverage_matched,
   coalesce(array_to_string(missed, '|'), '') AS coverage_missed

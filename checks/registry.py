@@ -26,7 +26,7 @@ from parlance.schema import LABELS
 from parlance.sources import storage
 from parlance.sources.turns import read_turns_csv, upsert_turns
 
-DIGITS = 6
+DIGITS = 9
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 

@@ -99,13 +99,14 @@ def number_within(
                 .rowsBetween(Window.unboundedPreceding, -1)
             ),
         )
-        .select(*keys, "_block", F.coalesce("_before", F.lit(0)).alias("_before"))
+        # Keys of one block, mostly all of them, need no shift and no row here.
+        .where("_before > 0").drop("_n")
     )
     inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(order))
     return (
         rows.withColumn("_inside", inside)
-        .join(earlier, [*keys, "_block"])
-        .withColumn(into, F.col("_before") + F.col("_inside") - 1)
+        .join(earlier, [*keys, "_block"], "left")
+        .withColumn(into, F.coalesce("_before", F.lit(0)) + F.col("_inside") - 1)
         .drop("_block", "_inside", "_before")
     )
 
@@ -130,12 +131,12 @@ def previous_within(
         .withColumn(
             "_handed", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block"))
         )
-        .drop("_last")
+        .where("_handed IS NOT NULL").drop("_last")
     )
     inside = F.lag(value).over(Window.partitionBy(*keys, "_block").orderBy(order))
     return (
         rows.withColumn("_inside", inside)
-        .join(handed, [*keys, "_block"])
+        .join(handed, [*keys, "_block"], "left")
         .withColumn(into, F.coalesce("_inside", "_handed"))
         .drop("_block", "_inside", "_handed")
     )

@@ -86,43 +86,39 @@ def score_answers(answers: DataFrame, specs: DataFrame | None = None) -> DataFra
 def eval_summary(scored: DataFrame) -> DataFrame:
     """One row: status rates, latency mean, median and p95, mean grounding; 0 if empty.
 
-    Latencies are stored with two decimals, so the table of distinct latencies
-    that the quantiles are read from stays small.
+    Rows are first summed per latency. Latencies are stored with two decimals,
+    so the table that is then sorted in one task holds few rows.
     """
-    share = {
-        status: F.round(F.avg((F.col("status") == status).cast("int")), 3)
-        for status in C.EVAL_STATUSES
-    }
-    totals = scored.agg(
-        F.count("*").alias("n_questions"),
-        *[F.coalesce(share[s], F.lit(0.0)).alias(f"{s}_rate") for s in C.EVAL_STATUSES],
-        F.coalesce(F.round(F.avg("latency_s"), 2), F.lit(0.0)).alias("mean_latency_s"),
-        F.round(F.avg("grounding_score"), 3).alias("mean_grounding"),
-        F.lit(1).alias("_one"),
-    )
-    latencies = scored.groupBy("latency_s").agg(F.count("*").alias("n"))
-    every = Window.partitionBy("_one")
-    upto = every.orderBy("latency_s")
-    counted = (
-        latencies.withColumn("_one", F.lit(1))
-        .withColumn("_n", F.sum("n").over(every))
-        .withColumn("_seen", F.sum("n").over(upto))
+    counted = scored.groupBy("latency_s").agg(
+        F.count("*").alias("n"),
+        F.sum("grounding_score").alias("grounding"),
+        F.count("grounding_score").alias("n_grounding"),
+        *[F.count_if(F.col("status") == s).alias(s) for s in C.EVAL_STATUSES],
     )
+    upto = Window.orderBy("latency_s")
+    every = upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = counted.withColumns({
+        "_seen": F.sum("n").over(upto), "_last": F.sum("n").over(every) - 1
+    })
 
     def at(position):
         """The latency at a 0-based position of the sorted list."""
         return F.min(F.when(F.col("_seen") > position, F.col("latency_s")))
 
-    last = F.col("_n") - 1
-    quantiles = counted.groupBy("_one").agg(
-        ((at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2).alias("median"),
-        at(F.floor(last * F.lit(0.95).cast("double"))).alias("p95"),
-    )
-    return totals.join(quantiles, "_one", "left").select(
-        "n_questions", *[f"{s}_rate" for s in C.EVAL_STATUSES], "mean_latency_s",
-        F.coalesce(F.round("median", 2), F.lit(0.0)).alias("median_latency_s"),
-        F.coalesce(F.round("p95", 2), F.lit(0.0)).alias("p95_latency_s"),
-        "mean_grounding",
+    def rounded(value, digits):
+        return F.coalesce(F.round(value, digits), F.lit(0.0))
+
+    last, total = F.col("_last"), F.sum("n")
+    median = (at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2
+    return placed.agg(
+        F.coalesce(total, F.lit(0)).alias("n_questions"),
+        *[rounded(F.try_divide(F.sum(s), total), 3).alias(f"{s}_rate") for s in C.EVAL_STATUSES],
+        rounded(F.try_divide(F.sum(F.col("latency_s") * F.col("n")), total), 2)
+        .alias("mean_latency_s"),
+        rounded(median, 2).alias("median_latency_s"),
+        rounded(at(F.floor(last * F.lit(0.95).cast("double"))), 2).alias("p95_latency_s"),
+        F.round(F.try_divide(F.sum("grounding"), F.sum("n_grounding")), 3)
+        .alias("mean_grounding"),
     )
 
 

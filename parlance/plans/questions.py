@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.scores import empathy_score
@@ -116,15 +116,15 @@ def high_volume_low_resolution(conversations: DataFrame, round_digits: int = 3)
     per_topic = conversations.groupBy("topic").agg(
         F.count("*").alias("count"), F.sum("resolution_flag").alias("resolved")
     )
-    overall = per_topic.agg(
-        F.avg("count").alias("mean_count"),
-        (F.sum("resolved") / F.sum("count")).alias("overall_rate"),
-        F.lit(1).alias("_one"),
-    )
-    # One row of totals, joined to the few topic rows.
+    # The window sees one row per topic.
+    topics = Window.partitionBy(F.lit(0))
+    overall_rate = F.sum("resolved").over(topics) / F.sum("count").over(topics)
     return (
-        per_topic.withColumn("_one", F.lit(1)).join(F.broadcast(overall), "_one")
-        .withColumn("rate", F.col("resolved") / F.col("count"))
+        per_topic.withColumns({
+            "mean_count": F.avg("count").over(topics),
+            "overall_rate": overall_rate,
+            "rate": F.col("resolved") / F.col("count"),
+        })
         .where("count >= mean_count AND rate <= overall_rate")
         .select("topic", "count", F.round("rate", round_digits).alias("resolution_rate"))
     )
