@@ -9,9 +9,10 @@ from parlance import constants as C
 SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
     chr(code) for code in [*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 )
-SPACE_CLASS = (
-    r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+NOT_BLANK_CLASS = (
+    r"\t-\r\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+SPACE_CLASS = NOT_BLANK_CLASS + r"\x20"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
@@ -27,9 +28,13 @@ def truncate_last_terminator(text: Column) -> Column:
 
 
 def tidy_spaces(text: Column) -> Column:
-    """Collapse white space, trim, and close the gap before punctuation."""
-    single = strip(F.regexp_replace(text, f"[{SPACE_CLASS}]+", " "))
-    return F.regexp_replace(single, " +([.,!?;:])", "$1")
+    """Collapse white space, trim, and close the gap before punctuation.
+
+    Single blanks, which are most of the white space, are not touched.
+    """
+    uneven = f"[{SPACE_CLASS}]{{2,}}|[{NOT_BLANK_CLASS}]"
+    single = strip(F.regexp_replace(text, uneven, " "))
+    return F.regexp_replace(single, " ([.,!?;:])", "$1")
 
 
 def redact_pii(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parlance import constants as C
 from parlance.operators.documents import header_per_part
-from parlance.operators.keyed import block_of
+from parlance.operators.keyed import block_of, lookup_join
 from parlance.operators.topics import Topics
 from parlance.schema import TURN_BLOCK
 
@@ -197,10 +197,12 @@ def rank_agents(
 
 
 def _chosen(df: DataFrame, conv_ids: Sequence[str] | DataFrame | None) -> DataFrame:
+    """Rows of the given conversations; ids in a table are best stored ones."""
     if conv_ids is None:
         return df
     if isinstance(conv_ids, DataFrame):
-        return df.join(conv_ids.select("conv_id").distinct(), "conv_id", "left_semi")
+        wanted = conv_ids.select("conv_id").distinct()
+        return lookup_join(df, wanted, ["conv_id"], "left_semi", measure=True)
     return df.where(F.col("conv_id").isin(*conv_ids))
 
 

@@ -86,10 +86,10 @@ def score_answers(answers: DataFrame, specs: DataFrame | None = None) -> DataFra
 def eval_summary(scored: DataFrame) -> DataFrame:
     """One row: status rates, latency mean, median and p95, mean grounding; 0 if empty.
 
-    Rows are first summed per latency. Latencies are stored with two decimals,
-    so the table that is then sorted in one task holds few rows.
+    Rows are first summed per latency. Latencies have two decimals, so the table
+    that is then sorted in one task holds few rows.
     """
-    counted = scored.groupBy("latency_s").agg(
+    counted = scored.groupBy(F.round("latency_s", 2).alias("latency_s")).agg(
         F.count("*").alias("n"),
         F.sum("grounding_score").alias("grounding"),
         F.count("grounding_score").alias("n_grounding"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parlance import constants as C
 from parlance.functions.openers import extract_slot, plain_apostrophes
 from parlance.functions.scores import present
+from parlance.operators.keyed import lookup_join
 
 
 @dataclass(frozen=True)
@@ -16,7 +17,7 @@ class Topics:
 
     categories: id, label, description. slots: slot, category.
     openers: opener, category. `small` says that the sizes were checked, so the
-    tables may be broadcast.
+    tables may be broadcast; otherwise hot openers and slots are salted.
     """
 
     categories: DataFrame
@@ -24,8 +25,10 @@ class Topics:
     openers: DataFrame
     small: bool = False
 
-    def hinted(self, table: DataFrame) -> DataFrame:
-        return F.broadcast(table) if self.small else table
+    def look_up(self, df: DataFrame, table: DataFrame, on: str, how: str = "left") -> DataFrame:
+        if self.small:
+            return df.join(F.broadcast(table), on, how)
+        return lookup_join(df, table, [on], how)
 
 
 def match_no_slot(df: DataFrame, opener: str, topics: Topics, into: str = "opener_category") -> DataFrame:
@@ -33,19 +36,12 @@ def match_no_slot(df: DataFrame, opener: str, topics: Topics, into: str = "opene
     openers = topics.openers.select(
         plain_apostrophes(F.col("opener")).alias("_plain"), F.col("category").alias(into)
     ).dropDuplicates(["_plain"])
-    return (
-        df.withColumn("_plain", plain_apostrophes(F.col(opener)))
-        .join(topics.hinted(openers), "_plain", "left")
-        .drop("_plain")
-    )
+    asked = df.withColumn("_plain", plain_apostrophes(F.col(opener)))
+    return topics.look_up(asked, openers, "_plain").drop("_plain")
 
 
 def resolve_topic(df: DataFrame, opener: str, topics: Topics, into: str = "topic") -> DataFrame:
-    """Add the topic of an opener: by its whole text, else by its slot, else unknown.
-
-    Use it on distinct openers or on one opener per conversation: an opener text
-    may be hot, and the two lookups are plain joins.
-    """
+    """Add the topic of an opener: by its whole text, else by its slot, else unknown."""
     slot, template = extract_slot(F.col(opener))
     slots = topics.slots.select(
         F.col("slot").alias("_slot"), F.col("category").alias("_by_slot")
@@ -53,8 +49,7 @@ def resolve_topic(df: DataFrame, opener: str, topics: Topics, into: str = "topic
     matched = match_no_slot(df, opener, topics, into="_by_opener")
     known = F.when(template == C.NO_SLOT_TEMPLATE, F.col("_by_opener"))
     return (
-        matched.withColumn("_slot", slot)
-        .join(topics.hinted(slots), "_slot", "left")
+        topics.look_up(matched.withColumn("_slot", slot), slots, "_slot")
         .withColumn(
             into,
             F.coalesce(present(known), present(F.col("_by_slot")), F.lit(C.UNKNOWN_TOPIC)),
@@ -81,7 +76,7 @@ def taxonomy_coverage(turns: DataFrame, topics: Topics) -> DataFrame:
     openers = distinct_openers(turns).select(
         "text_clean", slot.alias("slot"), template.alias("template")
     )
-    mapped = openers.join(topics.hinted(topics.slots), "slot", "left")
+    mapped = topics.look_up(openers, topics.slots, "slot")
     findings = F.array_compact(F.array(
         F.when(F.col("slot").isNotNull(), _finding("slot", "slot")),
         F.when(F.col("template").isNull(), _finding("unmatched_opener", "text_clean")),
@@ -90,7 +85,7 @@ def taxonomy_coverage(turns: DataFrame, topics: Topics) -> DataFrame:
     ))
     seen = mapped.select(F.explode(findings).alias("f")).select("f.*").distinct()
     used = topics.slots.select(F.col("category").alias("id")).distinct()
-    undefined = used.join(topics.hinted(topics.categories), "id", "left_anti").select(
+    undefined = used.join(topics.categories, "id", "left_anti").select(
         F.lit("unknown_category").alias("kind"), F.col("id").alias("value")
     )
     return seen.unionByName(undefined)

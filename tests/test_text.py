@@ -183,3 +183,13 @@ def test_clean_turns(spark, turns_of):
     assert rows_of(cleaning.cleaning_counts(cleaned)) == [(3, 2)]
     assert rows_of(cleaning.clean_turns(turns).select("text_clean"))[-1] == (
         "The flight qqq is late.",)
+
+
+def test_large_taxonomies_are_salted(spark, topics):
+    """Without a checked size the lookups are shuffled; hot openers resolve all the same."""
+    large = topic_ops.Topics(topics.categories, topics.slots, topics.openers, small=False)
+    openers = ["Hi, I need help with my Loan."] * 40 + [
+        "I can’t log in. It says account locked.", "Hello?"]
+    df = spark.createDataFrame(list(enumerate(openers)), "i int, opener string").repartition(4)
+    found = topic_ops.resolve_topic(df, "opener", large).groupBy("topic").count()
+    assert rows_of(found) == [("account_auth", 1), ("financial_products", 40), ("unknown", 1)]
