@@ -117,12 +117,9 @@ def materialize(spark, sf):
 
 @query
 def write_rollups(spark, sf):
-    turns = fx.chat_turns(spark, sf)
-    rolled = fx.chat_conversations(spark, sf)
     stored, agents = storage.write_rollups(
-        rolled, rollups.agent_rollup(rolled, turns), fx.scratch(spark, "rollups")
-    )
-    by_month = stored.groupBy(F.col("month").cast("string").alias("part")).agg(
+        fx.chat_conversations(spark, sf), fx.chat_turns(spark, sf), fx.scratch(spark, "rollups"))
+    by_month = stored.groupBy(F.date_format("start_ts", "yyyy-MM").alias("part")).agg(
         F.count("*").alias("n"), F.sum("turn_count").alias("total")
     )
     return by_month.unionByName(agents.agg(

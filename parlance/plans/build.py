@@ -21,6 +21,36 @@ class Tables:
     vectors: DataFrame
 
 
+def label_pending(
+    cleaned: DataFrame,
+    path: str,
+    classified_at: str,
+    labeller: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
+    limit: int | None = None,
+    force: bool = False,
+) -> tuple[DataFrame, bool]:
+    """Label the texts that have no label yet; returns the label table and if it grew.
+
+    The labels of a run are added to the table, so work that is done is never
+    done again. Rejected answers stay pending. The raw answers are stored first,
+    which keeps the labeller from running twice.
+    """
+    spark = cleaned.sparkSession
+    none = spark.createDataFrame([], LABELS)
+    stored = None if force else storage.read_table(spark, f"{path}/labels")
+    known = none if stored is None else stored
+    pending = labelling.pending_texts(cleaned, known, limit)
+    if stored is not None and pending.isEmpty():
+        return stored, False
+    answers = storage.materialize(
+        labelling.label_texts(pending, labeller), f"{path}/label_answers", force=True
+    )
+    accepted, _ = labelling.validate_labels(answers, classified_at)
+    new = labelling.upsert_labels(none, accepted)
+    new.write.mode("append" if stored is not None else "overwrite").parquet(f"{path}/labels")
+    return spark.read.parquet(f"{path}/labels"), True
+
+
 def build_tables(
     raw: DataFrame,
     topics: Topics,
@@ -33,31 +63,21 @@ def build_tables(
 ) -> Tables:
     """Run every stage, each into its own table under `path`, and return the tables.
 
-    A stage whose table is there is skipped unless `force`. The written tables
-    cut the lineage between stages, and the labeller sees each text once.
+    A stage whose table is there is skipped unless `force`; labelling goes on
+    where it stopped. The written tables cut the lineage between stages. Rollups
+    fail while a turn has no label.
     """
-    spark = raw.sparkSession
     cleaned = storage.materialize(cleaning.clean_turns(raw, lexicon), f"{path}/cleaned", force)
-    none = spark.createDataFrame([], LABELS)
-    pending = labelling.pending_texts(cleaned, none)
-    answers = storage.materialize(
-        labelling.label_texts(pending, labeller), f"{path}/label_answers", force
-    )
-    accepted, _ = labelling.validate_labels(answers, classified_at)
-    labels = storage.materialize(
-        labelling.upsert_labels(none, accepted), f"{path}/labels", force
-    )
+    labels, grew = label_pending(cleaned, path, classified_at, labeller, force=force)
     turns = storage.materialize(
-        labelling.propagate_labels(cleaned, labels), f"{path}/turns", force
+        labelling.propagate_labels(cleaned, labels), f"{path}/turns", force or grew
     )
-    gated = labelling.require_labelled(turns)
-    conversations = rollups.conversation_rollup(gated, topics)
-    stored = storage.materialize(conversations, f"{path}/conversations", force)
-    agents = storage.materialize(rollups.agent_rollup(stored, turns), f"{path}/agents", force)
+    rolled = rollups.conversation_rollup(labelling.require_labelled(turns), topics)
+    conversations, agents = storage.write_rollups(rolled, turns, path, force)
     docs = storage.materialize(
-        documents.vector_documents(turns, stored), f"{path}/documents", force
+        documents.vector_documents(turns, conversations), f"{path}/documents", force
     )
     embedded = storage.write_vectors(
-        vectors.embed_documents(docs, embedder), f"{path}/vectors", force
+        vectors.embed_documents(docs, embedder), f"{path}/vectors", force, docs.count()
     )
-    return Tables(turns, labels, stored, agents, embedded)
+    return Tables(turns, labels, conversations, agents, embedded)

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.operators.rollups import agent_rollup
+
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at a path, or None if nothing was written there."""
@@ -42,14 +44,12 @@ def materialize(
 
 
 def write_rollups(
-    conversations: DataFrame, agents: DataFrame, path: str, force: bool = False
+    conversations: DataFrame, turns: DataFrame, path: str, force: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Store conversations (partitioned by month of start) and agents; returns both."""
+    """Store conversations (partitioned by month of start) and the agents rolled up from them."""
     dated = conversations.withColumn("month", F.date_format("start_ts", "yyyy-MM"))
-    return (
-        materialize(dated, f"{path}/conversations", force, ["month"]),
-        materialize(agents, f"{path}/agents", force),
-    )
+    stored = materialize(dated, f"{path}/conversations", force, ["month"]).drop("month")
+    return stored, materialize(agent_rollup(stored, turns), f"{path}/agents", force)
 
 
 def write_vectors(

@@ -3,7 +3,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from parlance.operators import scoring, sessions
-from parlance.plans.build import build_tables
+from parlance.plans.build import build_tables, label_pending
 from parlance.schema import SESSIONS
 from parlance.sources import storage
 from parlance.sources.turns import read_turns_csv, upsert_turns
@@ -157,10 +157,36 @@ def test_build_is_resumable(spark, topics, tmp_path):
     assert found.vectors.count() == 3
     again = build_tables(raw.limit(0), topics, path, "2025-12-03 00:00:00")
     assert again.turns.count() == 6
+    agents = spark.read.parquet(path + "/agents")
+    assert agents.count() == 1 and spark.read.parquet(path + "/conversations").columns[-1] == "month"
     rebuilt = build_tables(raw.where("conv_id = 'c1'"), topics, path, "2025-12-03 00:00:00", force=True)
     assert rebuilt.conversations.count() == 1
 
 
+def test_labelling_goes_on(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def labeller(frame):
+        seen.add(len(frame))
+        return frame.assign(
+            sentiment_label=["bad" if "rude" in t else "neu" for t in frame["text_clean"]],
+            sentiment_score=0.0, intent="other", empathy_signal="na", is_escalation=0,
+            contains_pii=0, language="en", text_en=frame["text_clean"])
+
+    cleaned = spark.createDataFrame(
+        [("a.", "customer"), ("b.", "customer"), ("b.", "customer"), ("rude.", "agent")],
+        "text_clean string, role string")
+    path, at = str(tmp_path), "2025-12-03 00:00:00"
+    labels, grew = label_pending(cleaned, path, at, labeller, limit=1)
+    assert grew and labels.count() == 1 and seen.value == 1
+    labels, grew = label_pending(cleaned, path, at, labeller)
+    assert grew and labels.count() == 2 and seen.value == 3
+    good = cleaned.where("text_clean <> 'rude.'")
+    labels, grew = label_pending(good, path, at, labeller)
+    assert not grew and labels.count() == 2 and seen.value == 3
+    assert label_pending(good, path, at, labeller, force=True)[0].count() == 2 and seen.value == 5
+
+
 def test_streaming_ingest(spark, tmp_path):
     source, target, marks = (str(tmp_path / n) for n in ("in", "turns", "marks"))
     (tmp_path / "in").mkdir()
