@@ -544,7 +544,9 @@ FROM chat_convs JOIN (
     QUALIFY n = max(n) OVER (PARTITION BY conv_id)) GROUP BY conv_id) USING (conv_id)
 JOIN (SELECT conv_id, sum(length(role) + 3 + length(text_clean))::BIGINT + count(*) - 1 AS n_chars
       FROM chat GROUP BY conv_id) USING (conv_id)""",
+    "embed_documents": "SELECT DISTINCT conv_id, 256::BIGINT AS dim, 1.0::DOUBLE AS norm FROM chat",
     "semantic_topk": topk_sql(10, "true", ", topic, escalation_flag"),
+    "semantic_topk_all_cells": topk_sql(10, "true", ", topic, escalation_flag"),
     "semantic_topk_filtered": topk_sql(
         5, "language = 'hi' AND escalation_flag = 1 AND sentiment <= 0.2 AND sentiment >= -0.4",
         ", topic"),

@@ -408,9 +408,9 @@ def vector_documents(spark, sf):
 @query
 def embed_documents(spark, sf):
     docs = vectors.embed_documents(fx.chat_documents(spark, sf))
+    squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
     return plain(docs.select(
-        "conv_id", F.size("embedding").alias("dim"),
-        F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).alias("norm")))
+        "conv_id", F.size("embedding").alias("dim"), F.round(F.sqrt(squares), 4).alias("norm")))
 
 
 @query
@@ -435,6 +435,16 @@ def semantic_topk_approx(spark, sf):
         docs, fx.label_queries(spark, sf), planes, k=10, probes=96))
 
 
+@query
+def semantic_topk_all_cells(spark, sf):
+    planes = vectors.cell_planes(64, 5)
+    stored = storage.write_vectors(
+        vectors.with_cells(fx.labelled_vectors(spark, sf), planes), fx.scratch(spark, "cells"))
+    return plain(vectors.semantic_topk_approx(
+        stored, fx.label_queries(spark, sf), planes, k=10, probes=32,
+        details=["topic", "escalation_flag"]))
+
+
 @query
 def semantic_search_documents(spark, sf):
     """Search of the chat documents for each agent's own words, with excerpts."""

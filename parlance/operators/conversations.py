@@ -75,8 +75,9 @@ def filter_conversations(
 ) -> DataFrame:
     """Conversations that meet all given conditions; empty text counts as not given.
 
-    Time conditions are plain ranges over start_ts, so they reach the scan. A
-    `language` keeps conversations with any turn in it and needs `turns`.
+    Time conditions are plain ranges over start_ts, so they reach the scan; a
+    table stored by month is read in the months concerned only. A `language`
+    keeps conversations with any turn in it and needs `turns`.
     """
     start, sentiment = F.col("start_ts"), F.col("customer_sentiment_overall")
     wanted: list[Column] = []
@@ -88,6 +89,13 @@ def filter_conversations(
     if date_to:
         after = date.fromisoformat(date_to) + timedelta(days=1)
         wanted.append(start < F.lit(after).cast("timestamp"))
+    if "month" in conversations.columns:
+        if month:
+            wanted.append(F.col("month") == month)
+        if date_from:
+            wanted.append(F.col("month") >= date_from[:7])
+        if date_to:
+            wanted.append(F.col("month") <= date_to[:7])
     if topic:
         wanted.append(F.col("topic") == topic)
     if sentiment_max is not None:

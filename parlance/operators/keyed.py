@@ -40,8 +40,8 @@ def fits_broadcast(
         width = width + F.coalesce(F.octet_length(name), F.lit(0))
     for name in lists:
         width = width + 8 * F.coalesce(F.size(name), F.lit(0))
-    size = df.limit(max_rows + 1).agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")
+    size = df.select(width.alias("width")).limit(max_rows + 1).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum("width"), F.lit(0)).alias("bytes")
     ).first()
     return size["n"] <= max_rows and size["bytes"] <= max_bytes
 

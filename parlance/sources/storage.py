@@ -48,7 +48,7 @@ def write_rollups(
 ) -> tuple[DataFrame, DataFrame]:
     """Store conversations (partitioned by month of start) and the agents rolled up from them."""
     dated = conversations.withColumn("month", F.date_format("start_ts", "yyyy-MM"))
-    stored = materialize(dated, f"{path}/conversations", force, ["month"]).drop("month")
+    stored = materialize(dated, f"{path}/conversations", force, ["month"])
     return stored, materialize(agent_rollup(stored, turns), f"{path}/agents", force)
 
 

@@ -12,7 +12,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 # Model-based or approximate: rows only.
-WITHOUT_SQL = {"embed_documents", "semantic_topk_approx", "semantic_search_documents"}
+WITHOUT_SQL = {"semantic_topk_approx", "semantic_search_documents"}
 
 
 @pytest.fixture(scope="module")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from parlance.operators import conversations as conv
 from parlance.operators import profile, topics as topic_ops
 from parlance.plans import questions
+from parlance.sources.storage import write_rollups
 
 COLUMNS = (
     "conv_id string, customer_name string, agent_name string, start_ts timestamp,"
@@ -119,6 +120,18 @@ def test_month_filter_reaches_the_scan(convs, tmp_path):
     assert "sentiment_trajectory" not in plan
 
 
+@pytest.mark.parametrize("conditions, kept", [
+    ({"month": "2025-11"}, "23"), ({"date_from": "2025-11-30"}, "34"), ({"date_to": "2025-10-31"}, "1"),
+])
+def test_stored_months_are_pruned(convs, turns, tmp_path, conditions, kept):
+    stored, _ = write_rollups(convs, turns, str(tmp_path))
+    found = conv.filter_conversations(stored, **conditions)
+    assert ids(found) == kept
+    assert "PartitionFilters: [isnotnull(month" in plan_of(found)
+    one = conv.conversation_trajectory(stored, turns, ["c1"]).first()
+    assert one["topic"] == "loans"
+
+
 def test_language_filter_is_a_semi_join(convs, turns):
     assert "LeftSemi" in plan_of(conv.filter_conversations(convs, turns, language="en"))
 
