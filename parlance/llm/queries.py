@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import line_dedup, quality_rules
+from parlance.llm import line_dedup, minhash, quality_rules
 from parlance.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,12 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op5_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    how = minhash.MinMax(words=4)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), how=how)
+
+
 @query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
