@@ -92,3 +92,60 @@ SELECT doc_id, n_lines::BIGINT AS n_lines, n_removed::BIGINT AS n_removed,
   length(left_text)::BIGINT AS n_chars, sha256(left_text) AS left_sha256
 FROM left_texts
 """
+
+ORACLE["op10_substring_dedup"] = rf"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents
+), words AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM docs
+), windows AS (
+  SELECT doc_id, pos, sha256(array_to_string(ws[pos:pos + 49], ' ')) AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS pos FROM docs WHERE len(ws) >= 50)
+), earliest AS (
+  SELECT win, min(doc_id) AS first FROM windows GROUP BY win HAVING min(doc_id) < max(doc_id)
+), starts AS (
+  SELECT doc_id, pos FROM windows JOIN earliest USING (win) WHERE doc_id > first
+), marked AS (
+  SELECT w.doc_id, w.pos, w.w, max(s.pos) OVER (
+    PARTITION BY w.doc_id ORDER BY w.pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM words w LEFT JOIN starts s ON w.doc_id = s.doc_id AND w.pos = s.pos
+), per_doc AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(w, ' ' ORDER BY pos) FILTER (NOT gone) AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN per_doc p ON d.doc_id = p.doc_id
+"""
+
+ORACLE["op5_minmax_near_dedup"] = rf"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws
+  FROM documents
+), shingles AS (
+  SELECT doc_id, len(ws) AS n, unnest(list_distinct(
+    CASE WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END)) AS s
+  FROM docs WHERE len(ws) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.s = b.s AND (a.n < 4) = (b.n < 4) AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM docs
+  UNION
+  SELECT edges.b, reached.root FROM reached JOIN edges ON edges.a = reached.doc_id WHERE reached.root < edges.b
+), classes AS (
+  SELECT doc_id, min(root) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM docs d LEFT JOIN sizes s USING (doc_id) JOIN classes c USING (doc_id)
+"""

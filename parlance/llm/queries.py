@@ -1,11 +1,12 @@
 """The corpus queries: each applies one operator to its whole table."""
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import line_dedup, minhash, quality_rules
+from parlance.llm import line_dedup, minhash, mixing, packing, quality_rules, substring
 from parlance.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,12 +18,30 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     how = minhash.MinMax(words=4)
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), how=how)
 
 
+@query
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken, words, goals = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    per_source = spark.createDataFrame(
+        [(json.dumps([s], ensure_ascii=False, separators=(",", ":")), words[s], goals[s]) for s in words],
+        "pattern string, source_size long, target double",
+    )
+    return taken.join(F.broadcast(per_source), "pattern").select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target",
+        (F.col("times") * F.col("size")).alias("taken"),
+    )
+
+
 @query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
@@ -38,3 +57,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("left_text").cast("long").alias("n_chars"),
         F.sha2("left_text", 256).alias("left_sha256"),
     )
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
