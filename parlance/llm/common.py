@@ -74,13 +74,15 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
 class Words(NamedTuple):
     """Words of some texts as spans of their UTF-8 bytes.
 
-    Text i has the words from `first[i]` up to `first[i + 1]`.
+    Text i has the words from `first[i]` up to `first[i + 1]`, and the bytes from
+    `bounds[i]` up to `bounds[i + 1]`.
     """
 
     data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
+    bounds: np.ndarray
 
 
 def words_of(texts: pa.Array) -> Words:
@@ -98,7 +100,7 @@ def words_of(texts: pa.Array) -> Words:
     starts[cuts] = inside[1:-1][cuts]
     ends[cuts - 1] = inside[1:-1][cuts - 1]
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    return Words(data, starts, ends, np.searchsorted(starts, bounds))
+    return Words(data, starts, ends, np.searchsorted(starts, bounds), bounds)
 
 
 @functools.lru_cache(maxsize=8)
@@ -108,7 +110,7 @@ def _powers(base: int, size: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-def _power(base: int, size: int) -> np.ndarray:
+def power(base: int, size: int) -> np.ndarray:
     return _powers(base, max(1 << 16, 1 << (size - 1).bit_length()))[:size] if size else np.empty(0, np.uint64)
 
 
@@ -119,10 +121,10 @@ def hashes_of(words: Words, lower: bool = False) -> np.ndarray:
     words have equal hashes in every process.
     """
     values = (LOWER_VALUES if lower else BYTE_VALUES)[words.data]
-    values *= _power(BASE, len(values))
+    values *= power(BASE, len(values))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
     found = sums[words.ends] - sums[words.starts]
-    return mixed(found * _power(BASE_INVERSE, len(values))[words.starts])
+    return mixed(found * power(BASE_INVERSE, len(values))[words.starts])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -6,8 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import line_dedup, minhash, mixing, packing, quality_rules, substring
-from parlance.llm.common import table
+from parlance.llm import line_dedup, minhash, mixing, packing, quality_rules, simhash, substring
+from parlance.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +29,18 @@ def op5_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), how=how)
 
 
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`near_queries` counts the other fingerprints of documents whose id is divisible by 50
+    that are within the search radius."""
+    prints = stored(
+        simhash.compared_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    )
+    pairs = simhash.near_fingerprints(prints.where("doc_id % 50 = 0"), prints)
+    near = pairs.groupBy("fingerprint").agg(F.count("*").alias("near_queries"))
+    return prints.join(near, "fingerprint", "left").fillna(0, ["near_queries"])
+
+
 @query
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken, words, goals = mixing.mix_sources(table(spark, sf_dir, "documents"))

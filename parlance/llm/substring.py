@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import _power, by_slices, hashes_of, mixed, slices, stored, words_of
+from parlance.llm.common import by_slices, hashes_of, mixed, slices, stored, words_of
+from parlance.llm.runs import run_hashes
 
 
 @dataclass(frozen=True)
@@ -47,15 +48,6 @@ WINDOW_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 ANCHOR_BASE = 0xE7037ED1A0B428DB
 
 
-def run_hashes(hashes: np.ndarray, starts: np.ndarray, size: int, base: int) -> np.ndarray:
-    """Hash of the `size` words from each start, from prefix sums of a polynomial."""
-    sums = np.concatenate((
-        np.zeros(1, np.uint64), np.cumsum(hashes * _power(base, len(hashes)), dtype=np.uint64)
-    ))
-    back = _power(pow(base, -1, 1 << 64), len(hashes))
-    return mixed((sums[starts + size] - sums[starts]) * back[starts])
-
-
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each `width` values in a row, by doubling."""
     out, have = values, 1
