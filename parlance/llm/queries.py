@@ -6,7 +6,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import line_dedup, minhash, mixing, packing, quality_rules, simhash, substring
+from parlance.llm import (
+    line_dedup,
+    minhash,
+    mixing,
+    packing,
+    quality_model,
+    quality_rules,
+    simhash,
+    substring,
+    url_filter,
+)
 from parlance.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +33,31 @@ def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = quality_model.train(docs, labels.where(fold != 0))
+    return quality_model.scored(docs, model).select(
+        "doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+URL_RULES = (
+    url_filter.Rule("net", "/", block=True),
+    url_filter.Rule("example.net", "/en/", block=False),
+    url_filter.Rule("example.com", "/de/", block=True),
+    url_filter.Rule("org", "/fr/", block=False),
+)
+
+
+@query
+def op4_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judged_urls(pages, rules=URL_RULES).drop("url")
+
+
 @query
 def op5_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     how = minhash.MinMax(words=4)
