@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import (
+    html_extract,
     line_dedup,
     minhash,
     mixing,
@@ -28,6 +29,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
