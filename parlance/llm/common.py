@@ -52,6 +52,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, **columns: str | Column) -> DataFrame:
+    """The whole row as a struct `row`, beside the columns to work on under given names.
+
+    Whatever the other columns of a table are called, they are out of the way.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return docs.select(row, *((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()))
+
+
+def unpacked(df: DataFrame, columns: list[str], added: list[str]) -> DataFrame:
+    """The columns of the packed rows, and those added; an added one replaces its namesake."""
+    kept = [F.col(f"row.`{c}`").alias(c) for c in columns if c not in added]
+    return df.select(*kept, *added)
+
+
 def words_column(text: Column) -> Column:
     """The words of a text as an array; empty for a null or blank text."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

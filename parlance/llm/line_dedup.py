@@ -8,7 +8,7 @@ rather than a page with boilerplate, and keeps them; copies are for near-dedup.
 Only DataFrame functions are used. Defined results: a null text stays null and
 has no lines; a null site counts as no site; lines without a word are kept;
 repeated rows are treated alike; an empty table gives an empty result; extra
-columns are kept and may bear any name but those that are added.
+columns are kept under any name, but one named like an added one is replaced.
 """
 
 from dataclasses import dataclass
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import stored
+from parlance.llm.common import packed, stored, unpacked
 from parlance.llm.lines import all_lines, has_word, line_hashes, without_lines, word_chars
 
 
@@ -60,10 +60,6 @@ def spread_lines(
     return estimated.where(~near).select("line").unionByName(exact.select("line"))
 
 
-def _text_key(text: Column) -> list[Column]:
-    return [F.xxhash64(text).alias("_key"), F.xxhash64(F.lit(1), text).alias("_check")]
-
-
 def line_dedup(
     docs: DataFrame, text: str = "text", site: str = "source", spread: Spread = Spread()
 ) -> DataFrame:
@@ -73,23 +69,28 @@ def line_dedup(
     repeat that work. A hot text is left to the skew join.
     """
     flagged = stored(spread_lines(docs, text, site, spread))
+    rows = packed(
+        docs, text=text, key=F.xxhash64(F.col(text)), check=F.xxhash64(F.lit(1), F.col(text))
+    )
     hits = (
-        docs.where(F.col(text).isNotNull())
-        .select(*_text_key(F.col(text)), F.explode(line_hashes(F.col(text))).alias("line"))
+        rows.where("text IS NOT NULL")
+        .select("key", "check", F.explode(line_hashes(F.col("text"))).alias("line"))
         .join(flagged, "line", "left_semi")
-        .groupBy("_key", "_check").agg(F.collect_set("line").alias("_hits"))
+        .groupBy("key", "check").agg(F.collect_set("line").alias("hits"))
     )
-    joined = docs.withColumns({
-        "_key": F.xxhash64(F.col(text)), "_check": F.xxhash64(F.lit(1), F.col(text)),
-    }).join(hits, ["_key", "_check"], "left")
+    joined = rows.join(hits, ["key", "check"], "left")
     stripped = joined.withColumn(
-        "_left", F.when(F.col("_hits").isNotNull(), without_lines(F.col(text), F.col("_hits")))
+        "rest", F.when(F.col("hits").isNotNull(), without_lines(F.col("text"), F.col("hits")))
     )
-    before = word_chars(F.col(text))
-    framed = 100 * (before - word_chars(F.col("_left"))) <= spread.max_removed_percent * before
-    n_lines = lambda c: F.size(F.filter(all_lines(F.col(c)), has_word)).cast("long")
-    return stripped.withColumn(
-        "left_text", F.when(F.col("_left").isNotNull() & framed, F.col("_left")).otherwise(F.col(text))
-    ).withColumn("n_lines", n_lines(text)).withColumn(
-        "n_removed", F.col("n_lines") - n_lines("left_text")
-    ).drop("_key", "_check", "_hits", "_left")
+    before = word_chars(F.col("text"))
+    framed = 100 * (before - word_chars(F.col("rest"))) <= spread.max_removed_percent * before
+    done = stripped.withColumn(
+        "left_text", F.when(F.col("rest").isNotNull() & framed, F.col("rest")).otherwise(F.col("text"))
+    ).withColumn("n_lines", _n_lines("text")).withColumn(
+        "n_removed", F.col("n_lines") - _n_lines("left_text")
+    )
+    return unpacked(done, docs.columns, ["n_lines", "n_removed", "left_text"])
+
+
+def _n_lines(text: str) -> Column:
+    return F.size(F.filter(all_lines(F.col(text)), has_word)).cast("long")

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import stored
+from parlance.llm.common import packed, stored, unpacked
 from parlance.llm.sizes import with_word_counts
 
 
@@ -244,9 +244,8 @@ def mixed_documents(
 ) -> DataFrame:
     """The documents of the mix: each as often as it is taken."""
     taken, _, _ = mix_sources(docs, text, id, source, mix)
-    times = taken.where("times > 0").groupBy("key").agg(F.max("times").alias("_times"))
-    return (
-        docs.withColumn("key", row_key(docs, text, id, source)).join(times, "key")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
-        .select(*docs.columns)
+    times = taken.where("times > 0").groupBy("key").agg(F.max("times").alias("times"))
+    repeated = packed(docs, key=row_key(docs, text, id, source)).join(times, "key").withColumn(
+        "copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))
     )
+    return unpacked(repeated, docs.columns, [])

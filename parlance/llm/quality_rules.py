@@ -8,7 +8,7 @@ text, so a document is not rejected for being copied often.
 Only DataFrame functions are used. Defined results: a null text counts as empty
 and is rejected by the base rules; a null host is a host of its own; repeated
 rows are judged alike; an empty table gives an empty result; extra columns are
-kept and may bear any name but those that are added.
+kept under any name, but one that is named like an added one is replaced.
 """
 
 from dataclasses import dataclass
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import stored, words_column
+from parlance.llm.common import packed, stored, unpacked, words_column
 from parlance.llm.lines import all_lines, has_word, line_hashes, without_lines, word_chars
 
 SYMBOLS = "#*$%&|<>"
@@ -54,40 +54,39 @@ def _neighbours(array: str) -> Column:
     )
 
 
-def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the counts of SIGNALS, over whole texts."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    held = F.filter(all_lines(F.col(text)), has_word)
-    first = docs.withColumns({
-        "_words": words_column(F.col(text)),
-        "_held": held,
-        "word_chars": word_chars(F.col(text)),
+def _with_signals(rows: DataFrame) -> DataFrame:
+    """Add the counts of SIGNALS to packed rows, over whole texts."""
+    whole = F.coalesce("text", F.lit(""))
+    first = rows.withColumns({
+        "words": words_column(F.col("text")),
+        "held": F.filter(all_lines(F.col("text")), has_word),
+        "word_chars": word_chars(F.col("text")),
         "n_symbols": (
             F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))
         ).cast("long"),
     })
     counted = first.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "n_dup_lines": (F.size("_held") - F.size(F.array_distinct("_held"))).cast("long"),
+        "n_words": F.size("words").cast("long"),
+        "n_dup_lines": (F.size("held") - F.size(F.array_distinct("held"))).cast("long"),
     })
     windows = counted.withColumn(
-        "_placed",
-        F.when(F.size("_words") > 3, _placed_windows(F.col("_words"), F.size("_words") - 2)),
+        "placed",
+        F.when(F.size("words") > 3, _placed_windows(F.col("words"), F.size("words") - 2)),
     )
     twice = windows.withColumn(
-        "_twice", F.filter(_neighbours("_placed"), lambda w: w["a"]["h"] == w["b"]["h"])
+        "twice", F.filter(_neighbours("placed"), lambda w: w["a"]["h"] == w["b"]["h"])
     )
     places = F.sort_array(F.array_distinct(F.concat(
-        F.transform("_twice", lambda w: w["a"]["at"]), F.transform("_twice", lambda w: w["b"]["at"])
+        F.transform("twice", lambda w: w["a"]["at"]), F.transform("twice", lambda w: w["b"]["at"])
     )))
-    at = twice.withColumn("_at", F.when(F.size("_twice") > 0, places))
+    at = twice.withColumn("places", F.when(F.size("twice") > 0, places))
     # Each place adds three words, less what it shares with the next one.
     covered = F.aggregate(
-        _neighbours("_at"), F.lit(3), lambda n, w: n + F.least(F.lit(3), w["b"] - w["a"])
+        _neighbours("places"), F.lit(3), lambda n, w: n + F.least(F.lit(3), w["b"] - w["a"])
     )
     return at.withColumn(
-        "n_repeat_words", F.coalesce(F.when(F.size("_at") > 0, covered), F.lit(0)).cast("long")
-    ).drop("_words", "_held", "_placed", "_twice", "_at")
+        "n_repeat_words", F.coalesce(F.when(F.size("places") > 0, covered), F.lit(0)).cast("long")
+    )
 
 
 def base_failed(limits: Limits = Limits()) -> Column:
@@ -136,17 +135,15 @@ def quality_rules(
     `left_text` is the text without its host's frequent lines. The table of those
     lines is stored first; its size decides whether it is broadcast.
     """
-    frequent = stored(frequent_lines(docs, text, host, limits)).select(
-        F.col("host").alias("_host"), F.col("lines").alias("_frequent")
-    )
-    joined = with_signals(docs, text).join(
-        frequent, F.col(host).eqNullSafe(F.col("_host")), "left"
+    frequent = stored(frequent_lines(docs, text, host, limits)).withColumnRenamed("host", "of_host")
+    rows = packed(docs, text=text, host=host)
+    joined = _with_signals(rows).join(frequent, F.col("host").eqNullSafe(F.col("of_host")), "left")
+    left = F.when(F.col("lines").isNull(), F.col("text")).otherwise(
+        without_lines(F.col("text"), F.col("lines"))
     )
-    left = F.when(F.col("_frequent").isNull(), F.col(text)).otherwise(
-        without_lines(F.col(text), F.col("_frequent"))
-    )
-    judged = joined.withColumn("left_text", F.when(F.col(text).isNotNull(), left))
+    judged = joined.withColumn("left_text", F.when(F.col("text").isNotNull(), left))
     enough = 100 * word_chars(F.col("left_text")) >= limits.min_left_percent * F.col("word_chars")
-    return judged.withColumn("base_failed", base_failed(limits)).withColumn(
+    done = judged.withColumn("base_failed", base_failed(limits)).withColumn(
         "kept", ~F.col("base_failed") & enough
-    ).drop("_host", "_frequent")
+    )
+    return unpacked(done, docs.columns, [*SIGNALS, "base_failed", "left_text", "kept"])

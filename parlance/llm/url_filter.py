@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import stored
+from parlance.llm.common import packed, stored, unpacked
 from parlance.llm.urls import host_of, path_of, query_of
 
 
@@ -159,10 +159,9 @@ def judged_urls(
     `labelled` has (url, block); without it, the URLs that a rule fits are the
     labelled ones.
     """
-    columns = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
-    lexical = with_lexical(urls.select(*columns)).withColumn("_fit", matched_rule(rules))
+    lexical = with_lexical(packed(urls, url="url")).withColumn("fit", matched_rule(rules))
     if labelled is None:
-        known = lexical.where("_fit IS NOT NULL").withColumn("block", F.col("_fit.block"))
+        known = lexical.where("fit IS NOT NULL").withColumn("block", F.col("fit.block"))
     else:
         known = with_lexical(labelled.where("block IS NOT NULL").select("url", "block"))
     sample = stored(
@@ -184,8 +183,8 @@ def judged_urls(
         model = trees.fit(assembler.transform(rows.coalesce(2)).select("_features", "_label"))
         every = assembler.transform(with_statistics(lexical, counts, how))
         scored = model.transform(every).withColumn("_block", vector_to_array("_p")[1] >= how.threshold)
-    block = F.coalesce(F.col("_fit.block"), F.col("_block"))
-    return scored.select(
-        *columns, "host", "path", F.col("_fit.rule").alias("rule"),
-        F.when(block, F.lit("block")).otherwise(F.lit("allow")).alias("verdict"),
+    block = F.coalesce(F.col("fit.block"), F.col("_block"))
+    done = scored.withColumn("rule", F.col("fit.rule")).withColumn(
+        "verdict", F.when(block, F.lit("block")).otherwise(F.lit("allow"))
     )
+    return unpacked(done, urls.columns, ["host", "path", "rule", "verdict"])
