@@ -17,7 +17,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_PATTERN = r"[ \t\n\x0B\f\r]+"
 
 # Texts are worked on in slices of about so many bytes, however many a batch holds.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 IS_SPACE = np.isin(np.arange(256), [ord(c) for c in SPACES])
 BASE = 0x9E3779B97F4A7C15
