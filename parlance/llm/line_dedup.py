@@ -34,25 +34,29 @@ class Spread:
     max_removed_percent: int = 50
 
 
-def _site_lines(docs: DataFrame, text: str, site: str) -> DataFrame:
-    return docs.where(F.col(site).isNotNull()).select(
-        F.col(site).alias("site"), F.explode(line_hashes(F.col(text))).alias("line")
+def _text_key(text: str) -> list[Column]:
+    """128 bits that tell a text from others."""
+    return [F.xxhash64(F.col(text)).alias("key"), F.xxhash64(F.lit(1), F.col(text)).alias("check")]
+
+
+def text_lines(docs: DataFrame, text: str = "text", site: str = "source") -> DataFrame:
+    """(site, key, check, line) for each distinct line of each text."""
+    return docs.where(F.col(text).isNotNull()).select(
+        F.col(site).alias("site"), *_text_key(text), F.explode(line_hashes(F.col(text))).alias("line")
     )
 
 
-def spread_lines(
-    docs: DataFrame, text: str = "text", site: str = "source", spread: Spread = Spread()
-) -> DataFrame:
+def spread_lines(lines: DataFrame, spread: Spread = Spread()) -> DataFrame:
     """(line): hashes of the lines that are on `min_sites` sites or more."""
-    lines = _site_lines(docs, text, site)
+    placed = lines.where("site IS NOT NULL").select("line", "site")
     estimated = stored(
-        lines.groupBy("line")
+        placed.groupBy("line")
         .agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", spread.lg_k)).alias("sites"))
         .where(F.col("sites") >= spread.min_sites * (1 - spread.margin))
     )
     near = F.col("sites") <= spread.min_sites * (1 + spread.margin)
     exact = (
-        lines.join(estimated.where(near).select("line"), "line", "left_semi")
+        placed.join(estimated.where(near).select("line"), "line", "left_semi")
         .distinct()
         .groupBy("line").agg(F.count("*").alias("sites"))
         .where(F.col("sites") >= spread.min_sites)
@@ -65,17 +69,15 @@ def line_dedup(
 ) -> DataFrame:
     """Add n_lines, n_removed and left_text, the text without boilerplate lines.
 
-    The lines to remove are found once for each distinct text, so copies do not
-    repeat that work. A hot text is left to the skew join.
+    Line hashes are made once and stored; the lines to remove are found once for
+    each distinct text. A hot text is left to the skew join.
     """
-    flagged = stored(spread_lines(docs, text, site, spread))
-    rows = packed(
-        docs, text=text, key=F.xxhash64(F.col(text)), check=F.xxhash64(F.lit(1), F.col(text))
-    )
+    lines = stored(text_lines(docs, text, site))
+    flagged = stored(spread_lines(lines, spread))
+    key, check = _text_key(text)
+    rows = packed(docs, text=text, key=key, check=check)
     hits = (
-        rows.where("text IS NOT NULL")
-        .select("key", "check", F.explode(line_hashes(F.col("text"))).alias("line"))
-        .join(flagged, "line", "left_semi")
+        lines.join(flagged, "line", "left_semi")
         .groupBy("key", "check").agg(F.collect_set("line").alias("hits"))
     )
     joined = rows.join(hits, ["key", "check"], "left")
