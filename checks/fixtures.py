@@ -3,8 +3,6 @@
 Each adapter is plain Spark over whole tables, so its size grows with them.
 """
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +10,13 @@ from pyspark.sql import functions as F
 
 from parlance import constants as C
 from parlance.functions.text import truncate_last_terminator
+from parlance.operators.cleaning import word_frequencies
 from parlance.operators.documents import vector_documents
 from parlance.operators.keyed import lookup_join, number_within
 from parlance.operators.labelling import label_texts, validate_labels
 from parlance.operators.rollups import agent_rollup, conversation_rollup
 from parlance.operators.topics import Topics
+from parlance.sources.storage import shared_folder
 from parlance.sources.taxonomy import taxonomy_tables
 
 NOW = "2025-11-01 12:00:00"
@@ -38,18 +38,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared folder; a temporary one if none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="run-")
-    return os.path.join(shared, f"{name}-{uuid.uuid4().hex}")
+    """A new folder that the driver and the executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def chat_turns(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled turns from the conversations table, with templated openers and a noise tail."""
     chats = table(spark, sf, "conversations")
     first = chats.where("role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("first_user"))
-    rows = lookup_join(chats, first, ["conv_id"], "left", spread=["turn"])
+    rows = lookup_join(chats, first, ["conv_id"])
     intents = ", ".join(f"'{i}'" for i in C.INTENT_LABELS)
     signals = ", ".join(f"'{s}'" for s in C.EMPATHY_LABELS)
     openers = ", ".join(f'"{o}"' for o in OPENERS)
@@ -158,11 +155,7 @@ def chat_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def lexicon(spark: SparkSession, sf: str) -> DataFrame:
     """Words of the benchmark texts with their Zipf frequency."""
-    words = table(spark, sf, "benchmark").select(
-        F.explode(F.regexp_extract_all("text", F.lit(f"({C.WORD_PATTERN})"), F.lit(1))).alias("w")
-    ).groupBy(F.lower("w").alias("token")).agg(F.count("*").alias("n"))
-    total = words.agg(F.sum("n")).first()[0] or 1
-    return words.select("token", F.expr(f"round(log10(n * 1e9D / {total}), 2)").alias("zipf"))
+    return word_frequencies(table(spark, sf, "benchmark"), "text")
 
 
 def event_labels(spark: SparkSession, sf: str) -> DataFrame:

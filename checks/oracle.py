@@ -475,8 +475,8 @@ FROM documents""",
     "pending_texts": "SELECT text_clean, role FROM pending",
     "label_texts": "SELECT * REPLACE (md5(text_clean) AS text_clean,"
     f" {nine('sentiment_score')} AS sentiment_score) FROM ({rule_sql('document_pairs')})",
-    "label_texts_by_function": "SELECT role, 'neu' AS sentiment_label, count(*) AS n"
-    " FROM pending GROUP BY role",
+    "label_texts_by_function": r"SELECT role, CASE WHEN regexp_extract(text_clean, '\d+')::INT % 2"
+    " = 1 THEN 'neg' ELSE 'neu' END AS sentiment_label, count(*) AS n FROM pending GROUP BY ALL",
     "validate_labels": "SELECT * FROM accepted",
     "validate_labels_rejected": "SELECT text_clean, role, error FROM judged WHERE error IS NOT NULL",
     "upsert_labels": """
@@ -493,10 +493,12 @@ QUALIFY row_number() OVER (PARTITION BY text_clean ORDER BY fresh DESC, role) =
   CASE WHEN l.text_clean IS NOT NULL THEN '2025-12-03 00:00:00' ELSE {stamp('t.classified_at')}
     END AS classified_at
 FROM unlabelled t LEFT JOIN event_labels l ON t.text_clean = l.text_clean""",
+    "latest_turns": "SELECT conv_id, turn_index, role, text_raw FROM chat",
     "unlabelled_gate": "SELECT count(*) AS n_unlabelled FROM unlabelled WHERE sentiment_label IS NULL",
     "require_labelled": "SELECT role, count(*) AS n FROM event_turns GROUP BY role",
     "conversation_rollup": CONVERSATION_ROW + "chat_convs",
     "conversation_rollup_events": CONVERSATION_ROW + "event_convs",
+    "conversation_rollup_far": CONVERSATION_ROW + "chat_convs",
     "sentiment_trajectory_parts": """
 SELECT conv_id, (turn_index // 2)::BIGINT AS part,
   string_agg(round(sentiment_score * 1000)::BIGINT::VARCHAR, ',' ORDER BY turn_index) AS scores
@@ -545,6 +547,16 @@ FROM chat_convs JOIN (
 JOIN (SELECT conv_id, sum(length(role) + 3 + length(text_clean))::BIGINT + count(*) - 1 AS n_chars
       FROM chat GROUP BY conv_id) USING (conv_id)""",
     "embed_documents": "SELECT DISTINCT conv_id, 256::BIGINT AS dim, 1.0::DOUBLE AS norm FROM chat",
+    "embed_documents_far": "SELECT DISTINCT conv_id, 1.0::DOUBLE AS cosine FROM chat",
+    "embed_documents_by_function": """
+WITH docs AS (SELECT conv_id,
+    string_agg('[' || role || '] ' || text_clean, chr(10) ORDER BY turn_index) AS document
+  FROM chat GROUP BY conv_id),
+counts AS (SELECT conv_id, i, length(document) - length(replace(document, chr(97 + i::INT), '')) AS n
+  FROM docs, range(26) letters(i))
+SELECT conv_id, string_agg(round(10000 * (n / sqrt(total))::FLOAT::DOUBLE)::BIGINT::VARCHAR, ',' ORDER BY i)
+  AS vector
+FROM (SELECT *, sum(n * n) OVER (PARTITION BY conv_id) AS total FROM counts) GROUP BY conv_id""",
     "semantic_topk": topk_sql(10, "true", ", topic, escalation_flag"),
     "semantic_topk_all_cells": topk_sql(10, "true", ", topic, escalation_flag"),
     "semantic_topk_filtered": topk_sql(
@@ -678,12 +690,13 @@ LEFT JOIN (SELECT conv_id, turn_index, sentiment_score, text_clean FROM chat
   USING (conv_id)""",
     "append_sessions": f"""
 SELECT session_id, turn_idx, {stamp('created_at')} AS created_at,
-  {stamp('expires_at')} AS expires_at, question, answer, NULL::VARCHAR AS evidence
-FROM live WHERE toxic = 0
+  {stamp('expires_at')} AS expires_at, question, CASE WHEN toxic = 0 THEN answer END AS answer,
+  NULL::VARCHAR AS evidence, CASE WHEN toxic = 1 THEN '{{"answer": "cut' END AS broken
+FROM live
 UNION ALL
 SELECT source, coalesce(reached, -1) + row_number() OVER (PARTITION BY source ORDER BY doc_id),
   '2025-11-01 12:00:00', '2025-11-03 12:00:00', {redact('text')},
-  {redact("lang || ': ' || text")}, {redact('text')}
+  {redact("lang || ': ' || text")}, {redact('text')}, NULL
 FROM documents LEFT JOIN (SELECT session_id, max(turn_idx) AS reached FROM live GROUP BY ALL)
   ON session_id = source
 WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",

@@ -24,7 +24,7 @@ from parlance.operators import (
 from parlance.plans import questions
 from parlance.schema import LABELS
 from parlance.sources import storage
-from parlance.sources.turns import read_turns_csv, upsert_turns
+from parlance.sources.turns import latest_turns, read_turns_csv, upsert_turns
 
 DIGITS = 9
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,7 +86,23 @@ def read_turns(spark, sf):
         "conv_id", "turn_index", "date_format(timestamp, \"yyyy-MM-dd'T'HH:mm:ss\") AS timestamp",
         "role", "text_raw AS text", "customer_name", "agent_name",
     ).write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
-    return plain(read_turns_csv(spark, path))
+    return plain(read_turns_csv(spark, path).drop("row_order"))
+
+
+@query_named("latest_turns")
+def latest_turns_of_files(spark, sf):
+    """Turns in two files, of which the later one counts; a row repeats within a file."""
+    path = fx.scratch(spark, "turns-csv")
+    turns = fx.chat_turns(spark, sf)
+    old = turns.withColumn("text_raw", F.lit("first try."))
+    new = turns.withColumn("text_raw", F.explode(F.array(F.lit("then this."), F.col("text_raw"))))
+    for name, rows in (("a", old), ("b", new)):
+        rows.selectExpr(
+            "conv_id", "turn_index", "date_format(timestamp, \"yyyy-MM-dd'T'HH:mm:ss\") AS timestamp",
+            "role", "text_raw AS text", "customer_name", "agent_name",
+        ).write.csv(f"{path}/{name}", header=True, quote='"', escape='"', quoteAll=True)
+    found = latest_turns(read_turns_csv(spark, f"{path}/*"), "row_order")
+    return plain(found.select("conv_id", "turn_index", "role", "text_raw"))
 
 
 @query_named("upsert_turns")
@@ -282,16 +298,16 @@ def label_texts(spark, sf):
 
 @query
 def label_texts_by_function(spark, sf):
-    def shouting(frame):
-        upper = frame["text_clean"].str.count(r"[A-Z]") > frame["text_clean"].str.len() * 0.2
+    def by_number(frame):
+        odd = frame["text_clean"].str.extract(r"(\d+)")[0].astype(int) % 2 == 1
         return frame.assign(
-            sentiment_label=upper.map({True: "neg", False: "neu"}), sentiment_score=upper * -1.0,
+            sentiment_label=odd.map({True: "neg", False: "neu"}), sentiment_score=odd * -1.0,
             intent="other", empathy_signal="na", is_escalation=0, contains_pii=0, language="en",
             text_en=frame["text_clean"],
         )
 
     pending = labelling.pending_texts(fx.event_turns(spark, sf), fx.event_labels(spark, sf))
-    return plain(labelling.label_texts(pending, shouting, partitions=4).groupBy(
+    return plain(labelling.label_texts(pending, by_number, partitions=4).groupBy(
         "role", "sentiment_label").agg(F.count("*").alias("n")))
 
 
@@ -330,8 +346,8 @@ def propagate_labels(spark, sf):
 
 @query
 def unlabelled_gate(spark, sf):
-    turns = fx.unlabelled_event_turns(spark, sf)
-    return turns.where("sentiment_label IS NULL").agg(F.count("*").alias("n_unlabelled"))
+    found = labelling.unlabelled_gate(fx.unlabelled_event_turns(spark, sf))
+    return spark.createDataFrame([(found,)], "n_unlabelled long")
 
 
 @query
@@ -353,6 +369,13 @@ def conversation_rollup_events(spark, sf):
     return plain(fx.event_conversations(spark, sf))
 
 
+@query
+def conversation_rollup_far(spark, sf):
+    """The same conversations with turn indexes far apart."""
+    turns = fx.chat_turns(spark, sf).withColumn("turn_index", F.col("turn_index") * 70_000)
+    return plain(rollups.conversation_rollup(turns, fx.topics(spark)))
+
+
 @query
 def sentiment_trajectory_parts(spark, sf):
     return plain(rollups.sentiment_trajectory_parts(fx.event_turns(spark, sf), block=2))
@@ -413,6 +436,33 @@ def embed_documents(spark, sf):
         "conv_id", F.size("embedding").alias("dim"), F.round(F.sqrt(squares), 4).alias("norm")))
 
 
+@query
+def embed_documents_far(spark, sf):
+    """Vectors of conversations in many parts against those of the same in one part."""
+    turns = fx.chat_turns(spark, sf)
+    near = documents.vector_documents(turns)
+    far = documents.vector_documents(turns.withColumn("turn_index", F.col("turn_index") * 5_000))
+    model = vectors.fit_embedder(far)
+    one = vectors.embed_documents(near, model).select("conv_id", F.col("embedding").alias("a"))
+    many = vectors.embed_documents(far, model).select("conv_id", F.col("embedding").alias("b"))
+    product = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return plain(one.join(many, "conv_id", "full").select(
+        "conv_id", F.round(product, 4).alias("cosine")))
+
+
+@query
+def embed_documents_by_function(spark, sf):
+    """Vectors of letter counts, from a function over batches of texts."""
+    def letters(texts):
+        import numpy as np
+
+        return np.array([[t.count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts])
+
+    docs = vectors.embed_documents(fx.chat_documents(spark, sf), letters)
+    rounded = F.transform("embedding", lambda x: F.round(x * 10_000).cast("long").cast("string"))
+    return docs.select("conv_id", F.array_join(rounded, ",").alias("vector"))
+
+
 @query
 def semantic_topk(spark, sf):
     return plain(vectors.semantic_topk(
@@ -447,17 +497,14 @@ def semantic_topk_all_cells(spark, sf):
 
 @query
 def semantic_search_documents(spark, sf):
-    """Search of the chat documents for each agent's own words, with excerpts."""
+    """Search of the chat documents for the text of each customer's opening turn."""
     docs = fx.chat_documents(spark, sf)
     model = vectors.fit_embedder(docs)
     stored = storage.write_vectors(
         vectors.embed_documents(docs, model), fx.scratch(spark, "vectors"))
-    asked = fx.chat_turns(spark, sf).where("turn_index <= 1 AND role = 'customer'").groupBy(
-        F.col("intent").alias("query_id")).agg(F.min("text_clean").alias("document"))
-    hits = vectors.semantic_topk(
-        stored, vectors.embed_documents(asked, model), k=3, language="en",
-        details=["document", "metadata.topic", "metadata.agent_name"])
-    return plain(hits.withColumn("document", doc_excerpt(F.col("document"))))
+    asked = fx.chat_turns(spark, sf).where("role = 'customer'").groupBy(
+        F.col("conv_id").alias("query_id")).agg(F.min_by("text_clean", "turn_index").alias("query"))
+    return plain(vectors.semantic_search(stored, asked, model, k=3, language="en"))
 
 
 # Queries.
@@ -649,7 +696,8 @@ def append_sessions(spark, sf):
         "session_id", "turn_idx", "created_at", "expires_at", "question",
         F.get_json_object("answer_json", "$.answer").alias("answer"),
         F.get_json_object("answer_json", "$.evidence[0]").alias("evidence"),
-    ).where("answer IS NOT NULL"))
+        F.when(F.try_parse_json("answer_json").isNull(), F.col("answer_json")).alias("broken"),
+    ))
 
 
 @query

@@ -33,9 +33,10 @@ def tidy_spaces(text: Column) -> Column:
 
 
 def redact_pii(text: Column) -> Column:
-    """Replace e-mail addresses, then card numbers, then phone numbers.
+    r"""Replace e-mail addresses, then card numbers, then phone numbers.
 
-    `(?U)` gives digits, blanks and word boundaries their Unicode meaning. Texts
+    `(?U)` gives digits and word boundaries their Unicode meaning; blanks are those
+    of SPACE_CLASS, which holds the four separators that `(?U)\s` lacks. Texts
     without an @ or without a stretch of digits skip the costly patterns: every
     card or phone number holds such a stretch.
     """
@@ -44,8 +45,10 @@ def redact_pii(text: Column) -> Column:
         F.regexp_replace(text, "(?U)" + C.EMAIL_PATTERN, C.EMAIL_MARK),
     ).otherwise(text)
     no_card = F.regexp_replace(no_mail, "(?U)" + C.CARD_PATTERN, C.CARD_MARK)
-    no_phone = F.regexp_replace(no_card, "(?U)" + C.PHONE_PATTERN, C.PHONE_MARK)
-    digits = text.rlike(r"\p{Nd}[\p{Nd}\p{IsWhite_Space}().-]{7,}\p{Nd}")
+    no_phone = F.regexp_replace(
+        no_card, "(?U)" + C.PHONE_PATTERN.replace(r"\s", SPACE_CLASS), C.PHONE_MARK
+    )
+    digits = text.rlike(r"\p{Nd}[\p{Nd}" + SPACE_CLASS + r"().-]{7,}\p{Nd}")
     return F.when(digits, no_phone).otherwise(no_mail)
 
 

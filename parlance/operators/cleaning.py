@@ -1,7 +1,7 @@
 """Cleaning of turn text against a lexicon of known words.
 
-Texts repeat, so every text is tokenised once. Only positions of gibberish words
-are gathered per text, and only texts that lose a word are rebuilt and joined back.
+Texts repeat, so every text is tokenised once. Positions of gibberish words are
+gathered per text and joined to the rows by a digest of the text.
 """
 
 from collections.abc import Sequence
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from parlance import constants as C
 from parlance.functions.text import tidy_spaces, truncate_last_terminator
-from parlance.operators.keyed import fits_broadcast, lookup_join, settle
+from parlance.operators.keyed import fits_broadcast, lookup_join
+
 
 def _words(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """One row per word token: keys, pos (0 for the first word), token, word.
@@ -68,15 +69,16 @@ def _gibberish_rows(
 ) -> DataFrame:
     """Word tokens that are not known words.
 
-    A lexicon measured to be small is broadcast, and no token is shuffled. A
-    larger one is compared with the distinct words, and hot words are salted.
+    A lexicon measured to be small is broadcast, and no token is shuffled; only
+    the lexicon is read for that, not the texts. A larger one is compared with
+    the distinct words first.
     """
     words = _words(df, keys, text)
-    known = settle(_known_words(lexicon, allow, threshold))
-    if fits_broadcast(known):
+    known = _known_words(lexicon, allow, threshold)
+    if fits_broadcast(lexicon):
         return words.join(F.broadcast(known), "word", "left_anti")
     unknown = words.select("word").distinct().join(known, "word", "left_anti")
-    return lookup_join(words, unknown, ["word"], "left_semi", spread=[*keys, "pos"])
+    return lookup_join(words, unknown, ["word"], "left_semi")
 
 
 def gibberish_tokens(
@@ -92,23 +94,24 @@ def gibberish_tokens(
     return rows.select(*keys, "pos", "token")
 
 
-def _with_positions(
-    df: DataFrame, text: str, lexicon: DataFrame,
+def _with_digest(df: DataFrame, text: str) -> DataFrame:
+    """Add 128 bits that stand for a text, so that no join or grouping moves texts as keys."""
+    return df.withColumns({
+        "_d1": F.xxhash64(F.col(text)), "_d2": F.xxhash64(F.lit(1), F.col(text))
+    })
+
+
+def _positions(
+    keyed: DataFrame, text: str, lexicon: DataFrame,
     allow: DataFrame | Sequence[str], threshold: float,
 ) -> DataFrame:
-    """Distinct texts that hold gibberish, with the positions of it.
-
-    Tokens carry a digest, not the text, through the shuffles.
-    """
+    """(digest, positions) of each distinct text that holds gibberish."""
     texts = (
-        df.select(text).where(F.col(text).isNotNull()).distinct()
-        .withColumn("_digest", F.sha2(text, 256))
-    )
-    positions = (
-        _gibberish_rows(texts, ["_digest"], text, lexicon, allow, threshold)
-        .groupBy("_digest").agg(F.collect_list("pos").alias("_positions"))
+        keyed.where(F.col(text).isNotNull()).select("_d1", "_d2", F.col(text).alias("_text"))
+        .dropDuplicates(["_d1", "_d2"])
     )
-    return texts.join(positions, "_digest").drop("_digest")
+    rows = _gibberish_rows(texts, ["_d1", "_d2"], "_text", lexicon, allow, threshold)
+    return rows.groupBy("_d1", "_d2").agg(F.collect_list("pos").alias("_positions"))
 
 
 def strip_gibberish(
@@ -119,16 +122,19 @@ def strip_gibberish(
     threshold: float = C.ZIPF_THRESHOLD,
     into: str = "stripped",
 ) -> DataFrame:
-    """Add the text without its gibberish words, white space tidied."""
-    found = _with_positions(df, text, lexicon, allow, threshold)
-    changed = settle(
-        _without_words(found, text, "_positions", "_rebuilt")
-        .select(text, tidy_spaces(F.col("_rebuilt")).alias("_rebuilt"))
+    """Add the text without its gibberish words, white space tidied.
+
+    Only digests and positions are joined to the rows; a text is rebuilt where it is.
+    """
+    keyed = _with_digest(df, text)
+    found = lookup_join(
+        keyed, _positions(keyed, text, lexicon, allow, threshold), ["_d1", "_d2"]
     )
+    kept = F.when(F.col("_positions").isNull(), F.col(text)).otherwise(F.col("_rebuilt"))
     return (
-        lookup_join(df, changed, [text], "left", measure=True)
-        .withColumn(into, F.coalesce("_rebuilt", tidy_spaces(F.col(text))))
-        .drop("_rebuilt")
+        _without_words(found, text, "_positions", "_rebuilt")
+        .withColumn(into, tidy_spaces(kept))
+        .select(*[c for c in df.columns if c != into], into)
     )
 
 
@@ -141,19 +147,30 @@ def gibberish_ratio(
     into: str = "gibberish_ratio",
 ) -> DataFrame:
     """Add the share of word tokens that are gibberish; 0.0 without words."""
-    found = settle(
-        _with_positions(df, text, lexicon, allow, threshold)
-        .select(text, F.size("_positions").alias("_bad"))
+    keyed = _with_digest(df, text)
+    found = _positions(keyed, text, lexicon, allow, threshold).select(
+        "_d1", "_d2", F.size("_positions").alias("_bad")
     )
     n_words = F.regexp_count(F.col(text), F.lit(C.WORD_PATTERN))
     ratio = F.try_divide(F.col("_bad").cast("double"), n_words.cast("double"))
     return (
-        lookup_join(df, found, [text], "left", measure=True)
-        .withColumn(into, F.coalesce(ratio, F.lit(0.0)))
-        .drop("_bad")
+        lookup_join(keyed, found, ["_d1", "_d2"])
+        .withColumn(into, F.when(F.col("_bad").isNull(), 0.0).otherwise(F.coalesce(ratio, F.lit(0.0))))
+        .select(*[c for c in df.columns if c != into], into)
     )
 
 
+def word_frequencies(df: DataFrame, text: str, digits: int = 2) -> DataFrame:
+    """A lexicon (token, zipf) from a corpus: the logarithm of a word's count per 10^9 words.
+
+    The number of words is counted when this is called.
+    """
+    words = _words(df, [], text).groupBy(F.col("word").alias("token")).agg(F.count("*").alias("n"))
+    total = words.agg(F.sum("n")).first()[0] or 1
+    zipf = F.log10(F.col("n") * F.lit(1e9) / F.lit(total))
+    return words.select("token", F.round(zipf, digits).alias("zipf"))
+
+
 def clean_turns(
     turns: DataFrame,
     lexicon: DataFrame | None = None,

@@ -205,12 +205,12 @@ def rank_agents(
 
 
 def _chosen(df: DataFrame, conv_ids: Sequence[str] | DataFrame | None) -> DataFrame:
-    """Rows of the given conversations; ids in a table are best stored ones."""
+    """Rows of the given conversations. A table of ids is joined as its size allows."""
     if conv_ids is None:
         return df
     if isinstance(conv_ids, DataFrame):
         wanted = conv_ids.select("conv_id").distinct()
-        return lookup_join(df, wanted, ["conv_id"], "left_semi", measure=True)
+        return df.join(wanted, "conv_id", "left_semi")
     return df.where(F.col("conv_id").isin(*conv_ids))
 
 
@@ -274,10 +274,20 @@ def topic_counts(conversations: DataFrame, topics: Topics) -> DataFrame:
 
 
 def topic_example(conversations: DataFrame) -> DataFrame:
-    """The most negative conversation of each topic, ties by conv_id; NULL without scores."""
+    """The most negative conversation of each topic, ties by conv_id; NULL without scores.
+
+    First the lowest score of each topic, then the least id at that score: both
+    are hash aggregates, and no partition of conversations is sorted.
+    """
     score = F.col("customer_sentiment_overall")
-    by = F.when(score.isNotNull(), F.struct(score.alias("score"), F.col("conv_id").alias("id")))
-    return conversations.groupBy("topic").agg(F.min_by("conv_id", by).alias("conv_id"))
+    lowest = conversations.groupBy(F.col("topic").alias("_topic")).agg(F.min(score).alias("_low"))
+    at_lowest = conversations.select("topic", "conv_id", score.alias("_score")).join(
+        lowest, F.col("topic").eqNullSafe(F.col("_topic")) & (F.col("_score") == F.col("_low")), "left_semi"
+    )
+    found = at_lowest.groupBy(F.col("topic").alias("_found")).agg(F.min("conv_id").alias("conv_id"))
+    return lowest.join(found, F.col("_topic").eqNullSafe(F.col("_found")), "left").select(
+        F.col("_topic").alias("topic"), "conv_id"
+    )
 
 
 def list_topics(

@@ -1,10 +1,10 @@
 """Joins, numbering and look-back that stay balanced when one key is hot.
 
 A key (a text, a conversation, a session) may hold a large share of all rows.
-Nothing here sends all rows of a key to one task.
+Joins are plain ones, whose hot partitions adaptive execution splits; numbering
+and look-back work inside blocks of a key.
 """
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,26 +13,15 @@ from pyspark.sql import types as T
 
 from parlance.schema import TURN_BLOCK
 
-SALTS = 8
-
 # A table is broadcast only if it was measured to be within both bounds.
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 128 * 1024 * 1024
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute a table once and cut its lineage, in the cluster's checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="run-"))
-    return df.checkpoint()
-
-
 def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
-    """Measure a table that is stored or settled: is it small enough to broadcast?"""
+    """Measure a stored table: is it small enough to broadcast? One row per task is moved."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     lists = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
     width = F.lit(8 * len(df.columns))
@@ -40,39 +29,24 @@ def fits_broadcast(
         width = width + F.coalesce(F.octet_length(name), F.lit(0))
     for name in lists:
         width = width + 8 * F.coalesce(F.size(name), F.lit(0))
-    size = df.select(width.alias("width")).limit(max_rows + 1).agg(
-        F.count("*").alias("n"), F.coalesce(F.sum("width"), F.lit(0)).alias("bytes")
+    size = df.agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")
     ).first()
     return size["n"] <= max_rows and size["bytes"] <= max_bytes
 
 
 def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    spread: Sequence[str] | None = None,
-    salts: int = SALTS,
-    measure: bool = False,
+    facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", measure: bool = False
 ) -> DataFrame:
-    """Join facts to a lookup that has one row per key, safe for hot keys.
+    """Join facts to a lookup that has one row per key.
 
-    With `measure`, a stored or settled lookup that is small is broadcast, and
-    the facts are not shuffled. Otherwise the keys are salted: the rows of a key
-    are spread over `salts` shuffle keys by a hash of the `spread` columns
-    (stable under task retries), and the lookup is repeated once per salt.
+    With `measure`, a stored lookup that is small is broadcast, and the facts are
+    not shuffled. Otherwise it is a plain join: nothing is copied for cold keys,
+    and a hot key's partition is split by the skew join of adaptive execution.
     """
-    on = list(on)
     if measure and fits_broadcast(lookup):
-        return facts.join(F.broadcast(lookup), on, how)
-    spread = list(spread or [c for c in facts.columns if c not in on] or on)
-    salted = facts.withColumn(
-        "_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    )
-    repeated = lookup.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+        lookup = F.broadcast(lookup)
+    return facts.join(lookup, list(on), how)
 
 
 def block_of(index: Column, block: int = TURN_BLOCK) -> Column:
@@ -80,6 +54,33 @@ def block_of(index: Column, block: int = TURN_BLOCK) -> Column:
     return F.floor(index / F.lit(block)).cast("long")
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on keys that may be null; the right table's keys are dropped."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(renamed, same, how).drop(*(f"_r_{k}" for k in keys))
+
+
+def _in_blocks(df: DataFrame, keys: Sequence[str], order: str, block: int) -> DataFrame:
+    """Add `_block`: stretches of the order column, as wide as hold some `block` rows.
+
+    The width follows how far a key's values are spread, so a key has no more
+    blocks than its rows divided by `block`, plus one, however sparse the values.
+    """
+    spans = df.groupBy(*keys).agg(
+        F.min(order).cast("long").alias("_low"),
+        (F.max(order).cast("decimal(38,0)") - F.min(order) + 1).alias("_span"),
+        F.count("*").alias("_rows"),
+    ).select(
+        *keys, "_low",
+        F.greatest(F.ceil(F.col("_span") * block / F.col("_rows")), F.lit(1)).alias("_width"),
+    )
+    from_low = F.col(order).cast("decimal(38,0)") - F.col("_low")
+    return _null_safe(df, spans, keys, "left").withColumn(
+        "_block", F.floor(from_low / F.col("_width")).cast("long")
+    ).drop("_low", "_width")
+
+
 def number_within(
     df: DataFrame, keys: Sequence[str], order: str, into: str, block: int = TURN_BLOCK
 ) -> DataFrame:
@@ -89,7 +90,7 @@ def number_within(
     sizes of the earlier blocks, so a window sees one block or one row per block.
     """
     keys = list(keys)
-    rows = df.withColumn("_block", block_of(F.col(order), block))
+    rows = _in_blocks(df, keys, order, block)
     earlier = (
         rows.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
         .withColumn(
@@ -104,8 +105,7 @@ def number_within(
     )
     inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(order))
     return (
-        rows.withColumn("_inside", inside)
-        .join(earlier, [*keys, "_block"], "left")
+        _null_safe(rows.withColumn("_inside", inside), earlier, [*keys, "_block"], "left")
         .withColumn(into, F.coalesce("_before", F.lit(0)) + F.col("_inside") - 1)
         .drop("_block", "_inside", "_before")
     )
@@ -125,7 +125,7 @@ def previous_within(
     next one, so a window sees one block or one row per block.
     """
     keys = list(keys)
-    rows = df.withColumn("_block", block_of(F.col(order), block))
+    rows = _in_blocks(df, keys, order, block)
     handed = (
         rows.groupBy(*keys, "_block").agg(F.max_by(value, order).alias("_last"))
         .withColumn(
@@ -135,8 +135,7 @@ def previous_within(
     )
     inside = F.lag(value).over(Window.partitionBy(*keys, "_block").orderBy(order))
     return (
-        rows.withColumn("_inside", inside)
-        .join(handed, [*keys, "_block"], "left")
+        _null_safe(rows.withColumn("_inside", inside), handed, [*keys, "_block"], "left")
         .withColumn(into, F.coalesce("_inside", "_handed"))
         .drop("_block", "_inside", "_handed")
     )

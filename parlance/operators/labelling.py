@@ -129,7 +129,8 @@ def check_labels(raw: DataFrame) -> DataFrame:
         .when(_outside("is_escalation", (0, 1)), "bad is_escalation")
         .when(_outside("contains_pii", (0, 1)), "bad contains_pii")
         .when(_outside("language", C.LANGUAGE_LABELS), "bad language")
-        .when(text_en == "", "text_en is empty")
+        # The translation of an empty text is empty.
+        .when((text_en == "") & (strip(F.col("text_clean")) != ""), "text_en is empty")
     )
     return raw.withColumn("error", error)
 
@@ -202,7 +203,7 @@ def propagate_labels(turns: DataFrame, labels: DataFrame) -> DataFrame:
         *[F.col(c).alias(f"_{c}") for c in LABEL_COLUMNS],
     )
     joined = lookup_join(
-        turns, found, ["text_clean"], "left", spread=["conv_id", "turn_index"], measure=True
+        turns, found, ["text_clean"], "left", measure=True
     )
     new = {
         c: F.when(F.col("_found"), F.col(f"_{c}")).otherwise(F.col(c))

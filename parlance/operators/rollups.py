@@ -7,7 +7,7 @@ from parlance import constants as C
 from parlance.functions.scores import closes_conversation, empathy_score, present
 from parlance.operators.keyed import block_of
 from parlance.operators.topics import Topics, resolve_topic
-from parlance.schema import INLINE_TURNS, TURN_BLOCK
+from parlance.schema import TURN_BLOCK
 
 CONVERSATION_COLUMNS = (
     "conv_id", "customer_name", "agent_name", "start_ts", "end_ts", "turn_count", "topic",
@@ -36,19 +36,17 @@ def _resolution(turns: DataFrame) -> DataFrame:
     )
 
 
-def conversation_rollup(
-    turns: DataFrame, topics: Topics, inline_turns: int = INLINE_TURNS
-) -> DataFrame:
+def conversation_rollup(turns: DataFrame, topics: Topics) -> DataFrame:
     """One row per conversation, from turns with a unique (conv_id, turn_index).
 
     Everything but the last-two rule is one aggregate with partial sums on the
-    map side. The trajectory holds at most `inline_turns` scores; a conversation
-    with a higher turn index has NULL there (see sentiment_trajectory_parts).
+    map side. The trajectory holds every customer score, whatever the length (see
+    sentiment_trajectory_parts for rows of bounded size).
     """
     turn = F.col("turn_index")
     is_customer = F.col("role") == "customer"
     is_agent = F.col("role") == "agent"
-    scored = is_customer & F.col("sentiment_score").isNotNull() & (turn < inline_turns)
+    scored = is_customer & F.col("sentiment_score").isNotNull()
     first_name = {
         name: F.min_by(name, F.when(present(F.col(name)).isNotNull(), turn))
         for name in ("customer_name", "agent_name")
@@ -62,7 +60,6 @@ def conversation_rollup(
         F.min_by("text_clean", F.when(is_customer, turn)).alias("_opener"),
         F.avg(_customer_score()).alias("customer_sentiment_overall"),
         F.collect_list(F.when(scored, F.struct("turn_index", "sentiment_score"))).alias("_scores"),
-        F.max("turn_index").alias("_last"),
         F.max(F.when(F.col("is_escalation") == 1, 1).otherwise(0)).alias("escalation_flag"),
         F.avg(F.when(is_agent, empathy_score(F.col("empathy_signal"))))
         .alias("agent_empathy_mean"),
@@ -71,7 +68,7 @@ def conversation_rollup(
     in_order = F.transform(F.array_sort("_scores"), lambda s: s["sentiment_score"])
     return (
         resolve_topic(folded.join(_resolution(turns), "conv_id"), "_opener", topics)
-        .withColumn("sentiment_trajectory", F.when(F.col("_last") < inline_turns, in_order))
+        .withColumn("sentiment_trajectory", in_order)
         .select(*CONVERSATION_COLUMNS)
     )
 

@@ -86,8 +86,9 @@ def score_answers(answers: DataFrame, specs: DataFrame | None = None) -> DataFra
 def eval_summary(scored: DataFrame) -> DataFrame:
     """One row: status rates, latency mean, median and p95, mean grounding; 0 if empty.
 
-    Rows are first summed per latency. Latencies have two decimals, so the table
-    that is then sorted in one task holds few rows.
+    Rows are first summed per latency, then numbered inside blocks of latencies
+    that grow with the logarithm; there are a few thousand blocks at most, and
+    only these meet in one window.
     """
     counted = scored.groupBy(F.round("latency_s", 2).alias("latency_s")).agg(
         F.count("*").alias("n"),
@@ -95,11 +96,21 @@ def eval_summary(scored: DataFrame) -> DataFrame:
         F.count("grounding_score").alias("n_grounding"),
         *[F.count_if(F.col("status") == s).alias(s) for s in C.EVAL_STATUSES],
     )
-    upto = Window.orderBy("latency_s")
-    every = upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    placed = counted.withColumns({
-        "_seen": F.sum("n").over(upto), "_last": F.sum("n").over(every) - 1
-    })
+    cents = F.col("latency_s") * 100
+    blocked = counted.withColumn(
+        "_block",
+        F.when(F.col("latency_s").isNull(), -1)
+        .when(cents > 0, F.floor(F.log2(1 + cents) * 64)).otherwise(0).cast("int"),
+    )
+    upto = Window.partitionBy(F.lit(0)).orderBy("_block")
+    blocks = blocked.groupBy("_block").agg(F.sum("n").alias("_n")).withColumns({
+        "_before": F.sum("_n").over(upto) - F.col("_n"),
+        "_last": F.sum("_n").over(Window.partitionBy(F.lit(0))) - 1,
+    }).drop("_n")
+    inside = Window.partitionBy("_block").orderBy("latency_s")
+    placed = blocked.withColumn("_inside", F.sum("n").over(inside)).join(
+        F.broadcast(blocks), "_block"
+    ).withColumn("_seen", F.col("_before") + F.col("_inside"))
 
     def at(position):
         """The latency at a 0-based position of the sorted list."""

@@ -25,7 +25,7 @@ def append_sessions(
     kept = purge_expired(sessions, now)
     reached = kept.groupBy("session_id").agg(F.max("turn_idx").alias("_reached"))
     numbered = number_within(new, ["session_id"], "seq", into="_position")
-    based = lookup_join(numbered, reached, ["session_id"], "left", spread=["seq"])
+    based = lookup_join(numbered, reached, ["session_id"])
     answer = [redact_pii(F.col("answer")).alias("answer")]
     if "evidence" in new.columns:
         answer.append(F.transform("evidence", redact_pii).alias("evidence"))

@@ -1,21 +1,29 @@
 """Embedding of documents and cosine search over the vectors."""
 
+import functools
+import heapq
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance import constants as C
+from parlance.functions.text import doc_excerpt
 from parlance.operators.conversations import check_choice, check_range
 
-# Query vectors are sent to every task; more than this many are refused.
-MAX_QUERIES = 1024
+# Query vectors are sent to every task, in blocks of this many; a block is a scan.
+QUERY_BLOCK = 1024
+
+# Up to so many hits are known to be small enough to broadcast.
+BROADCAST_HITS = 200_000
 
 # Similarities are ranked at this precision, so that equal vectors tie and the
 # id decides, whatever the order of the sums in a task.
@@ -24,18 +32,46 @@ RANK_DIGITS = 9
 # Documents and their vectors go through Python in batches of this many.
 EMBED_BATCH = 64
 
+# What a search hit tells about a conversation, besides id, similarity and excerpt.
+SEARCH_FIELDS = (
+    "topic", "agent_name", "customer_sentiment_overall", "language", "escalation_flag",
+)
+
 
 def fit_embedder(docs: DataFrame, dim: int = 256, document: str = "document") -> PipelineModel:
-    """The built-in embedder: hashed word counts weighted by inverse document frequency."""
-    from pyspark.ml import Pipeline
+    """The built-in embedder: hashed word counts weighted by inverse document frequency.
 
-    stages = [
+    A conversation in several parts is one document.
+    """
+    counters = [
         Tokenizer(inputCol=document, outputCol="_words"),
         HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dim),
-        IDF(inputCol="_counts", outputCol="_weights"),
-        Normalizer(inputCol="_weights", outputCol="_unit", p=2.0),
     ]
-    return Pipeline(stages=stages).fit(docs)
+    counted = _counted(docs, counters)
+    weights = IDF(inputCol="_counts", outputCol="_weights").fit(counted)
+    return PipelineModel([
+        *counters, weights, Normalizer(inputCol="_weights", outputCol="_unit", p=2.0)
+    ])
+
+
+def _counted(docs: DataFrame, counters: Sequence) -> DataFrame:
+    """Add `_counts`; the counts of a conversation's parts are added up."""
+    out = docs
+    for stage in counters:
+        out = stage.transform(out)
+    out = out.drop("_words")
+    if "part" not in docs.columns:
+        return out
+    return _one_row(out, docs, Summarizer.sum(F.col("_counts")), "_counts")
+
+
+def _one_row(parts: DataFrame, docs: DataFrame, gathered: Column, into: str) -> DataFrame:
+    """One row per conversation: what is gathered over its parts, the rest from the first one."""
+    rest = [c for c in docs.columns if c not in ("conv_id", "part")]
+    first = F.min(F.struct("part", *rest)).alias("_first")
+    return parts.groupBy("conv_id").agg(first, gathered.alias(into)).select(
+        "conv_id", *[F.col(f"_first.{c}").alias(c) for c in rest], into
+    )
 
 
 def embed_documents(
@@ -48,15 +84,18 @@ def embed_documents(
 
     `embedder` is a fitted pipeline (embed queries with the same one), or a
     function from a list of texts to a matrix; by default a pipeline is fitted
-    on the documents themselves.
+    on the documents themselves. A conversation in several parts gets one row
+    and one vector: its word counts are summed over the parts, or the parts'
+    vectors averaged by length; the other columns are those of its first part.
     """
     if embedder is None:
         embedder = fit_embedder(docs, dim, document)
     if isinstance(embedder, PipelineModel):
+        counted = _counted(docs, embedder.stages[:2])
         return (
-            embedder.transform(docs)
+            PipelineModel(embedder.stages[2:]).transform(counted)
             .withColumn("embedding", vector_to_array("_unit", dtype="float32"))
-            .drop("_words", "_counts", "_weights", "_unit")
+            .drop("_counts", "_weights", "_unit")
         )
     embed, batch = embedder, EMBED_BATCH
 
@@ -68,9 +107,20 @@ def embed_documents(
             rows.extend(found / np.where(norms == 0, 1, norms))
         return pd.Series(rows, index=texts.index)
 
-    return docs.withColumn(
+    embedded = docs.withColumn(
         "embedding", F.pandas_udf(run, T.ArrayType(T.FloatType()))(F.col(document))
     )
+    if "part" not in docs.columns:
+        return embedded
+    length = F.greatest(F.length(document), F.lit(1)).cast("double")
+    parts = embedded.withColumns({"_vector": array_to_vector("embedding"), "_length": length})
+    mean = Summarizer.mean(F.col("_vector"), F.col("_length"))
+    unit = Normalizer(inputCol="_mean", outputCol="_unit", p=2.0)
+    return (
+        unit.transform(_one_row(parts, docs, mean, "_mean"))
+        .withColumn("embedding", vector_to_array("_unit", dtype="float32"))
+        .drop("_mean", "_unit")
+    )
 
 
 def filter_documents(
@@ -106,15 +156,16 @@ def filter_documents(
     return kept
 
 
-def _query_vectors(queries: DataFrame, query_id: str) -> tuple[list, np.ndarray]:
-    rows = queries.select(query_id, "embedding").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(
-            f"more than {MAX_QUERIES} query vectors; search them in several calls"
-        )
-    matrix = np.array([r["embedding"] for r in rows], dtype="float64")
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True) if len(rows) else matrix
-    return [r[query_id] for r in rows], matrix / np.where(norms == 0, 1, norms)
+def _query_vectors(queries: DataFrame, query_id: str) -> list[tuple[list, np.ndarray]]:
+    """The queries as blocks of (ids, unit vectors)."""
+    rows = queries.select(query_id, "embedding").collect()
+    blocks = []
+    for start in range(0, len(rows), QUERY_BLOCK):
+        part = rows[start : start + QUERY_BLOCK]
+        matrix = np.array([r["embedding"] for r in part], dtype="float64")
+        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+        blocks.append(([r[query_id] for r in part], matrix / np.where(norms == 0, 1, norms)))
+    return blocks
 
 
 def semantic_topk(
@@ -129,36 +180,79 @@ def semantic_topk(
     """The k most similar documents per query vector: query_id, rank, doc_id, similarity.
 
     Exact cosine search. Each task scores its documents with matrix products and
-    keeps k distinct ids per query; only those are shuffled. Filters are those of
-    filter_documents and come before any scoring. A document of several parts
-    counts with its best one. `details` names columns of the first part to add.
+    keeps k distinct ids per query; only those are shuffled. Queries go through
+    the documents in blocks, so there may be any number of them. Filters are those
+    of filter_documents and come before any scoring. A document of several rows
+    counts with its best one. `details` names columns to add, of its first row.
     """
     check_range("k", k, 1, C.MAX_K)
     kept = filter_documents(docs, **filters)
-    names, matrix = _query_vectors(queries, query_id)
-    id_type = docs.schema[doc_id].dataType
+    blocks = _query_vectors(queries, query_id)
     name_type = queries.schema[query_id].dataType
+    hits = _hits(kept, blocks, k, doc_id, query_id, name_type)
+    return _with_details(kept, hits, sum(len(n) for n, _ in blocks) * k, doc_id, query_id, details)
+
+
+def _hits(kept, blocks, k, doc_id, query_id, name_type) -> DataFrame:
+    """(query_id, rank, doc_id, similarity): a scan and a merge for each block of queries."""
     partial = T.StructType([
         T.StructField(query_id, name_type),
-        T.StructField(doc_id, id_type),
+        T.StructField(doc_id, kept.schema[doc_id].dataType),
         T.StructField("similarity", T.DoubleType()),
     ])
-    best = (
-        kept.select(doc_id, "embedding").where(F.col("embedding").isNotNull())
-        .mapInArrow(_search_task(names, matrix, k, RANK_DIGITS, partial), partial)
-        .groupBy(query_id, doc_id).agg(F.max("similarity").alias("similarity"))
+    vectors = kept.select(doc_id, "embedding").where(F.col("embedding").isNotNull())
+    scans = [
+        vectors.mapInArrow(_search_task(names, matrix, k, RANK_DIGITS, partial), partial)
+        for names, matrix in blocks
+    ] or [kept.sparkSession.createDataFrame([], partial)]
+    best = functools.reduce(DataFrame.unionByName, scans).groupBy(query_id, doc_id).agg(
+        F.max("similarity").alias("similarity")
     )
     order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), doc_id)
-    hits = (
+    return (
         best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         .select(query_id, "rank", doc_id, "similarity")
     )
+
+
+def _with_details(kept, hits, n_hits, doc_id, query_id, details) -> DataFrame:
     if not details:
         return hits
-    first = kept.where("part = 0") if "part" in kept.columns else kept
-    # At most MAX_QUERIES * MAX_K hits, so they are small enough to broadcast.
-    return first.select(doc_id, *details).join(F.broadcast(hits), doc_id).select(
-        query_id, "rank", doc_id, "similarity", *[d.split(".")[-1] for d in details]
+    names = [d.split(".")[-1] for d in details]
+    fields = [F.col(d).alias(n) for d, n in zip(details, names, strict=True)]
+    found = F.broadcast(hits) if n_hits <= BROADCAST_HITS else hits
+    if "part" in kept.columns:
+        rows = kept.select(doc_id, "part", F.struct(*fields).alias("_fields")).join(
+            found.select(doc_id).distinct(), doc_id, "left_semi"
+        ).groupBy(doc_id).agg(F.min(F.struct("part", "_fields")).alias("_at"))
+        rows = rows.select(doc_id, *[F.col(f"_at._fields.{n}").alias(n) for n in names])
+    else:
+        rows = kept.select(doc_id, *fields)
+    return rows.join(found, doc_id).select(query_id, "rank", doc_id, "similarity", *names)
+
+
+def semantic_search(
+    docs: DataFrame,
+    queries: DataFrame,
+    embedder: PipelineModel | Callable[[list[str]], np.ndarray],
+    k: int = 5,
+    query: str = "query",
+    query_id: str = "query_id",
+    **filters,
+) -> DataFrame:
+    """Search embedded conversations by text: ids, similarity, excerpt and metadata.
+
+    `queries` has an id and a text each; they are embedded with the embedder that
+    embedded the conversations.
+    """
+    asked = embed_documents(
+        queries.select(query_id, F.col(query).alias("document")), embedder
+    )
+    details = ["document", *(f"metadata.{f}" for f in SEARCH_FIELDS)]
+    hits = semantic_topk(docs, asked, k, query_id=query_id, details=details, **filters)
+    return hits.select(
+        query_id, "rank", "conv_id", "similarity",
+        doc_excerpt(F.col("document")).alias("document_excerpt"), *SEARCH_FIELDS,
     )
 
 
@@ -209,7 +303,7 @@ def _search_task(names, matrix, k, digits, schema):
 
 def cell_planes(dim: int, bits: int, seed: int = 7) -> np.ndarray:
     """Random hyperplanes that cut the space into 2**bits cells."""
-    check_range("bits", bits, 1, 16)
+    check_range("bits", bits, 1, 30)
     return np.random.default_rng(seed).normal(size=(bits, dim))
 
 
@@ -230,14 +324,27 @@ def with_cells(docs: DataFrame, planes: np.ndarray) -> DataFrame:
 
 
 def _probed_cells(matrix: np.ndarray, planes: np.ndarray, probes: int) -> list[int]:
-    """Cells nearest to each query: its own, then those across its nearest planes."""
+    """Cells nearest to each query: its own, then those across its nearest planes.
+
+    Sets of planes are made in order of their summed distance: each comes from one
+    before it by moving its farthest plane one on, or by adding the next one.
+    """
     bits = len(planes)
-    flips = (np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1
     chosen: set[int] = set()
     for side in matrix @ planes.T:
-        own = int((side > 0) @ (1 << np.arange(bits)))
-        nearest = np.argsort(flips @ np.abs(side), kind="stable")[:probes]
-        chosen.update(int(own ^ mask) for mask in nearest)
+        own = int(((side > 0) << np.arange(bits)).sum())
+        order = np.argsort(np.abs(side), kind="stable")
+        far = np.abs(side)[order]
+        chosen.add(own)
+        heap, taken = [(float(far[0]), 0, 1 << int(order[0]))], 1
+        while heap and taken < probes:
+            cost, last, mask = heapq.heappop(heap)
+            chosen.add(own ^ mask)
+            taken += 1
+            if last + 1 < bits:
+                bit, gone = 1 << int(order[last + 1]), 1 << int(order[last])
+                heapq.heappush(heap, (cost + float(far[last + 1]), last + 1, mask | bit))
+                heapq.heappush(heap, (cost + float(far[last + 1] - far[last]), last + 1, mask ^ gone | bit))
     return sorted(chosen)
 
 
@@ -255,9 +362,31 @@ def semantic_topk_approx(
     """semantic_topk over the cells nearest to the queries only.
 
     `docs` comes from with_cells with the same planes, best read from a table
-    partitioned by `cell`. Probing all 2**bits cells gives the exact result.
+    partitioned by `cell`. A query with fewer than k hits is searched again in
+    four times as many cells, until it has k or all cells are read: a query gets
+    k hits whenever k documents pass the filters. Probing all 2**bits cells gives
+    the exact result. The search runs when this is called; its hits, k a query,
+    come back through the driver.
     """
-    _, matrix = _query_vectors(queries, query_id)
-    cells = _probed_cells(matrix, planes, probes)
-    near = docs.where(F.col("cell").isin(*cells)) if cells else docs.limit(0)
-    return semantic_topk(near, queries, k, doc_id, query_id, details, **filters)
+    check_range("k", k, 1, C.MAX_K)
+    kept = filter_documents(docs, **filters)
+    name_type = queries.schema[query_id].dataType
+    found: list = []
+    for names, matrix in _query_vectors(queries, query_id):
+        width = probes
+        while names:
+            near = kept
+            if width < 1 << len(planes):
+                near = kept.where(F.col("cell").isin(*_probed_cells(matrix, planes, width)))
+            hits = _hits(near, [(names, matrix)], k, doc_id, query_id, name_type)
+            rows = hits.collect()
+            counts = Counter(r[query_id] for r in rows)
+            short = [
+                i for i, n in enumerate(names) if counts[n] < k and width < 1 << len(planes)
+            ]
+            again = {names[i] for i in short}
+            found += [r for r in rows if r[query_id] not in again]
+            names, matrix, width = [names[i] for i in short], matrix[short], 4 * width
+    schema = _hits(kept, [], k, doc_id, query_id, name_type).schema
+    local = kept.sparkSession.createDataFrame(found, schema)
+    return _with_details(kept, local, len(found), doc_id, query_id, details)

@@ -7,15 +7,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from parlance.operators import cleaning, documents, labelling, rollups, vectors
-from parlance.operators.topics import Topics
+from parlance.operators.topics import Topics, taxonomy_coverage
 from parlance.schema import LABELS
 from parlance.sources import storage
+from parlance.sources.turns import latest_turns
 
 
 @dataclass(frozen=True)
 class Tables:
     turns: DataFrame
     labels: DataFrame
+    rejected: DataFrame
+    coverage: DataFrame
     conversations: DataFrame
     agents: DataFrame
     vectors: DataFrame
@@ -32,20 +35,24 @@ def label_pending(
     """Label the texts that have no label yet; returns the label table and if it grew.
 
     The labels of a run are added to the table, so work that is done is never
-    done again. Rejected answers stay pending. The raw answers are stored first,
-    which keeps the labeller from running twice.
+    done again. Answers that are wrong, or that nobody asked for, and texts that
+    got none are stored as `labels_rejected`; such texts stay pending. Questions
+    and raw answers are stored first, which keeps the labeller from running twice.
     """
     spark = cleaned.sparkSession
     none = spark.createDataFrame([], LABELS)
     stored = None if force else storage.read_table(spark, f"{path}/labels")
     known = none if stored is None else stored
-    pending = labelling.pending_texts(cleaned, known, limit)
+    pending = storage.materialize(
+        labelling.pending_texts(cleaned, known, limit), f"{path}/labels_asked", force=True
+    )
     if stored is not None and pending.isEmpty():
         return stored, False
     answers = storage.materialize(
         labelling.label_texts(pending, labeller), f"{path}/label_answers", force=True
     )
-    accepted, _ = labelling.validate_labels(answers, classified_at)
+    accepted, rejected = labelling.validate_labels(answers, classified_at, pending=pending)
+    storage.materialize(rejected, f"{path}/labels_rejected", force=True)
     new = labelling.upsert_labels(none, accepted)
     new.write.mode("append" if stored is not None else "overwrite").parquet(f"{path}/labels")
     return spark.read.parquet(f"{path}/labels"), True
@@ -56,18 +63,25 @@ def build_tables(
     topics: Topics,
     path: str,
     classified_at: str,
-    lexicon: DataFrame | None = None,
+    lexicon: DataFrame | None,
     labeller: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
     embedder=None,
     force: bool = False,
 ) -> Tables:
     """Run every stage, each into its own table under `path`, and return the tables.
 
-    A stage whose table is there is skipped unless `force`; labelling goes on
-    where it stopped. The written tables cut the lineage between stages. Rollups
-    fail while a turn has no label.
+    Of rows with the same (conv_id, turn_index) the last counts, by `row_order` if
+    the raw turns have it. `lexicon` (token, zipf) is what gibberish is told by;
+    None says that texts are only cut and tidied. A stage whose table is there is
+    skipped unless `force`; labelling goes on where it stopped. The written tables
+    cut the lineage between stages. Rollups fail while a turn has no label.
     """
-    cleaned = storage.materialize(cleaning.clean_turns(raw, lexicon), f"{path}/cleaned", force)
+    seq = "row_order" if "row_order" in raw.columns else None
+    latest = latest_turns(raw, seq).drop("row_order")
+    cleaned = storage.materialize(cleaning.clean_turns(latest, lexicon), f"{path}/cleaned", force)
+    coverage = storage.materialize(
+        taxonomy_coverage(cleaned, topics), f"{path}/taxonomy_coverage", force
+    )
     labels, grew = label_pending(cleaned, path, classified_at, labeller, force=force)
     turns = storage.materialize(
         labelling.propagate_labels(cleaned, labels), f"{path}/turns", force or grew
@@ -78,6 +92,7 @@ def build_tables(
         documents.vector_documents(turns, conversations), f"{path}/documents", force
     )
     embedded = storage.write_vectors(
-        vectors.embed_documents(docs, embedder), f"{path}/vectors", force, docs.count()
+        vectors.embed_documents(docs, embedder), f"{path}/vectors", force, conversations.count()
     )
-    return Tables(turns, labels, conversations, agents, embedded)
+    rejected = raw.sparkSession.read.parquet(f"{path}/labels_rejected")
+    return Tables(turns, labels, rejected, coverage, conversations, agents, embedded)

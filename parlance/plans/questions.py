@@ -15,6 +15,7 @@ from parlance.operators.conversations import (
     topic_example,
 )
 from parlance.operators.keyed import previous_within
+from parlance.operators.vectors import semantic_search
 from parlance.schema import TURN_BLOCK
 
 
@@ -130,6 +131,35 @@ def high_volume_low_resolution(conversations: DataFrame, round_digits: int = 3)
     )
 
 
+def app_crashes_in_language(
+    vectors: DataFrame, embedder, conversations: DataFrame, turns: DataFrame,
+    language: str = "hi", k: int = 5,
+) -> tuple[DataFrame, DataFrame]:
+    """Conversations in a language about app crashes, and the transcript of the best one."""
+    hits = _asked(vectors, embedder, "app crash ho rahi hai while using", k, language=language)
+    best = hits.where("rank = 1").select("conv_id")
+    return hits, conversation_transcript(conversations, turns, F.broadcast(best))
+
+
+def billing_and_refund_problems(vectors: DataFrame, embedder, k: int = 5) -> DataFrame:
+    """Conversations in any language about billing and refunds."""
+    return _asked(vectors, embedder, "billing aur refund ki problems, charged twice", k)
+
+
+def frustrated_after_escalation(
+    vectors: DataFrame, embedder, conversations: DataFrame, k: int = 5
+) -> DataFrame:
+    """Escalated, unresolved conversations whose customers sound frustrated."""
+    unresolved = filter_conversations(conversations, escalation=True, resolution=False)
+    open_ = vectors.join(unresolved.select("conv_id"), "conv_id", "left_semi")
+    return _asked(open_, embedder, "frustrated, escalate, still not resolved", k, escalation=True)
+
+
+def _asked(vectors: DataFrame, embedder, text: str, k: int, **filters) -> DataFrame:
+    asked = vectors.sparkSession.createDataFrame([("q", text)], "query_id string, query string")
+    return semantic_search(vectors, asked, embedder, k, **filters).drop("query_id")
+
+
 def urgent_turns_by_language(turns: DataFrame, language: str) -> DataFrame:
     """Customer turns that ask for urgency, in one language."""
     return turns.where(
@@ -147,7 +177,9 @@ def agent_drilldown(
         conversations.where(F.col("agent_name").isin(*names))
         .groupBy("agent_name").agg(F.min("conv_id").alias("conv_id"))
     )
-    transcript = conversation_transcript(conversations, turns, first).select(
+    # One row per name, so small enough to broadcast.
+    ids = F.broadcast(first.select("conv_id"))
+    transcript = conversation_transcript(conversations, turns, ids).select(
         "conv_id", "part", "agent_name", "start_ts", "topic", "turns"
     )
     return chosen.join(transcript, "agent_name", "left")
@@ -159,8 +191,10 @@ def escalated_not_resolved(
     """Escalated, unresolved conversations of a topic, with the customer's worst turn."""
     check = filter_conversations(conversations, topic=topic, escalation=True, resolution=False)
     low = F.struct("sentiment_score", "turn_index")
+    # Only the turns of these conversations are aggregated.
     quotes = (
         turns.where("role = 'customer' AND sentiment_score IS NOT NULL")
+        .join(check.select("conv_id"), "conv_id", "left_semi")
         .groupBy("conv_id")
         .agg(F.min_by(F.struct("turn_index", "sentiment_score", "text_clean"), low).alias("quote"))
     )

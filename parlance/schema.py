@@ -72,7 +72,3 @@ SESSIONS = T.StructType([
 # A turn block holds at most this many turn indexes of one conversation. Rows
 # that gather turns are keyed by (conv_id, part), so no row grows without bound.
 TURN_BLOCK = 4096
-
-# A conversation whose turn indexes all lie below this carries its trajectory
-# inline; a longer one has NULL there and is read from the parts table.
-INLINE_TURNS = 65536

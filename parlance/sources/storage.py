@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from parlance.operators.rollups import agent_rollup
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`, or the warehouse where that is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at a path, or None if nothing was written there."""
     try:
@@ -28,21 +33,35 @@ def materialize(
 ) -> DataFrame:
     """Write a stage's result unless it is there, and return the stored table.
 
-    `force` rebuilds it. With `expected_rows` a table of another size counts as
-    partly written and is rebuilt too. Write files are sized by an adaptive
-    rebalance, which also splits a partition value that holds most rows.
+    A table is there when its mark, a table beside it, says that it was written
+    to the end; a job that was lost on the way leaves no such mark. `force`
+    rebuilds it. With `expected_rows` a table of another size is rebuilt too.
+    Files are sized by an adaptive rebalance, which also splits a partition value
+    that holds most rows.
     """
     spark = df.sparkSession
-    stored = read_table(spark, path)
+    stored = read_table(spark, path) if _is_marked(spark, path) else None
     if stored is not None and not force:
         if expected_rows is None or stored.count() == expected_rows:
             return stored
+    _mark(spark, path, False)
     keys = list(partition_by or [])
     writer = df.hint("rebalance", *keys).write.mode("overwrite")
     (writer.partitionBy(*keys) if keys else writer).parquet(path)
+    _mark(spark, path, True)
     return spark.read.parquet(path)
 
 
+def _mark(spark: SparkSession, path: str, finished: bool) -> None:
+    marks = spark.range(1).selectExpr(f"{str(finished).lower()} AS finished")
+    marks.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}.mark")
+
+
+def _is_marked(spark: SparkSession, path: str) -> bool:
+    marks = read_table(spark, f"{path.rstrip('/')}.mark")
+    return marks is not None and bool(marks.where("finished").take(1))
+
+
 def write_rollups(
     conversations: DataFrame, turns: DataFrame, path: str, force: bool = False
 ) -> tuple[DataFrame, DataFrame]:

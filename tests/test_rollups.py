@@ -74,10 +74,11 @@ def test_long_conversations_are_whole(turns_of, topics):
         joined = sum((r["scores"] for r in sorted(parts, key=lambda r: r["part"])
                       if r["conv_id"] == conv), [])
         assert joined == [s for _, s in customer_scores(rows, conv)]
-    inline = {r["conv_id"]: r["sentiment_trajectory"]
-              for r in rolled(turns, topics, inline_turns=10).collect()}
-    assert inline["hot"] is None
-    assert inline["s1"] == [s for _, s in customer_scores(rows, "s1")]
+    far = turns.withColumn("turn_index", turns["turn_index"] * 70_000)
+    for found in (rolled(turns, topics), rolled(far, topics)):
+        whole = {r["conv_id"]: r["sentiment_trajectory"] for r in found.collect()}
+        for conv in ("hot", "s1", "s2"):
+            assert whole[conv] == [s for _, s in customer_scores(rows, conv)]
     docs = documents.conversation_document(turns, block=4).orderBy("part").collect()
     whole = "\n".join(r["document"] for r in docs if r["conv_id"] == "hot")
     expected = sorted((r for r in rows if r["conv_id"] == "hot"), key=lambda r: r["turn_index"])

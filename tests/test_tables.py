@@ -6,7 +6,7 @@ from parlance.operators import scoring, sessions
 from parlance.plans.build import build_tables, label_pending
 from parlance.schema import SESSIONS
 from parlance.sources import storage
-from parlance.sources.turns import read_turns_csv, upsert_turns
+from parlance.sources.turns import latest_turns, read_turns_csv, upsert_turns
 from parlance.streaming.ingest import ingest_turns
 
 HEADER = "conv_id,turn_index,timestamp,role,text,customer_name,agent_name\n"
@@ -150,19 +150,91 @@ def test_build_is_resumable(spark, topics, tmp_path):
     (tmp_path / "in" / "a.csv").write_text(HEADER + "".join(lines))
     raw = read_turns_csv(spark, str(tmp_path / "in"))
     path = str(tmp_path / "out")
-    found = build_tables(raw, topics, path, "2025-12-03 00:00:00")
+    found = build_tables(raw, topics, path, "2025-12-03 00:00:00", None)
     assert found.labels.count() == 2 and found.turns.count() == 6
     assert {r["topic"] for r in found.conversations.collect()} == {"developer_platform"}
     assert found.agents.first()["empathy_mean"] == 1.0
     assert found.vectors.count() == 3
-    again = build_tables(raw.limit(0), topics, path, "2025-12-03 00:00:00")
+    again = build_tables(raw.limit(0), topics, path, "2025-12-03 00:00:00", None)
     assert again.turns.count() == 6
     agents = spark.read.parquet(path + "/agents")
     assert agents.count() == 1 and spark.read.parquet(path + "/conversations").columns[-1] == "month"
-    rebuilt = build_tables(raw.where("conv_id = 'c1'"), topics, path, "2025-12-03 00:00:00", force=True)
+    rebuilt = build_tables(raw.where("conv_id = 'c1'"), topics, path, "2025-12-03 00:00:00", None, force=True)
     assert rebuilt.conversations.count() == 1
 
 
+def test_build_finishes_and_keeps_the_last_row(spark, topics, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(
+        HEADER + "c1,0,2025-08-01T10:00:00,customer,My Gizmo is an old row.,,\n"
+        "c1,0,2025-08-01T10:00:00,customer,I was charged twice for my API. zzq,,\n"
+        "c1,1,2025-08-01T10:01:00,agent,ok no terminator,,Bo\nc2,0,,customer,,,\n")
+    lexicon = spark.createDataFrame([(w, 5.0) for w in "i was charged twice for my api".split()], "token string, zipf double")
+    raw = read_turns_csv(spark, str(tmp_path / "in"))
+    found = build_tables(raw, topics, str(tmp_path / "out"), "2025-12-03 00:00:00", lexicon)
+    turns = {(r["conv_id"], r["turn_index"]): r for r in found.turns.collect()}
+    assert len(turns) == 3 and turns["c1", 0]["text_clean"] == "I was charged twice for my API."
+    assert turns["c1", 1]["text_clean"] == "" and turns["c1", 1]["sentiment_label"] == "neu"
+    assert {r["conv_id"]: r["turn_count"] for r in found.conversations.collect()} == {"c1": 2, "c2": 1}
+    assert found.rejected.count() == 0 and found.vectors.count() == 2 and found.agents.count() == 1
+    assert "slot" in {r["kind"] for r in found.coverage.collect()}
+
+
+def test_wrong_answers_are_stored(spark, tmp_path):
+    def labeller(frame):
+        out = frame.assign(
+            sentiment_label="neu", sentiment_score=0.0, intent="other", empathy_signal="na",
+            is_escalation=0, contains_pii=0, language="en", text_en=frame["text_clean"])
+        out.loc[out["text_clean"] == "a.", "text_clean"] = "nobody asked."
+        out.loc[out["text_clean"] == "b.", "intent"] = "chat"
+        return out[out["text_clean"] != "c."]
+
+    cleaned = spark.createDataFrame([(t, "customer") for t in ("a.", "b.", "c.", "d.")], "text_clean string, role string")
+    labels, _ = label_pending(cleaned, str(tmp_path), "2025-12-03 00:00:00", labeller)
+    assert [r["text_clean"] for r in labels.collect()] == ["d."]
+    rejected = spark.read.parquet(f"{tmp_path}/labels_rejected")
+    assert rows_of(rejected.select("text_clean", "error")) == [
+        ("a.", "no label returned"), ("b.", "bad intent"), ("c.", "no label returned"),
+        ("nobody asked.", "not asked for")]
+
+
+def test_unfinished_tables_are_rebuilt(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5).write.parquet(path)
+    assert storage.materialize(spark.range(7), path).count() == 7
+    assert storage.materialize(spark.range(9), path).count() == 7
+
+
+@pytest.mark.parametrize("first, last", [("One.", "Two."), ("Two.", "One.")])
+def test_the_later_file_and_row_wins(spark, tmp_path, first, last):
+    import os
+
+    (tmp_path / "in").mkdir()
+    for name, texts, when in (("b.csv", ["Zero.", first], 1_000_000), ("a.csv", ["Old.", last], 2_000_000)):
+        path = tmp_path / "in" / name
+        path.write_text(HEADER + "".join(f"c1,0,,customer,{t},,\n" for t in texts))
+        os.utime(path, (when, when))
+    found = ingest_turns(spark, *(str(tmp_path / n) for n in ("in", "turns", "marks")))
+    assert [r["text_clean"] for r in found.collect()] == [last]
+    raw = read_turns_csv(spark, str(tmp_path / "in"))
+    assert [r["text_raw"] for r in latest_turns(raw, "row_order").collect()] == [last]
+
+
+def test_ties_are_decided_by_content(turns_of):
+    new = turns_of(*[{"turn_index": 0, "text_raw": t} for t in "abcdef"]).withColumn("seq", F.lit(1))
+    found = {upsert_turns(new.limit(0).drop("seq"), df, "seq").first()["text_raw"]
+             for df in (new, new.orderBy(F.desc("text_raw")), new.repartition(4))}
+    assert len(found) == 1
+
+
+def test_streams_are_cleaned_like_the_build(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(HEADER + "c1,0,,customer,hello zzq there. x,,\n")
+    lexicon = spark.createDataFrame([("hello", 5.0), ("there", 5.0)], "token string, zipf double")
+    found = ingest_turns(spark, *(str(tmp_path / n) for n in ("in", "turns", "marks")), lexicon)
+    assert found.first()["text_clean"] == "hello there."
+
+
 def test_labelling_goes_on(spark, tmp_path):
     seen = spark.sparkContext.accumulator(0)
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from conftest import plan_of
+from pyspark.sql import types as T
 
 from parlance.operators import documents, vectors
 
@@ -70,9 +71,9 @@ def test_limits(spark, data, monkeypatch):
     for k in (0, 21):
         with pytest.raises(ValueError):
             vectors.semantic_topk(docs, queries, k=k)
-    monkeypatch.setattr(vectors, "MAX_QUERIES", 3)
-    with pytest.raises(ValueError, match="several calls"):
-        vectors.semantic_topk(docs, queries)
+    whole = hits(vectors.semantic_topk(docs, queries, k=7))
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
+    assert hits(vectors.semantic_topk(docs, queries, k=7)) == whole
     assert vectors.semantic_topk(docs, queries.limit(0)).count() == 0
     assert vectors.semantic_topk(docs.limit(0), queries.limit(1)).count() == 0
 
@@ -91,15 +92,93 @@ def test_approx(spark, data):
     assert recall >= 0.7
 
 
+def test_many_queries(spark, data):
+    matrix, _ = data
+    asked = np.random.default_rng(8).normal(size=(2000, 16))
+    queries = table(spark, asked, [f"q{i}" for i in range(2000)], "query_id")
+    found = hits(vectors.semantic_topk(table(spark, matrix), queries, k=2))
+    assert len(found) == 2000 and all(len(v) == 2 for v in found.values())
+    ids = [f"d{i:04d}" for i in range(len(matrix))]
+    for i in (0, 1023, 1024, 1999):
+        assert found[f"q{i}"] == brute(ids, matrix, asked[i], 2)
+
+
+def test_approx_finds_k_whenever_k_match(spark, data):
+    matrix, asked = data
+    queries = table(spark, asked, list("abcd"), "query_id")
+    planes = vectors.cell_planes(16, 8)
+    docs = vectors.with_cells(table(spark, matrix), planes).selectExpr(
+        "*", "CASE WHEN conv_id < 'd0010' THEN 1 ELSE 0 END AS escalation_flag")
+    found = hits(vectors.semantic_topk_approx(docs, queries, planes, k=10, probes=2, escalation=True))
+    assert all(len(v) == 10 for v in found.values()) and len(found) == 4
+    few = hits(vectors.semantic_topk_approx(docs, queries, planes, k=20, probes=2, escalation=True))
+    assert few == hits(vectors.semantic_topk(docs, queries, k=20, escalation=True))
+
+
+def test_probed_cells_come_nearest_first():
+    draw = np.random.default_rng(2)
+    planes, asked = draw.normal(size=(7, 5)), draw.normal(size=(1, 5))
+    side = (asked @ planes.T)[0]
+    own = int(((side > 0) << np.arange(7)).sum())
+    cost = {own ^ m: sum(abs(side[b]) for b in range(7) if m >> b & 1) for m in range(128)}
+    for probes in (1, 2, 9, 60, 128):
+        nearest = sorted(cost, key=lambda c: cost[c])[:probes]
+        assert vectors._probed_cells(asked, planes, probes) == sorted(nearest)
+
+
+def test_one_vector_per_conversation_at_every_length(spark, turns_of):
+    words = ["app crash again", "refund my order", "please help", "app works now"]
+    rows = [{"conv_id": c, "turn_index": t * step, "text_clean": words[(t + n) % 4], "language": "en"}
+            for n, (c, step) in enumerate([("near", 1), ("far", 5000), ("farther", 70000)]) for t in range(4)]
+    rows.append({"conv_id": "other", "turn_index": 0, "text_clean": "nothing", "language": "en"})
+    docs = documents.vector_documents(turns_of(*rows))
+    assert docs.count() > 4
+    whole = documents.vector_documents(turns_of(*[{**r, "turn_index": i} for i, r in enumerate(rows)]))
+    assert whole.count() == 4
+    model = vectors.fit_embedder(docs)
+    assert np.allclose(model.stages[2].idf.toArray(), vectors.fit_embedder(whole).stages[2].idf.toArray())
+    got = {r["conv_id"]: r for r in vectors.embed_documents(docs, model).collect()}
+    want = {r["conv_id"]: r for r in vectors.embed_documents(whole, model).collect()}
+    assert sorted(got) == sorted(want) == ["far", "farther", "near", "other"]
+    for name in got:
+        assert got[name]["embedding"] == pytest.approx(want[name]["embedding"], abs=1e-6)
+    counts = np.zeros(256)
+    for word in " ".join(f"[customer] {words[(t + 1) % 4]}" for t in range(4)).split():
+        counts[model.stages[1].indexOf(word)] += 1
+    weighted = counts * model.stages[2].idf.toArray()
+    assert got["far"]["embedding"] == pytest.approx(weighted / np.linalg.norm(weighted), abs=1e-6)
+
+
+def test_parts_are_averaged_by_length(spark):
+    docs = spark.createDataFrame(
+        [("a", 5, "xxxx"), ("a", 2, "yy"), ("b", 0, "x")], "conv_id string, part long, document string")
+    embed = lambda texts: np.array([[1.0, 0.0] if "x" in t else [0.0, 1.0] for t in texts])
+    got = {r["conv_id"]: r for r in vectors.embed_documents(docs, embed).collect()}
+    assert got["a"]["embedding"] == pytest.approx([2 / 5**0.5, 1 / 5**0.5], abs=1e-6)
+    assert got["a"]["document"] == "yy" and got["b"]["embedding"] == [1.0, 0.0]
+
+
+def test_details_without_a_first_part(spark):
+    docs = spark.createDataFrame(
+        [("a", 3, [1.0, 0.0], "late"), ("a", 4, [0.9, 0.1], "later"), ("b", 0, [0.0, 1.0], "first")],
+        "conv_id string, part long, embedding array<float>, document string")
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<float>")
+    rows = vectors.semantic_topk(docs, asked, k=2, details=["document"]).orderBy("rank").collect()
+    assert [(r["conv_id"], r["document"]) for r in rows] == [("a", "late"), ("b", "first")]
+
+
 def test_approx_reads_probed_cells_only(spark, data, tmp_path):
     from parlance.sources.storage import write_vectors
 
     matrix, asked = data
     planes = vectors.cell_planes(16, 6)
     stored = write_vectors(vectors.with_cells(table(spark, matrix), planes), str(tmp_path / "v"))
-    plan = plan_of(vectors.semantic_topk_approx(
-        stored, table(spark, asked[:1], ["q"], "query_id"), planes, probes=2))
+    asked_cells = vectors._probed_cells(asked[:1], planes, 2)
+    near = stored.where(stored["cell"].isin(*asked_cells))
+    plan = plan_of(vectors._hits(near, [(["q"], asked[:1])], 5, "conv_id", "query_id", T.StringType()))
     assert "PartitionFilters: [cell" in plan
+    found = vectors.semantic_topk_approx(stored, table(spark, asked[:1], ["q"], "query_id"), planes, probes=2)
+    assert found.count() == 5
 
 
 def test_search_of_documents(spark, turns_of):
@@ -120,6 +199,12 @@ def test_search_of_documents(spark, turns_of):
     found = vectors.semantic_topk(stored, asked, k=2, details=["document", "metadata.language"])
     rows = sorted(found.collect(), key=lambda r: r["rank"])
     assert [r["conv_id"] for r in rows] == ["c3", "c1"] and rows[0]["language"] == "en"
+    said = vectors.semantic_search(
+        stored, spark.createDataFrame([("q", "app crash")], "query_id string, query string"), model, k=1)
+    assert said.columns == [
+        "query_id", "rank", "conv_id", "similarity", "document_excerpt", "topic", "agent_name",
+        "customer_sentiment_overall", "language", "escalation_flag"]
+    assert said.first()["document_excerpt"] == "[customer] app crash"
     for options, first in (
         ({"language": "en"}, "c3"), ({"escalation": True}, "c1"), ({"sentiment_max": -0.1}, "c1"),
         ({"sentiment_min": -0.1, "sentiment_max": 0.1}, "c2"),
