@@ -33,9 +33,10 @@ class Topics:
 
 def match_no_slot(df: DataFrame, opener: str, topics: Topics, into: str = "opener_category") -> DataFrame:
     """Add the category of an opener without a slot; both apostrophe forms match."""
-    openers = topics.openers.select(
-        plain_apostrophes(F.col("opener")).alias("_plain"), F.col("category").alias(into)
-    ).dropDuplicates(["_plain"])
+    # Should both forms be listed with different categories, the first by name counts.
+    openers = topics.openers.groupBy(
+        plain_apostrophes(F.col("opener")).alias("_plain")
+    ).agg(F.min("category").alias(into))
     asked = df.withColumn("_plain", plain_apostrophes(F.col(opener)))
     return topics.look_up(asked, openers, "_plain").drop("_plain")
 

@@ -7,9 +7,9 @@ from pyspark.sql import SparkSession
 from parlance import constants as C
 from parlance.operators.topics import Topics
 
-# The tables come from the driver's memory; up to this many rows in all they
-# are small enough to broadcast.
-BROADCAST_ROWS = 100_000
+# The tables come from the driver's memory; up to so many bytes in all they are
+# small enough to broadcast.
+BROADCAST_BYTES = 16 * 1024 * 1024
 
 
 def taxonomy_tables(
@@ -20,7 +20,8 @@ def taxonomy_tables(
 ) -> Topics:
     """Categories, slot map and opener map as DataFrames."""
     categories = list(categories)
-    total = len(categories) + len(slots) + len(openers)
+    rows = [*categories, *slots.items(), *openers.items()]
+    size = sum(16 + len(str(value).encode()) for row in rows for value in row)
     return Topics(
         categories=spark.createDataFrame(
             categories, "id string, label string, description string"
@@ -29,5 +30,5 @@ def taxonomy_tables(
         openers=spark.createDataFrame(
             list(openers.items()), "opener string, category string"
         ),
-        small=total <= BROADCAST_ROWS,
+        small=size <= BROADCAST_BYTES,
     )

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -193,3 +194,16 @@ def test_large_taxonomies_are_salted(spark, topics):
     df = spark.createDataFrame(list(enumerate(openers)), "i int, opener string").repartition(4)
     found = topic_ops.resolve_topic(df, "opener", large).groupBy("topic").count()
     assert rows_of(found) == [("account_auth", 1), ("financial_products", 40), ("unknown", 1)]
+
+
+def test_redaction_takes_every_unicode_blank(spark):
+    rng = random.Random(4)
+    alphabet = "0123456789" * 3 + "+-(). \t\x1c\x1d\x1e\x1f\x85  ab@"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    texts += ["call +91 98765\x1c43210", "98765 43210 x", "\x1f9876543210\x1f"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    got = {r["i"]: r["r"] for r in df.select("i", redact_pii(F.col("t")).alias("r")).collect()}
+    for i, t in enumerate(texts):
+        want = re.sub(C.EMAIL_PATTERN, C.EMAIL_MARK, t)
+        want = re.sub(C.CARD_PATTERN, C.CARD_MARK, want)
+        assert got[i] == re.sub(C.PHONE_PATTERN, C.PHONE_MARK, want), repr(t)
