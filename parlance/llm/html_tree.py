@@ -1,12 +1,15 @@
 """A small tolerant HTML reader: elements in page order, their digests and their text."""
 
 import re
+from collections import Counter
 from hashlib import blake2b
 from html import unescape
 
+# A quoted value may hold any characters; a quote elsewhere in a tag is an ordinary one.
+# Possessive repeats keep the search linear on broken markup.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>",
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -53,16 +56,56 @@ class Element:
         }
 
 
+class Open:
+    """The open elements, innermost last, with the number of each tag among them."""
+
+    def __init__(self, page: Element):
+        self.elements, self.counts = [page], Counter()
+
+    @property
+    def last(self) -> Element:
+        return self.elements[-1]
+
+    def add(self, element: Element) -> None:
+        self.elements.append(element)
+        self.counts[element.tag] += 1
+
+    def _cut(self, at: int) -> None:
+        for element in self.elements[at:]:
+            self.counts[element.tag] -= 1
+        del self.elements[at:]
+
+    def end(self, tags, bounds) -> None:
+        """Close the nearest open element of these tags, unless a bound comes first."""
+        if any(self.counts[t] for t in tags):
+            for at in range(len(self.elements) - 1, 0, -1):
+                if self.elements[at].tag in tags:
+                    return self._cut(at)
+                if self.elements[at].tag in bounds:
+                    return None
+        return None
+
+    def close(self, tag: str) -> None:
+        """Close the nearest open element of this tag; an inline one not across a block."""
+        if self.counts[tag]:
+            for at in range(len(self.elements) - 1, 0, -1):
+                if self.elements[at].tag == tag:
+                    return self._cut(at)
+                if tag in INLINE and self.elements[at].tag not in INLINE:
+                    return None
+        return None
+
+
 def read(html: str) -> list[Element]:
     """All elements in page order; the first is the page itself. Never fails."""
     page = Element("", "", None)
-    elements, open_, place = [page], [page], 0
+    elements, open_, place = [page], Open(page), 0
     lowered = None
     while True:
         found = TOKEN.search(html, place)
         text = html[place : found.start()] if found else html[place:]
         if text:
-            open_[-1].children.append(unescape(text))
+            open_.last.children.append(unescape(text))
         if not found:
             break
         place = found.end()
@@ -71,14 +114,14 @@ def read(html: str) -> list[Element]:
             continue
         tag = name.lower()
         if found.group(1):
-            _close(open_, tag)
+            open_.close(tag)
             continue
         if tag in ENDS_PARAGRAPH:
-            _end(open_, ("p",), SCOPES)
+            open_.end(("p",), SCOPES)
         if tag in ENDS_SAME:
-            _end(open_, *ENDS_SAME[tag])
-        element = Element(tag, found.group(3), open_[-1])
-        open_[-1].children.append(element)
+            open_.end(*ENDS_SAME[tag])
+        element = Element(tag, found.group(3), open_.last)
+        open_.last.children.append(element)
         elements.append(element)
         if tag in RAW:
             lowered = lowered if lowered is not None else html.lower()
@@ -91,30 +134,10 @@ def read(html: str) -> list[Element]:
             close = html.find(">", end)
             place = close + 1 if close >= 0 else len(html)
         elif tag not in VOID and not found.group(3).endswith("/"):
-            open_.append(element)
+            open_.add(element)
     return elements
 
 
-def _end(open_: list[Element], tags, bounds) -> None:
-    """Close the nearest open element of these tags, unless a bound comes first."""
-    for at in range(len(open_) - 1, 0, -1):
-        if open_[at].tag in tags:
-            del open_[at:]
-            return
-        if open_[at].tag in bounds:
-            return
-
-
-def _close(open_: list[Element], tag: str) -> None:
-    """Close the nearest open element of this tag; an inline one not across a block."""
-    for at in range(len(open_) - 1, 0, -1):
-        if open_[at].tag == tag:
-            del open_[at:]
-            return
-        if tag in INLINE and open_[at].tag not in INLINE:
-            return
-
-
 def add_digests(elements: list[Element]) -> None:
     """Hash every element with all that is in it; children come after their parents."""
     for element in reversed(elements):
