@@ -39,6 +39,8 @@ class Mix:
 
 # Selection narrows down the hash of the last document by so many bits a level.
 LEVEL_BITS, LEVELS = 16, 2
+# ... and so many documents of a pattern then close the gap.
+CLOSINGS = 4
 
 
 def targets(sizes: dict[str | None, int], mix: Mix) -> dict[str | None, float]:
@@ -130,8 +132,7 @@ def _selected(sized: DataFrame, wanted: DataFrame) -> DataFrame:
 
     `wanted` has (pattern, want). Sizes are summed per hash cell, the cells whose
     running sum stays within what is wanted are taken whole, and the cell after
-    them is split again. What then still lacks is given by the one document whose
-    size comes nearest to it.
+    them is split again. What then still lacks is made up by a few documents.
     """
     rows = sized.join(F.broadcast(wanted), "pattern")
     prefix: list[str] = []
@@ -166,20 +167,30 @@ def _selected(sized: DataFrame, wanted: DataFrame) -> DataFrame:
         rows = rows.join(hit, keys, "left")
         now = F.coalesce(f"t{level}", F.lit(False))
         taken = now if taken is None else taken | now
-    rows = rows.withColumn("taken", taken).drop(*(f"t{i}" for i in range(LEVELS)))
-    had = rows.groupBy("pattern").agg(
-        F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0)).alias("had"), F.first("want").alias("want")
-    ).select("pattern", (F.col("want") - F.col("had")).alias("gap"))
-    last = (
-        rows.where("NOT taken AND size > 0").join(F.broadcast(had), "pattern")
-        .withColumn("off", F.abs(F.col("size") - F.col("gap")))
-        .where("off < gap")
-        .groupBy("pattern").agg(F.min(F.struct("off", "hash", "size")).alias("best"))
+    rows = stored(
+        rows.withColumn("taken", taken).drop(*(f"t{i}" for i in range(LEVELS)), *prefix)
+    )
+    for close in range(CLOSINGS):
+        rows = _closer(rows, last=close == CLOSINGS - 1)
+    return rows.drop("want")
+
+
+def _closer(rows: DataFrame, last: bool) -> DataFrame:
+    """Take one more document of each pattern: the largest that fits into what is lacking,
+    or in the end the one that comes nearest to it."""
+    lacking = rows.groupBy("pattern").agg(
+        (F.first("want") - F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0))).alias("gap")
+    ).where("gap > 0")
+    off = F.abs(F.col("size") - F.col("gap"))
+    better = off < F.col("gap") if last else F.col("size") <= F.col("gap")
+    best = stored(
+        rows.where("NOT taken AND size > 0").join(F.broadcast(lacking), "pattern").where(better)
+        .groupBy("pattern").agg(F.min(F.struct(off.alias("off"), "hash", "size")).alias("best"))
         .select("pattern", F.col("best.hash").alias("hash"), F.col("best.size").alias("size"), F.lit(True).alias("extra"))
     )
-    return rows.join(F.broadcast(last), ["pattern", "hash", "size"], "left").withColumn(
+    return rows.join(F.broadcast(best), ["pattern", "hash", "size"], "left").withColumn(
         "taken", F.col("taken") | F.coalesce("extra", F.lit(False))
-    ).drop("extra", "want", *prefix)
+    ).drop("extra")
 
 
 def mix_sources(
