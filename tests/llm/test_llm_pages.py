@@ -27,6 +27,9 @@ def test_main_text(html, text):
 
 def test_deep_nesting_and_junk_do_not_fail():
     assert main_text("<div>" * 50_000 + "x") == "x"
+    assert main_text("<p title=don't>it's <b class='a>b' id=\"<p>\">here</b>") == "it's here"
+    for junk in ("<a ", "<a x=\"", "<a x='", "</", "<!--", "<p a=b"):
+        main_text(junk * 20_000)
     rng = random.Random(3)
     for _ in range(300):
         main_text("".join(rng.choice(["<", ">", "p", "/", "!--", "-->", "a=\"", "'", "&", "x ", "<p>", "</p>", "<script>"]) for _ in range(40)))
