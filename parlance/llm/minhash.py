@@ -6,9 +6,11 @@ evaluations. Bands of the signature are bucket keys. Candidates from the buckets
 are confirmed on the full shingle sets, and the confirmed links make classes.
 
 Documents with the same set are one node, so copies never meet in pairs. Within
-a bucket, members are compared with the bucket's smallest document first; pairs
-across what is still apart are compared only then. A large group of near copies
-thus costs about as many comparisons as it has members.
+a bucket, members are compared with the bucket's smallest document first, and
+where classes are still apart, with its most central one. A pair across such
+classes is compared only if counts do not rule it out: a document most of whose
+edits nobody else has cannot be linked to anyone. A large group of near copies
+thus costs about as many comparisons as it has members, and no link is lost.
 
 Defined results: a text without words, or a null one, has an empty set and is
 linked with nothing; a text of fewer words than a shingle is one shingle; a row
@@ -117,8 +119,8 @@ def signatures(docs: DataFrame, text: str, id: str, how: MinMax) -> DataFrame:
     )
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, how: MinMax) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+def overlaps(pairs: DataFrame, texts: DataFrame, how: MinMax) -> DataFrame:
+    """(a, b, shared, na, nb): the sizes of the pairs' full shingle sets and what they share."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         # A document that meets many others has its set made once a slice.
@@ -126,16 +128,16 @@ def confirmed(pairs: DataFrame, texts: DataFrame, how: MinMax) -> DataFrame:
         values, first = shingles(coded.dictionary, how.words)
         codes = coded.indices.to_numpy(zero_copy_only=False)
         half = len(codes) // 2
-        good = np.zeros(half, bool)
+        shared = np.zeros(half, np.int64)
         for at, (i, j) in enumerate(zip(codes[:half], codes[half:], strict=True)):
             x, y = values[first[i] : first[i + 1]], values[first[j] : first[j + 1]]
-            if 100 * min(len(x), len(y)) < how.percent * max(len(x), len(y)) or not len(x):
-                continue
-            found = np.searchsorted(x, y)
-            shared = int((x[np.minimum(found, len(x) - 1)] == y).sum())
-            good[at] = 100 * shared >= how.percent * (len(x) + len(y) - shared)
+            if len(x) and len(y):
+                found = np.searchsorted(x, y)
+                shared[at] = (x[np.minimum(found, len(x) - 1)] == y).sum()
+        sizes = np.diff(first)
         return pa.RecordBatch.from_arrays(
-            [pc.filter(batch["a"], pa.array(good)), pc.filter(batch["b"], pa.array(good))], ["a", "b"]
+            [batch["a"], batch["b"], *(pa.array(v, pa.int64()) for v in (shared, sizes[codes[:half]], sizes[codes[half:]]))],
+            ["a", "b", "shared", "na", "nb"],
         )
 
     joined = (
@@ -143,7 +145,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, how: MinMax) -> DataFrame:
         .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         .select("a", "b", "text_a", "text_b")
     )
-    return by_slices(joined, "text_b", "a long, b long", work).distinct()
+    return by_slices(joined, "text_b", "a long, b long, shared long, na long, nb long", work)
+
+
+def _linked(how: MinMax, shared: str | Column = "shared", na: str = "na", nb: str = "nb") -> Column:
+    """100 * intersection >= percent * union; or whether that is still possible, with a bound."""
+    both = F.col(shared) if isinstance(shared, str) else shared
+    return (100 + how.percent) * both >= how.percent * (F.col(na) + F.col(nb))
+
+
+def _links(pairs: DataFrame, texts: DataFrame, how: MinMax) -> DataFrame:
+    return stored(overlaps(pairs, texts, how).where(_linked(how)).select("a", "b").distinct())
 
 
 def _similar_sizes(a: str, b: str, how: MinMax) -> Column:
@@ -207,32 +219,21 @@ def near_duplicates(
     # First the smallest leader of each document, then its other leaders.
     first = stored(led.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     ids = _ids_with_several_sets(usable, sets)
-    classes = components(stored(confirmed(first, texts, how)).unionByName(ids), "a", "b")
+    classes = components(_links(first, texts, how).unionByName(ids), "a", "b")
     rest = led.join(first, ["a", "b"], "left_anti")
     apart = _labelled(_labelled(rest, classes, "a", "ca"), classes, "b", "cb").where("ca <> cb")
     second = stored(apart.select("a", "b"))
-    classes = _joined_classes(classes, stored(confirmed(second, texts, how)))
-
-    # Then all pairs of a bucket that are still in different classes.
-    marked = _labelled(buckets, classes, "node", "c")
-    split = marked.groupBy("key").agg(F.min("c").alias("_least"), F.max("c").alias("_most"))
-    open_buckets = stored(
-        marked.join(split.where("_least < _most").select("key"), "key", "left_semi")
-        .select("key", "node", "n", "c")
-    )
-    across = (
-        open_buckets.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        .join(
-            open_buckets.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")),
-            "key",
-        )
-        .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _similar_sizes("na", "nb", how))
-        .select("a", "b").distinct()
-    )
-    third = stored(
-        across.join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
-    )
-    classes = _joined_classes(classes, stored(confirmed(third, texts, how)))
+    classes = _joined_classes(classes, _links(second, texts, how))
+
+    # Then what could still be linked across the classes that meet in a bucket.
+    left = stored(_open(_labelled(buckets, classes, "node", "c")).select("key", "node", "n", "c"))
+    placed = _placed_by_centre(left, texts, how)
+    classes = _joined_classes(classes, stored(
+        placed.where(_linked(how, "shared", "n", "centre_n"))
+        .select(F.col("node").alias("a"), F.col("centre").alias("b")).where("a <> b").distinct()
+    ))
+    across = stored(_across(_labelled(placed.drop("c"), classes, "node", "c"), how))
+    classes = _joined_classes(classes, _links(across, texts, how))
 
     found = signed.select("id", "n_shingles", "s1", "s2").join(sets, ["s1", "s2"], "left")
     return _labelled(found, classes, "node", "c").select(
@@ -243,6 +244,83 @@ def near_duplicates(
     ).withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True)))
 
 
+def _open(members: DataFrame) -> DataFrame:
+    """Bucket members (key, c, ...) of the buckets in which several classes meet."""
+    split = members.groupBy("key").agg(F.min("c").alias("_least"), F.max("c").alias("_most"))
+    return members.join(split.where("_least < _most").select("key"), "key", "left_semi")
+
+
+def _placed_by_centre(members: DataFrame, texts: DataFrame, how: MinMax) -> DataFrame:
+    """Bucket members with what they share with their bucket's most central document.
+
+    `common` counts a document's shingles that any other of these documents has. Below
+    `percent` of its set, nothing can be linked to it, and it goes. The centre is
+    the document whose shingles the others have most often.
+    """
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        values, first = shingles(batch["text"], how.words)
+        lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))
+        return pa.RecordBatch.from_arrays([batch["id"], lists], ["node", "values"])
+
+    nodes = members.select(F.col("node").alias("id")).distinct()
+    held = by_slices(
+        texts.join(nodes, "id", "left_semi").select("id", "text"), "text", "node long, values array<long>", work
+    ).select("node", F.explode("values").alias("s")).distinct()
+    several = held.groupBy("s").agg(F.count("*").alias("times")).where("times > 1")
+    known = stored(
+        held.join(several, "s").groupBy("node")
+        .agg(F.count("*").alias("common"), F.sum("times").alias("weight"))
+    )
+    alive = _open(
+        members.join(known, "node").where(100 * F.col("common") >= how.percent * F.col("n"))
+    )
+    centre = F.max(F.struct((F.col("weight") / F.col("n")).alias("w"), "node", F.col("n").alias("centre_n")))
+    centres = alive.groupBy("key").agg(centre.alias("at")).select(
+        "key", F.col("at.node").alias("centre"), "at.centre_n"
+    )
+    met = stored(alive.join(centres, "key"))
+    pairs = met.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    shared = overlaps(pairs, texts, how).groupBy(F.col("a").alias("centre"), F.col("b").alias("node")).agg(
+        F.max("shared").alias("shared")
+    )
+    return stored(met.join(shared, ["centre", "node"]).drop("weight"))
+
+
+def _across(members: DataFrame, how: MinMax) -> DataFrame:
+    """The pairs (a, b) across the classes of a bucket that may be linked.
+
+    Two documents share at most the lesser of what each shares with the centre,
+    and outside the centre the lesser of the shingles that each has in common with
+    any other document. Where that is too little the pair is ruled out unseen.
+    """
+    own = F.col("common") - F.col("shared")
+    members = _open(members.withColumn("own", own))
+    bounds = members.groupBy("key").agg(
+        F.min("n").alias("least_n"), F.max("own").alias("most_own"), F.mode("c").alias("main")
+    )
+    keys = members.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    able = members.join(bounds, "key").where(
+        _linked(how, F.col("shared") + F.least("own", "most_own"), "n", "least_n")
+    ).join(keys, "node")
+    sides = [
+        able.where("c <> main" if outside else "true").select(
+            "key", *(F.col(x).alias(x + i) for x in ("node", "n", "c", "shared", "own", "keys"))
+        )
+        for i, outside in (("1", True), ("2", False))
+    ]
+    most = F.least("shared1", "shared2") + F.least("own1", "own2")
+    # Of the buckets that two documents share, the first one brings them together.
+    here = F.col("key") == F.array_min(F.array_intersect("keys1", "keys2"))
+    return (
+        sides[0].join(sides[1], "key")
+        .where(
+            (F.col("c1") != F.col("c2")) & _similar_sizes("n1", "n2", how)
+            & _linked(how, most, "n1", "n2") & here
+        )
+        .select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+    )
+
+
 def _ids_with_several_sets(usable: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between the nodes of an id that comes with different texts."""
     several = usable.groupBy("id").agg(
