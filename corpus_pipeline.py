@@ -15,15 +15,20 @@ from parlance.llm.packing import pack
 from parlance.llm.quality_rules import quality_rules
 
 
-def _with_text(judged: DataFrame, docs: DataFrame) -> DataFrame:
+def _with_text(judged: DataFrame, docs: DataFrame, *more: str) -> DataFrame:
     """The columns of `docs`, with the text that is left and its number of characters."""
     n_chars = F.length("left_text").cast("long")
-    return judged.withColumns({"text": F.col("left_text"), "n_chars": n_chars}).select(*docs.columns)
+    return judged.withColumns({"text": F.col("left_text"), "n_chars": n_chars}).select(*docs.columns, *more)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; frequent lines leave the others."""
-    return _with_text(quality_rules(docs).where("kept"), docs)
+    """Rejected documents go; frequent lines leave the others.
+
+    The judgement is stored before it is filtered on: a filter on an unstored one
+    would be moved to the scan, with all signals copied into its condition.
+    """
+    judged = quality_rules(docs).withColumn("_kept_by_rules", F.col("kept"))
+    return stored(_with_text(judged, docs, "_kept_by_rules")).where("_kept_by_rules").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
