@@ -70,13 +70,14 @@ def line_dedup(
     """Add n_lines, n_removed and left_text, the text without boilerplate lines.
 
     Line hashes are made once and stored; the lines to remove are found once for
-    each distinct text. A hot text is left to the skew join.
+    each distinct text. They are stored too, which leaves the rows' own shuffle
+    free to be split where one text is hot.
     """
     lines = stored(text_lines(docs, text, site))
     flagged = stored(spread_lines(lines, spread))
     key, check = _text_key(text)
     rows = packed(docs, text=text, key=key, check=check)
-    hits = (
+    hits = stored(
         lines.join(flagged, "line", "left_semi")
         .groupBy("key", "check").agg(F.collect_set("line").alias("hits"))
     )
