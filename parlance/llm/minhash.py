@@ -191,7 +191,9 @@ def near_duplicates(
 ) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id of its class), kept.
 
-    Bucket members, pairs and links are stored between the rounds.
+    Bucket members, pairs and links are stored between the rounds. What is
+    aggregated per bucket is stored before it is joined back to the members: it is
+    broadcast if it is small, and else the members of a hot bucket can be split.
     """
     signed = stored(signatures(docs, text, id, how))
     usable = signed.where("n_shingles > 0 AND id IS NOT NULL")
@@ -203,7 +205,8 @@ def near_duplicates(
     sets = smallest.select("s1", "s2", "node")
     members = smallest.select("node", "n", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("_most"))
-    buckets = stored(members.join(shared.where("leader < _most").drop("_most"), "key"))
+    leaders = stored(shared.where("leader < _most").drop("_most"))
+    buckets = stored(members.join(leaders, "key"))
     sizes = buckets.where("leader = node").select("leader", F.col("n").alias("leader_n")).distinct()
     led = stored(
         buckets.where("leader <> node").select("leader", "node", "n").distinct()
@@ -247,7 +250,7 @@ def near_duplicates(
 def _open(members: DataFrame) -> DataFrame:
     """Bucket members (key, c, ...) of the buckets in which several classes meet."""
     split = members.groupBy("key").agg(F.min("c").alias("_least"), F.max("c").alias("_most"))
-    return members.join(split.where("_least < _most").select("key"), "key", "left_semi")
+    return members.join(stored(split.where("_least < _most").select("key")), "key", "left_semi")
 
 
 def _placed_by_centre(members: DataFrame, texts: DataFrame, how: MinMax) -> DataFrame:
@@ -271,13 +274,13 @@ def _placed_by_centre(members: DataFrame, texts: DataFrame, how: MinMax) -> Data
         held.join(several, "s").groupBy("node")
         .agg(F.count("*").alias("common"), F.sum("times").alias("weight"))
     )
-    alive = _open(
+    alive = stored(_open(
         members.join(known, "node").where(100 * F.col("common") >= how.percent * F.col("n"))
-    )
+    ))
     centre = F.max(F.struct((F.col("weight") / F.col("n")).alias("w"), "node", F.col("n").alias("centre_n")))
-    centres = alive.groupBy("key").agg(centre.alias("at")).select(
+    centres = stored(alive.groupBy("key").agg(centre.alias("at")).select(
         "key", F.col("at.node").alias("centre"), "at.centre_n"
-    )
+    ))
     met = stored(alive.join(centres, "key"))
     pairs = met.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     shared = overlaps(pairs, texts, how).groupBy(F.col("a").alias("centre"), F.col("b").alias("node")).agg(
@@ -294,10 +297,10 @@ def _across(members: DataFrame, how: MinMax) -> DataFrame:
     any other document. Where that is too little the pair is ruled out unseen.
     """
     own = F.col("common") - F.col("shared")
-    members = _open(members.withColumn("own", own))
-    bounds = members.groupBy("key").agg(
+    members = stored(_open(members.withColumn("own", own)))
+    bounds = stored(members.groupBy("key").agg(
         F.min("n").alias("least_n"), F.max("own").alias("most_own"), F.mode("c").alias("main")
-    )
+    ))
     keys = members.groupBy("node").agg(F.collect_set("key").alias("keys"))
     able = members.join(bounds, "key").where(
         _linked(how, F.col("shared") + F.least("own", "most_own"), "n", "least_n")
