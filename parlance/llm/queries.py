@@ -78,7 +78,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         simhash.compared_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
     )
     pairs = simhash.near_fingerprints(prints.where("doc_id % 50 = 0"), prints)
-    near = pairs.groupBy("fingerprint").agg(F.count("*").alias("near_queries"))
+    # Stored, so that the join with the documents can be split where a fingerprint is hot.
+    near = stored(pairs.groupBy("fingerprint").agg(F.count("*").alias("near_queries")))
     return prints.join(near, "fingerprint", "left").fillna(0, ["near_queries"])
 
 

@@ -207,7 +207,8 @@ def near_fingerprints(queries: DataFrame, rows: DataFrame, how: SimHash = SimHas
     """Pairs (query, fingerprint, apart) of different fingerprints within the radius.
 
     Both tables have a column `fingerprint`; equal ones count once, so copies are
-    not expanded into pairs.
+    not expanded into pairs. The block tables are many times larger than what the
+    planner sees before them, so they are never broadcast.
     """
     sides = [
         df.select("fingerprint").distinct()
@@ -217,7 +218,7 @@ def near_fingerprints(queries: DataFrame, rows: DataFrame, how: SimHash = SimHas
     ]
     apart = hamming(F.col("query"), F.col("found"), how.bits)
     return (
-        sides[0].join(sides[1], ["table", "key"])
+        sides[0].hint("merge").join(sides[1].hint("merge"), ["table", "key"])
         .where((F.col("query") != F.col("found")) & (apart <= how.radius))
         .select("query", F.col("found").alias("fingerprint")).distinct()
         .withColumn("apart", hamming(F.col("query"), F.col("fingerprint"), how.bits))
