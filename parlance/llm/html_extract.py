@@ -1,18 +1,20 @@
 """Main text of web pages by site template removal.
 
 Each page is read into elements, and every element subtree that may be template
-is hashed. Spark counts, per host, the pages that hold a subtree; those that
-recur on many pages of the host are deleted. What the markup itself names as
+is hashed. Spark counts, per host, the distinct contents of the pages that hold
+a subtree; those that recur under many contents of the host are deleted. Copies
+of a page have one content, so their body is not template. What the markup itself names as
 menus, headers, footers, sidebars, notices, adverts, forms or comments goes too,
 so that hosts with few pages are served. An article's own plain paragraphs and
 headings are never template, however often the article is copied.
 
 Defined results: null or empty html gives an empty text; a null URL, or one
 without a host, belongs to the empty host; pages that repeat are extracted
-alike and count once each; an empty table gives an empty result.
+alike and count as one; an empty table gives an empty result.
 """
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +28,8 @@ from parlance.llm.urls import host_of
 
 @dataclass(frozen=True)
 class Template:
-    """A subtree is template on a host if it is on `min_pages` of its pages and on
-    `min_permille` of them."""
+    """A subtree is template on a host if it is on pages of `min_pages` distinct contents
+    and on `min_permille` of the host's distinct contents."""
 
     min_pages: int = 3
     min_permille: int = 5
@@ -93,7 +95,20 @@ def _marked(html: str) -> tuple[list[Element], set[int], set[int], dict[int, int
 
 def template_digests(html: str | None) -> list[int]:
     """Distinct digests of a page's subtrees that may be template."""
-    return sorted(set(_marked(html)[3].values())) if html else []
+    return _counted(html)[0]
+
+
+def _counted(html: str | None) -> tuple[list[int], int]:
+    """Distinct digests of a page's subtrees that may be template, and the digest of its
+    content: its text without what the markup names as boilerplate, which may differ
+    between copies of a page."""
+    if not html:
+        return [], 0
+    elements, named, _, digests = _marked(html)
+    dropped = {id(e) for e in elements[1:] if id(e) in named and e.tag not in ROOTS}
+    text = html_tree.blocks(elements[:1], dropped) or html_tree.blocks(elements[:1], set())
+    content = blake2b("\n".join(text).encode("utf-8", "replace"), digest_size=8).digest()
+    return sorted(set(digests.values())), int.from_bytes(content, "big", signed=True)
 
 
 def main_text(html: str | None, recurring: frozenset[int] = frozenset()) -> str:
@@ -131,17 +146,16 @@ def site_templates(pages: DataFrame, html: str = "html", url: str = "url", how:
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [template_digests(h) for h in batch["html"].to_pylist()]
-        return pa.RecordBatch.from_arrays(
-            [batch["host"], pa.array(found, pa.list_(pa.int64()))], ["host", "digests"]
-        )
+        found = [_counted(h) for h in batch["html"].to_pylist()]
+        digests, contents = pa.array([d for d, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.int64())
+        return pa.RecordBatch.from_arrays([batch["host"], digests, contents], ["host", "digests", "content"])
 
     # Each page also counts itself, as a null digest.
-    each = by_slices(rows, "html", "host string, digests array<long>", work).select(
-        "host", F.explode(F.concat("digests", F.array(F.lit(None).cast("long")))).alias("digest")
+    each = by_slices(rows, "html", "host string, digests array<long>, content long", work).select(
+        "host", F.explode(F.concat("digests", F.array(F.lit(None).cast("long")))).alias("digest"), "content"
     )
     counts = stored(
-        each.groupBy("host", "digest").agg(F.count("*").alias("n"))
+        each.groupBy("host", "digest").agg(F.count_distinct("content").alias("n"))
         .where((F.col("n") >= how.min_pages) | F.col("digest").isNull())
     )
     sizes = counts.where("digest IS NULL").select("host", F.col("n").alias("pages"))

@@ -58,6 +58,20 @@ def test_subtrees_that_recur_on_a_host_go(spark, with_clashes):
     assert texts[30] == "" and texts[31] == "y" and texts[None] == ""
 
 
+@pytest.mark.parametrize("body", [
+    "<article><div class='entry'><p>copied</p></div></article>",
+    "<article><p class='lead'>copied</p></article>",
+    "<div class='entry'><p>copied</p></div>",
+])
+def test_copied_pages_keep_their_text(spark, body):
+    shared = "<div class='z'><span>Follow our paper</span></div>"
+    rows = [page("a.org", f"<div class='ad'>ad {i}</div>{shared}{body}", i) for i in range(5)]
+    rows += [page("a.org", f"{shared}<div><p>own {i}</p></div>", 10 + i) for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert texts == {i: "copied" for i in range(5)} | {10 + i: f"own {i}" for i in range(5)}
+
+
 def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extract.extract(pages).collect() == []
