@@ -72,15 +72,27 @@ def op5_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`near_queries` counts the other fingerprints of documents whose id is divisible by 50
-    that are within the search radius."""
+    """The query documents are those whose id is divisible by 50. `near_queries` counts the other
+    ones within the search radius, copies too; `near_ids` names the first query document of each
+    fingerprint among them and the document's own, so copies share an id."""
     prints = stored(
         simhash.compared_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
     )
-    pairs = simhash.near_fingerprints(prints.where("doc_id % 50 = 0"), prints)
-    # Stored, so that the join with the documents can be split where a fingerprint is hot.
-    near = stored(pairs.groupBy("fingerprint").agg(F.count("*").alias("near_queries")))
-    return prints.join(near, "fingerprint", "left").fillna(0, ["near_queries"])
+    is_query = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
+    asked = stored(
+        prints.where(is_query).groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("near_id"))
+    )
+    same = asked.select(F.col("fingerprint").alias("query"), "fingerprint")
+    # Stored, so that the joins can be split where a fingerprint is hot.
+    pairs = stored(simhash.near_fingerprints(asked, prints).select("query", "fingerprint").unionByName(same))
+    near = stored(
+        pairs.join(asked.withColumnRenamed("fingerprint", "query"), "query").groupBy("fingerprint")
+        .agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("near_id")).alias("near_ids"))
+    )
+    return prints.join(near, "fingerprint", "left").select(
+        *prints.columns, (F.coalesce("n", F.lit(0)) - is_query.cast("long")).alias("near_queries"),
+        F.coalesce("near_ids", F.array().cast("array<long>")).alias("near_ids"),
+    )
 
 
 @query

@@ -1,17 +1,20 @@
-"""SimHash fingerprints of documents, and search for near ones by permuted block tables.
+"""SimHash fingerprints of documents, and search for near ones by block tables.
 
 Terms of a text (three-word shingles, and byte grams where words are few) vote
 with their weights on the bits of the fingerprint. To search, a fingerprint is
-cut into blocks; two that differ in at most `radius` bits agree in all but that
-many blocks, so a table for each choice of the other blocks finds every one.
+cut into blocks; two that differ in at most `radius` bits differ in at most
+radius // blocks bits of some block, so a table for each block, looked up under
+all keys that near a query's, finds every one.
 
 Defined results: a null text counts as empty; a text without terms has a
 fingerprint of zeros; documents follow each other by id, null first, and by text
 where ids are equal; an empty table gives an empty result.
 """
 
+import functools
 import hashlib
 import itertools
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,15 +30,19 @@ from parlance.llm.runs import run_hashes
 
 @dataclass(frozen=True)
 class SimHash:
-    """`bits` is a multiple of 64. A text of n words, n below `few`, has its byte grams
-    voting too, with weight 1 - n / few."""
+    """`bits` is a multiple of 64, a block has at most 64. A text of n words, n below `few`, has its byte grams
+    voting too, with weight 1 - n / few.
+
+    Of 897 texts of sf0.01 with words replaced, `radius` bits hold 98.6 % of those
+    that kept a Jaccard similarity of 0.8 (their median is 18 bits), 3 bits hold 0.4 %.
+    """
 
     bits: int = 128
     shingle: int = 3
     few: int = 32
     gram: int = 4
-    radius: int = 3
-    blocks: int = 6
+    radius: int = 26
+    blocks: int = 9
 
 
 SHINGLE_BASE, GRAM_BASE = 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3
@@ -181,45 +188,76 @@ def compared_documents(docs: DataFrame, text: str = "text", id: str = "doc_id",
     return read.where("part IS NULL").select(*NAMES).unionByName(by_slices(seams, "text", COLUMNS, joined))
 
 
-def _block_keys(fingerprint: Column, how: SimHash) -> Column:
-    """One (table, key) for each choice of blocks that must agree."""
-    digits = how.bits // 4
-    cuts = [digits * i // how.blocks for i in range(how.blocks + 1)]
-    pieces = [F.substring(fingerprint, a + 1, b - a) for a, b in itertools.pairwise(cuts)]
-    chosen = itertools.combinations(range(how.blocks), how.blocks - how.radius)
-    return F.explode(F.array(*(
-        F.struct(F.lit(t).alias("table"), F.concat(*(pieces[i] for i in blocks)).alias("key"))
-        for t, blocks in enumerate(chosen)
-    )))
+def _longs(fingerprint: Column, how: SimHash) -> list[Column]:
+    """The fingerprint in longs, 16 digits each."""
+    return [F.conv(F.substring(fingerprint, at, 16), 16, -10).cast("long") for at in range(1, how.bits // 4 + 1, 16)]
 
 
-def hamming(a: Column, b: Column, bits: int) -> Column:
-    """Bits in which two hexadecimal fingerprints differ."""
-    # Eight digits at a time, which a long holds without a sign.
-    total = F.lit(0)
-    for at in range(1, bits // 4 + 1, 8):
-        x, y = (F.conv(F.substring(c, at, 8), 16, 10).cast("long") for c in (a, b))
-        total = total + F.bit_count(x.bitwiseXOR(y))
-    return total
+def _blocks(longs: list[Column], how: SimHash) -> list[Column]:
+    """The bits of each block."""
+    cuts = [how.bits * i // how.blocks for i in range(how.blocks + 1)]
+    found = []
+    for start, end in itertools.pairwise(cuts):
+        value = F.lit(0).cast("long")
+        for i, part in enumerate(longs):
+            a, b = max(start, 64 * i), min(end, 64 * i + 64)
+            if a < b:
+                piece = F.shiftrightunsigned(F.shiftleft(part, a - 64 * i), 64 - (b - a))
+                value = F.shiftleft(value, b - a).bitwiseOR(piece) if a > start else piece
+        found.append(value)
+    return found
+
+
+def _flips(how: SimHash) -> list[int]:
+    """What a block of the greatest width is changed by within its share of the radius."""
+    width = -(-how.bits // how.blocks)
+    return sorted(
+        sum(-(1 << 63) if bit == 63 else 1 << bit for bit in chosen)
+        for n in range(how.radius // how.blocks + 1)
+        for chosen in itertools.combinations(range(width), n)
+    )
 
 
 def near_fingerprints(queries: DataFrame, rows: DataFrame, how: SimHash = SimHash()) -> DataFrame:
     """Pairs (query, fingerprint, apart) of different fingerprints within the radius.
 
     Both tables have a column `fingerprint`; equal ones count once, so copies are
-    not expanded into pairs. The block tables are many times larger than what the
-    planner sees before them, so they are never broadcast.
+    not expanded into pairs. A query is looked up under each near key, a row has
+    one key a block; a pair counts in the first block whose share it keeps. The
+    block tables are many times larger than what the planner sees before them, so
+    they are never broadcast.
     """
-    sides = [
-        df.select("fingerprint").distinct()
-        .select(F.col("fingerprint").alias(name), _block_keys(F.col("fingerprint"), how).alias("at"))
-        .select(name, "at.table", "at.key")
-        for df, name in ((queries, "query"), (rows, "found"))
+    n = how.bits // 64
+    cuts = [how.bits * i // how.blocks for i in range(how.blocks + 1)]
+
+    def tables(df: DataFrame, to: str) -> DataFrame:
+        longs = [F.col(f"{to}{i}") for i in range(n)]
+        distinct = df.select("fingerprint").distinct().select(
+            *(c.alias(f"{to}{i}") for i, c in enumerate(_longs(F.col("fingerprint"), how)))
+        )
+        at = F.explode(F.array(*(
+            F.struct(F.lit(t).alias("table"), F.lit(cuts[t + 1] - cuts[t]).alias("width"), block.alias("key"))
+            for t, block in enumerate(_blocks(longs, how))
+        )))
+        return distinct.select(*longs, at.alias("at")).select(*longs, "at.table", "at.width", "at.key")
+
+    flips = F.explode(F.array(*(F.lit(m).cast("long") for m in _flips(how))))
+    fits = F.expr("flip < shiftleft(1L, width)") if how.bits % how.blocks else F.lit(True)
+    asked = (
+        tables(queries, "q").withColumn("flip", flips).where(fits)
+        .withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("width", "flip")
+    )
+    changed = [F.col(f"q{i}").bitwiseXOR(F.col(f"f{i}")) for i in range(n)]
+    apart = functools.reduce(operator.add, (F.bit_count(c) for c in changed))
+    first = F.lit(how.blocks)
+    for t, block in reversed([*enumerate(_blocks(changed, how))]):
+        first = F.when(F.bit_count(block) <= how.radius // how.blocks, t).otherwise(first)
+    spelled = [
+        F.lower(F.concat(*(F.lpad(F.hex(F.col(f"{side}{i}")), 16, "0") for i in range(n)))).alias(name)
+        for side, name in (("q", "query"), ("f", "fingerprint"))
     ]
-    apart = hamming(F.col("query"), F.col("found"), how.bits)
     return (
-        sides[0].hint("merge").join(sides[1].hint("merge"), ["table", "key"])
-        .where((F.col("query") != F.col("found")) & (apart <= how.radius))
-        .select("query", F.col("found").alias("fingerprint")).distinct()
-        .withColumn("apart", hamming(F.col("query"), F.col("fingerprint"), how.bits))
+        asked.hint("merge").join(tables(rows, "f").drop("width").hint("merge"), ["table", "key"])
+        .where((apart <= how.radius) & (apart > 0) & (first == F.col("table")))
+        .select(*spelled, apart.alias("apart"))
     )

@@ -227,3 +227,47 @@ def test_block_tables_find_every_near_fingerprint(spark, radius, blocks):
             if 0 < apart <= radius:
                 want.add((s.tobytes().hex(), p.tobytes().hex(), apart))
     assert got == want
+
+
+def test_edited_texts_are_found(docs_of, tmp_path, spark):
+    """Near copies at Jaccard 0.8 and exact copies of query documents, by the query itself."""
+    from parlance.llm.queries import QUERIES
+
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(40):
+        words = rng.choices(vocabulary, k=200)
+        new = list(words)
+        for at in rng.sample(range(200), 6):
+            new[at] = rng.choice(vocabulary)
+        rows += [(50 * i, " ".join(words)), (50 * i + 1, " ".join(words)), (50 * i + 2, " ".join(new)), (50 * i + 3, " ".join(rng.choices(vocabulary, k=200)))]
+    rows.append((5000, rows[0][1]))
+    docs_of(*rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op6_simhash"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    assert all((got[50 * i + 1].near_queries, got[50 * i + 1].near_ids) == (1 + (i == 0), [50 * i]) for i in range(40))
+    assert sum(got[50 * i + 2].near_ids == [50 * i] for i in range(40)) >= 38
+    assert all(got[50 * i + 3].near_ids == [] and got[50 * i + 3].near_queries == 0 for i in range(40))
+    assert (got[0].near_queries, got[5000].near_queries, got[50].near_queries) == (1, 1, 0)
+
+
+@pytest.mark.parametrize("radius, blocks", [(26, 9), (3, 2), (20, 7)])
+def test_wide_radius_finds_every_near_fingerprint(spark, radius, blocks):
+    rng = np.random.default_rng(5)
+    seeds = rng.integers(0, 256, (8, 16), dtype=np.uint8)
+    prints = [s for s in seeds]
+    for s in seeds:
+        for flips in range(0, radius + 4):
+            bits = np.unpackbits(s)
+            bits[rng.choice(128, flips, replace=False)] ^= 1
+            prints.append(np.packbits(bits))
+    table = spark.createDataFrame([(p.tobytes().hex(),) for p in prints], "fingerprint string")
+    queries = spark.createDataFrame([(s.tobytes().hex(),) for s in seeds], "fingerprint string")
+    how = simhash.SimHash(radius=radius, blocks=blocks)
+    got = [(r["query"], r.fingerprint, r.apart) for r in simhash.near_fingerprints(queries, table, how).collect()]
+    want = {
+        (s.tobytes().hex(), p.tobytes().hex(), int(np.bitwise_count(s ^ p).sum()))
+        for s in seeds for p in prints if 0 < np.bitwise_count(s ^ p).sum() <= radius
+    }
+    assert len(got) == len(set(got)) and set(got) == want
