@@ -3,6 +3,7 @@
 The trees are trained from labelled URLs. Besides lengths, depth, ratios, entropy
 and parameter counts they see suffix statistics: how often URLs with the same end
 of the host, or the same first part of the path, were labelled to be blocked.
+The trees are fitted to a bounded sample; the statistics are of all labelled URLs.
 
 Only DataFrame functions and Spark's own trees are used. Defined results: a null
 URL, or one without `://`, has an empty host and path and is judged by the trees;
@@ -38,11 +39,10 @@ class Rule:
 
 @dataclass(frozen=True)
 class UrlModel:
-    """Training takes at most `max_labelled` labelled URLs, by a hash of the URL.
-    Suffixes are counted in `slots` hashed slots, so their table is bounded."""
+    """Training takes at most `max_labelled` labelled URLs, by a hash of the URL;
+    suffixes are counted over all of them."""
 
     max_labelled: int = 20_000
-    slots: int = 4096
     smoothing: float = 5.0
     trees: int = 20
     depth: int = 3
@@ -109,45 +109,48 @@ def with_lexical(urls: DataFrame) -> DataFrame:
     }).drop("_query")
 
 
-def _slot(suffix: str, slots: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(suffix), F.col(suffix)), F.lit(slots)).cast("int")
+FOLDS = 5
+
+
+def _fold(how: UrlModel) -> Column:
+    return F.pmod(F.xxhash64(F.lit(how.seed + 1), F.col("url")), F.lit(FOLDS)).cast("int")
 
 
 def suffix_counts(labelled: DataFrame, how: UrlModel) -> DataFrame:
-    """(suffix, slot, n, blocked): at most slots rows a suffix."""
-    each = F.explode(F.array(*(
-        F.struct(F.lit(s).alias("suffix"), _slot(s, how.slots).alias("slot")) for s in SUFFIXES
-    )))
-    return (
-        labelled.select(each.alias("at"), "block").groupBy("at.suffix", "at.slot")
+    """(suffix, value, fold, n, blocked) for each suffix that is labelled; the null fold has all."""
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("suffix"), F.col(s).alias("value")) for s in SUFFIXES)))
+    folds = stored(
+        labelled.select(each.alias("at"), _fold(how).alias("fold"), "block").groupBy("at.suffix", "at.value", "fold")
         .agg(F.count("*").alias("n"), F.sum(F.col("block").cast("long")).alias("blocked"))
     )
+    every = folds.groupBy("suffix", "value").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
+    return folds.unionByName(every.withColumn("fold", F.lit(None).cast("int")))
 
 
-def with_statistics(urls: DataFrame, counts: DataFrame, how: UrlModel, own: Column | None = None) -> DataFrame:
+def with_statistics(urls: DataFrame, counts: DataFrame, how: UrlModel, training: bool = False) -> DataFrame:
     """Add each suffix's smoothed share of blocked URLs and its count.
 
-    `own` is a training row's label, which is taken out of the counts, so that a
-    row is not described by its own label. The counts have a bounded number of
-    rows and are broadcast.
+    A training row's fold is taken out of the counts. To take out its own label
+    alone would show the label: the share is lower for each blocked row. The
+    counts are stored, and their size decides whether they are broadcast.
     """
     out = urls
-    less = F.lit(0) if own is None else F.lit(1)
-    bad = F.lit(0) if own is None else own.cast("long")
     for s in SUFFIXES:
-        mine = counts.where(F.col("suffix") == s).select(
-            F.col("slot").alias(f"_{s}"), F.col("n").alias(f"_{s}_n"), F.col("blocked").alias(f"_{s}_b")
-        )
-        n = F.coalesce(f"_{s}_n", F.lit(0)) - F.when(F.col(f"_{s}_n").isNull(), 0).otherwise(less)
-        b = F.coalesce(f"_{s}_b", F.lit(0)) - F.when(F.col(f"_{s}_n").isNull(), 0).otherwise(bad)
-        out = (
-            out.withColumn(f"_{s}", _slot(s, how.slots)).join(F.broadcast(mine), f"_{s}", "left")
-            .withColumns({
-                f"{s}_rate": (b + how.smoothing / 2) / (n + how.smoothing),
-                f"{s}_count": F.log1p(n.cast("double")),
-            })
-            .drop(f"_{s}", f"_{s}_n", f"_{s}_b")
-        )
+        mine = counts.where(F.col("suffix") == s)
+        for part, kept in (("all", F.col("fold").isNull()), *([("own", F.col("fold").isNotNull())] if training else [])):
+            found = mine.where(kept).select(
+                F.col("value").alias(s), *([F.col("fold").alias("_fold")] if part == "own" else []),
+                F.col("n").alias(f"_n_{part}"), F.col("blocked").alias(f"_b_{part}"),
+            )
+            on = [s, "_fold"] if part == "own" else [s]
+            out = (out.withColumn("_fold", _fold(how)) if part == "own" else out).join(found, on, "left")
+        n, b = F.coalesce("_n_all", F.lit(0)), F.coalesce("_b_all", F.lit(0))
+        if training:
+            n, b = n - F.coalesce("_n_own", F.lit(0)), b - F.coalesce("_b_own", F.lit(0))
+        out = out.withColumns({
+            f"{s}_rate": (b + how.smoothing / 2) / (n + how.smoothing),
+            f"{s}_count": F.log1p(n.cast("double")),
+        }).drop("_n_all", "_b_all", "_n_own", "_b_own", "_fold")
     return out
 
 
@@ -172,14 +175,14 @@ def judged_urls(
     if len(kinds) < 2:
         scored = lexical.withColumn("_block", F.lit(True in kinds))
     else:
-        counts = stored(suffix_counts(sample, how))
+        counts = stored(suffix_counts(known, how))
         assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
         trees = GBTClassifier(
             featuresCol="_features", labelCol="_label", predictionCol="_predicted",
             maxIter=how.trees, maxDepth=how.depth, seed=how.seed,
         ).setRawPredictionCol("_raw").setProbabilityCol("_p")
         # The sample is bounded; a few partitions keep the many small training jobs short.
-        rows = with_statistics(sample, counts, how, F.col("block")).withColumn("_label", F.col("block").cast("double"))
+        rows = with_statistics(sample, counts, how, training=True).withColumn("_label", F.col("block").cast("double"))
         model = trees.fit(assembler.transform(rows.coalesce(2)).select("_features", "_label"))
         every = assembler.transform(with_statistics(lexical, counts, how))
         scored = model.transform(every).withColumn("_block", vector_to_array("_p")[1] >= how.threshold)

@@ -120,6 +120,17 @@ def test_trees_learn_lexical_labels(spark):
     assert right >= 0.95 * 200
 
 
+def test_suffixes_outside_the_sample_count(spark):
+    rng = random.Random(4)
+    hosts = ["".join(rng.choices("abcdefghij", k=6)) + ".org" for _ in range(200)]
+    bad = dict(zip(hosts, [True, False] * 100, strict=True))
+    url = lambda h: f"https://{h}/x/{rng.choice('abcdef')}{rng.choice('abcdef')}"
+    labelled = spark.createDataFrame([(url(h), bad[h]) for h in hosts for _ in range(10)], "url string, block boolean")
+    test = spark.createDataFrame([(url(h), bad[h]) for h in hosts], "url string, bad boolean")
+    got = url_filter.judged_urls(test, labelled, how=url_filter.UrlModel(max_labelled=100)).collect()
+    assert sum((r.verdict == "block") == r.bad for r in got) >= 190
+
+
 def test_labels_of_one_kind(spark):
     test = spark.createDataFrame([("https://a.org/x",)], "url string")
     for kind in (True, False):
