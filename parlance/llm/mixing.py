@@ -39,8 +39,6 @@ class Mix:
 
 # Selection narrows down the hash of the last document by so many bits a level.
 LEVEL_BITS, LEVELS = 16, 2
-# ... and so many documents of a pattern then close the gap.
-CLOSINGS = 4
 
 
 def targets(sizes: dict[str | None, int], mix: Mix) -> dict[str | None, float]:
@@ -128,69 +126,89 @@ def _level(hash: Column, level: int) -> Column:
 
 
 def _selected(sized: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The documents of each pattern, in hash order, whose sizes come to what is wanted.
+    """The documents of each pattern whose sizes come to what is wanted, as (pattern, hash, taken).
 
-    `wanted` has (pattern, want). Sizes are summed per hash cell, the cells whose
-    running sum stays within what is wanted are taken whole, and the cell after
-    them is split again. What then still lacks is made up by a few documents.
+    `wanted` has (pattern, want). Documents are taken down the hash order; one that
+    exceeds what is lacking is set aside. Each round takes those up to the first
+    that doesn't fit and then the largest that does, until nothing fits; in the
+    end the one that comes nearest closes the gap. Rows with equal hash are one.
     """
-    rows = sized.join(F.broadcast(wanted), "pattern")
+    units = stored(
+        sized.groupBy("pattern", "hash").agg(F.sum("size").alias("size"))
+        .withColumn("taken", F.lit(False))
+    )
+    while True:
+        lacking = _lacking(units, wanted)
+        if units.where("NOT taken AND size > 0").join(F.broadcast(lacking), "pattern").where("size <= gap").isEmpty():
+            return _closer(units, lacking, last=True)
+        units = _swept(units, lacking)
+        units = _closer(units, _lacking(units, wanted), last=False)
+
+
+def _lacking(units: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(pattern, gap) of the patterns that lack words."""
+    given = units.groupBy("pattern").agg(F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0)).alias("given"))
+    return stored(
+        given.join(F.broadcast(wanted), "pattern")
+        .select("pattern", (F.col("want") - F.col("given")).alias("gap")).where("gap > 0")
+    )
+
+
+def _swept(units: DataFrame, lacking: DataFrame) -> DataFrame:
+    """Take the documents that fit, in hash order, up to the first that exceeds what is lacking.
+
+    Sizes are summed per hash cell, the cells whose running sum stays within the
+    gap are taken whole, and the cell after them is split again.
+    """
+    rows = units.join(F.broadcast(lacking), "pattern", "left").withColumn(
+        "fits", ~F.col("taken") & F.coalesce(F.col("size") <= F.col("gap"), F.lit(False))
+    )
     prefix: list[str] = []
     cells = []
     for level in range(LEVELS):
         into = f"c{level}"
         rows = rows.withColumn(into, _level(F.col("hash"), level))
-        open_rows = rows
+        open_rows = rows.where("fits")
         if cells:
-            open_rows = rows.join(
-                cells[-1].where("edge").select("pattern", *prefix, F.col("missing").alias("want_here")),
-                ["pattern", *prefix],
-            ).drop("want").withColumnRenamed("want_here", "want")
+            open_rows = open_rows.drop("gap").join(
+                cells[-1].where("edge").select("pattern", *prefix, F.col("missing").alias("gap")), ["pattern", *prefix]
+            )
         running = F.sum("words").over(
             Window.partitionBy("pattern").orderBy(into).rowsBetween(Window.unboundedPreceding, 0)
         )
         prefix = [*prefix, into]
         summed = (
             open_rows.groupBy("pattern", *prefix)
-            .agg(F.sum("size").alias("words"), F.first("want").alias("want"))
+            .agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
             .withColumn("upto", running)
-            .withColumn("whole", F.col("upto") <= F.col("want"))
-            .withColumn("missing", F.col("want") - (F.col("upto") - F.col("words")))
+            .withColumn("whole", F.col("upto") <= F.col("gap"))
+            .withColumn("missing", F.col("gap") - (F.col("upto") - F.col("words")))
             .withColumn("edge", (F.col("missing") >= 0) & ~F.col("whole"))
             .where("whole OR edge")
         )
-        cells.append(stored(summed.select("pattern", *prefix, "whole", "edge", "missing", "upto")))
-    taken = None
+        cells.append(stored(summed.select("pattern", *prefix, "whole", "edge", "missing")))
+    taken = F.lit(False)
     for level, found in enumerate(cells):
         keys = ["pattern", *prefix[: level + 1]]
-        hit = found.where("whole").select(*keys, F.lit(True).alias(f"t{level}"))
-        rows = rows.join(hit, keys, "left")
-        now = F.coalesce(f"t{level}", F.lit(False))
-        taken = now if taken is None else taken | now
-    rows = stored(
-        rows.withColumn("taken", taken).drop(*(f"t{i}" for i in range(LEVELS)), *prefix)
-    )
-    for close in range(CLOSINGS):
-        rows = _closer(rows, last=close == CLOSINGS - 1)
-    return rows.drop("want")
+        rows = rows.join(found.where("whole").select(*keys, F.lit(True).alias(f"t{level}")), keys, "left")
+        taken = taken | F.coalesce(f"t{level}", F.lit(False))
+    return stored(rows.select("pattern", "hash", "size", (F.col("taken") | (F.col("fits") & taken)).alias("taken")))
 
 
-def _closer(rows: DataFrame, last: bool) -> DataFrame:
+def _closer(units: DataFrame, lacking: DataFrame, last: bool) -> DataFrame:
     """Take one more document of each pattern: the largest that fits into what is lacking,
     or in the end the one that comes nearest to it."""
-    lacking = rows.groupBy("pattern").agg(
-        (F.first("want") - F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0))).alias("gap")
-    ).where("gap > 0")
     off = F.abs(F.col("size") - F.col("gap"))
     better = off < F.col("gap") if last else F.col("size") <= F.col("gap")
-    best = stored(
-        rows.where("NOT taken AND size > 0").join(F.broadcast(lacking), "pattern").where(better)
-        .groupBy("pattern").agg(F.min(F.struct(off.alias("off"), "hash", "size")).alias("best"))
-        .select("pattern", F.col("best.hash").alias("hash"), F.col("best.size").alias("size"), F.lit(True).alias("extra"))
+    best = (
+        units.where("NOT taken AND size > 0").join(F.broadcast(lacking), "pattern").where(better)
+        .groupBy("pattern").agg(F.min(F.struct(off.alias("off"), "hash")).alias("best"))
+        .select("pattern", F.col("best.hash").alias("hash"), F.lit(True).alias("extra"))
+    )
+    return stored(
+        units.join(F.broadcast(best), ["pattern", "hash"], "left")
+        .select("pattern", "hash", "size", (F.col("taken") | F.coalesce("extra", F.lit(False))).alias("taken"))
     )
-    return rows.join(F.broadcast(best), ["pattern", "hash", "size"], "left").withColumn(
-        "taken", F.col("taken") | F.coalesce("extra", F.lit(False))
-    ).drop("extra")
 
 
 def mix_sources(
@@ -228,7 +246,8 @@ def mix_sources(
         for (pattern, _, size), f in zip(patterns, flow, strict=True)
     ]
     wanted = docs.sparkSession.createDataFrame(given, "pattern string, base long, want long")
-    chosen = _selected(sized, wanted.select("pattern", "want"))
+    units = _selected(sized, wanted.select("pattern", "want"))
+    chosen = sized.join(units.drop("size"), ["pattern", "hash"])
     taken = chosen.join(F.broadcast(wanted.drop("want")), "pattern").select(
         "id", "key", "pattern", "size",
         (F.col("base") + F.col("taken").cast("long")).alias("times"),

@@ -1,6 +1,5 @@
 """The corpus queries: each applies one operator to its whole table."""
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,9 +98,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken, words, goals = mixing.mix_sources(table(spark, sf_dir, "documents"))
     per_source = spark.createDataFrame(
-        [(json.dumps([s], ensure_ascii=False, separators=(",", ":")), words[s], goals[s]) for s in words],
-        "pattern string, source_size long, target double",
-    )
+        [([s], words[s], goals[s]) for s in words], "pattern array<string>, source_size long, target double"
+    ).withColumn("pattern", F.to_json("pattern"))
     return taken.join(F.broadcast(per_source), "pattern").select(
         F.col("id").alias("doc_id"), "size", "source_size", "target",
         (F.col("times") * F.col("size")).alias("taken"),

@@ -123,6 +123,19 @@ def test_mix_comes_near_its_targets(docs_of, with_clashes):
     assert mixed.count() == sum(r.times for r in out)
 
 
+def test_documents_that_do_not_fit_are_set_aside(docs_of, tmp_path, spark):
+    from parlance.llm.queries import QUERIES
+
+    rows = [(i, "w " * 5, "a\x0b") for i in range(300)] + [(1000 + i, "w " * 4000, "a\x0b") for i in range(3)]
+    docs = docs_of(*rows)
+    for seed in (1, 2):
+        taken, _, goals = mixing.mix_sources(docs, mix=mixing.Mix(weights=(1,), percent=40, seed=seed))
+        out = taken.agg({"id": "count"}).first()[0], sum(r.times * r.size for r in taken.collect())
+        assert out[0] == 303 and abs(out[1] - sum(goals.values())) <= 5
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["op7_source_mix"](spark, str(tmp_path)).count() == 303
+
+
 def test_overlapping_sources(spark):
     rows = [(i, "w " * 10, s) for i, s in enumerate([["a"], ["a", "b"], ["b", "a"], ["b"], [], None, ["a", "a"]] * 20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
