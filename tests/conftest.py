@@ -1,5 +1,3 @@
-import contextlib
-import io
 import os
 import sys
 
@@ -47,14 +45,3 @@ def turns_of(spark):
         })
 
     return build
-
-
-def plan_of(df) -> str:
-    out = io.StringIO()
-    with contextlib.redirect_stdout(out):
-        df.explain("formatted")
-    return out.getvalue()
-
-
-def rows_of(df) -> list[tuple]:
-    return sorted((tuple(r) for r in df.collect()), key=str)

@@ -1,6 +1,6 @@
 import random
 
-from conftest import plan_of
+from tests.helpers import plan_of
 from pyspark.sql import functions as F
 
 from parlance.operators import cleaning, conversations, keyed, scoring

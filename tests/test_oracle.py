@@ -3,7 +3,7 @@
 import os
 
 import pytest
-from conftest import plan_of
+from tests.helpers import plan_of
 
 from __spark_entry__ import entry, oracle_sql, queries
 from checks.compare import compare, views

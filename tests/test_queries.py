@@ -1,5 +1,5 @@
 import pytest
-from conftest import plan_of, rows_of
+from tests.helpers import plan_of, rows_of
 from pyspark.sql import functions as F
 
 from parlance.operators import conversations as conv

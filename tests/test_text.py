@@ -2,7 +2,7 @@ import random
 import re
 
 import pytest
-from conftest import rows_of
+from tests.helpers import rows_of
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import plan_of
+from tests.helpers import plan_of
 from pyspark.sql import types as T
 
 from parlance.operators import documents, vectors
