@@ -26,8 +26,3 @@ def with_clashes():
         return df.withColumns({n: F.lit(f"own {n}") for n in names if n not in df.columns})
 
     return add
-
-
-def python_free(df) -> bool:
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return not any(w in plan for w in ("Python", "Pandas", "Arrow"))

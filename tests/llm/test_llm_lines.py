@@ -4,7 +4,7 @@ import pytest
 
 from parlance.llm.line_dedup import Spread, line_dedup
 from parlance.llm.quality_rules import Limits, quality_rules
-from tests.llm.conftest import python_free
+from tests.llm.helpers import python_free
 
 
 def repeat_words(text):

@@ -5,7 +5,7 @@ import pytest
 from parlance.llm import html_extract, url_filter
 from parlance.llm.html_extract import main_text
 from parlance.llm.queries import URL_RULES
-from tests.llm.conftest import python_free
+from tests.llm.helpers import python_free
 
 
 @pytest.mark.parametrize("html, text", [
