@@ -149,3 +149,49 @@ WITH RECURSIVE docs AS (
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM docs d LEFT JOIN sizes s USING (doc_id) JOIN classes c USING (doc_id)
 """
+
+
+def _rounds(rounds: int) -> str:
+    """Assignment to the nearest entry and new entries, round by round."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+nearest{r} AS MATERIALIZED (
+  SELECT r, label, p, v, min(d) AS d, arg_min(e, (d, e)) AS e FROM (
+    SELECT r, label, parts.p, v, e, list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - c[i]) ** 2))::BIGINT AS d
+    FROM parts JOIN book{r} USING (p)
+  ) GROUP BY r, label, p, v
+)""")
+        if r < rounds:
+            steps.append(f"""
+sums{r} AS (
+  SELECT p, e, list(floor(s / n)::BIGINT ORDER BY i) AS c FROM (
+    SELECT p, e, i, sum(v[i])::DOUBLE AS s, count(*)::DOUBLE AS n
+    FROM (SELECT p, e, v, unnest(range(1, len(v) + 1)) AS i FROM nearest{r}) GROUP BY p, e, i
+  ) GROUP BY p, e
+), book{r + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(sums{r}.c, book{r}.c) AS c FROM book{r} LEFT JOIN sums{r} USING (p, e)
+)""")
+    return ",".join(steps)
+
+
+ORACLE["op12_grid_cell_codes"] = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, ints) AS r, vec_id, label, ints FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS ints
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  )
+), parts AS MATERIALIZED (
+  SELECT r, label, p, ints[p * len(ints) // 8 + 1 : (p + 1) * len(ints) // 8] AS v FROM kept, range(8) AS t(p)
+), book0 AS MATERIALIZED (
+  SELECT p, r - 1 AS e, v AS c FROM parts WHERE r <= 16
+),{_rounds(6)}, coded AS (
+  SELECT r, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error
+  FROM nearest6 GROUP BY r, label
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book6
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY coded.label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (r), digest
+"""

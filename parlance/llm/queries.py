@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +15,11 @@ from parlance.llm import (
     quality_model,
     quality_rules,
     simhash,
+    spelling,
     substring,
+    token_counts,
     url_filter,
+    vector_codes,
 )
 from parlance.llm.common import stored, table
 
@@ -129,3 +133,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
     )
+
+
+@query
+def op11_pair_heap_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = token_counts.Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary)
+
+
+@query
+def op12_grid_cell_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_error(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256")
+    )
+
+
+@query
+def op13_gram_list_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))

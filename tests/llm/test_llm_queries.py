@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 def test_registered():
     assert set(QUERIES) < set(queries()) and "pipeline" in queries() and set(ORACLE) <= set(oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -27,7 +27,7 @@ def test_query_equals_sql(spark, name):
     assert good, note
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - {"op13_gram_list_variants"}))
 def test_query_has_every_row(spark, name):
     table = "pages" if name.startswith(("op1_", "op4_")) else "documents"
     assert queries()[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
