@@ -263,6 +263,11 @@ def labelled_vectors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Query vectors: every vector whose id is divisible by 50."""
+    return table(spark, sf, "embeddings").where("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding")
+
+
 def label_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Query vectors: the mean embedding of each label."""
     cells = table(spark, sf, "embeddings").select(

