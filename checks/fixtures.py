@@ -16,7 +16,7 @@ from parlance.operators.keyed import lookup_join, number_within
 from parlance.operators.labelling import label_texts, validate_labels
 from parlance.operators.rollups import agent_rollup, conversation_rollup
 from parlance.operators.topics import Topics
-from parlance.sources.storage import shared_folder
+from parlance.sources.scratch import shared_folder
 from parlance.sources.taxonomy import taxonomy_tables
 
 NOW = "2025-11-01 12:00:00"

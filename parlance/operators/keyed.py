@@ -1,8 +1,9 @@
 """Joins, numbering and look-back that stay balanced when one key is hot.
 
 A key (a text, a conversation, a session) may hold a large share of all rows.
-Joins are plain ones, whose hot partitions adaptive execution splits; numbering
-and look-back work inside blocks of a key.
+Joins are plain ones, whose hot partitions adaptive execution splits. Numbering
+and look-back are plain windows while no key is hot; else they are prefix scans
+over ranges of (key, order).
 """
 
 from collections.abc import Sequence
@@ -12,11 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.schema import TURN_BLOCK
+from parlance.sources.scratch import stored
 
 # A table is broadcast only if it was measured to be within both bounds.
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 128 * 1024 * 1024
 
+# A key with more rows than this is hot: its rows are spread over several tasks.
+HOT_ROWS = 1_000_000
+
 
 def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
@@ -61,81 +66,70 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return left.join(renamed, same, how).drop(*(f"_r_{k}" for k in keys))
 
 
-def _in_blocks(df: DataFrame, keys: Sequence[str], order: str, block: int) -> DataFrame:
-    """Add `_block`: stretches of the order column, as wide as hold some `block` rows.
+def _ranges(df: DataFrame, keys: Sequence[str], hot_rows: int) -> int:
+    """0 if no key has more rows than `hot_rows`; else how many ranges of so many rows there are."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    size = counts.agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    return -(-size["all"] // hot_rows) if (size["most"] or 0) > hot_rows else 0
+
+
+def _in_ranges(df: DataFrame, keys: Sequence[str], order: str, ranges: int) -> DataFrame:
+    """The rows dealt by ranges of (keys, order) and stored, with the number of their range.
 
-    The width follows how far a key's values are spread, so a key has no more
-    blocks than its rows divided by `block`, plus one, however sparse the values.
+    Stored, so that all that follows sees the same ranges and the input is not read again.
     """
-    spans = df.groupBy(*keys).agg(
-        F.min(order).cast("long").alias("_low"),
-        (F.max(order).cast("decimal(38,0)") - F.min(order) + 1).alias("_span"),
-        F.count("*").alias("_rows"),
-    ).select(
-        *keys, "_low",
-        F.greatest(F.ceil(F.col("_span") * block / F.col("_rows")), F.lit(1)).alias("_width"),
-    )
-    from_low = F.col(order).cast("decimal(38,0)") - F.col("_low")
-    return _null_safe(df, spans, keys, "left").withColumn(
-        "_block", F.floor(from_low / F.col("_width")).cast("long")
-    ).drop("_low", "_width")
+    dealt = df.repartitionByRange(ranges, *keys, order)
+    return stored(dealt.withColumn("_range", F.spark_partition_id()))
 
 
 def number_within(
-    df: DataFrame, keys: Sequence[str], order: str, into: str, block: int = TURN_BLOCK
+    df: DataFrame, keys: Sequence[str], order: str, into: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """0-based position of each row within its key, by a unique integer column.
 
-    Positions are counted inside blocks of the order column and shifted by the
-    sizes of the earlier blocks, so a window sees one block or one row per block.
+    The rows per key are measured first. With a hot key, positions are counted inside
+    ranges of (key, order), and a key that goes on in the next range hands its count over;
+    only such keys, fewer than there are ranges, have a row to hand over.
     """
     keys = list(keys)
-    rows = _in_blocks(df, keys, order, block)
-    earlier = (
-        rows.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
-        .withColumn(
-            "_before",
-            F.sum("_n").over(
-                Window.partitionBy(*keys).orderBy("_block")
-                .rowsBetween(Window.unboundedPreceding, -1)
-            ),
-        )
-        # Keys of one block, mostly all of them, need no shift and no row here.
-        .where("_before > 0").drop("_n")
+    ranges = _ranges(df, keys, hot_rows)
+    if not ranges:
+        place = Window.partitionBy(*keys).orderBy(order)
+        return df.withColumn(into, F.row_number().over(place).cast("long") - 1)
+    rows = _in_ranges(df, keys, order, ranges)
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    handed = (
+        rows.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+        .withColumn("_before", F.sum("_n").over(earlier)).where("_before > 0").drop("_n")
     )
-    inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(order))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order))
     return (
-        _null_safe(rows.withColumn("_inside", inside), earlier, [*keys, "_block"], "left")
+        _null_safe(rows.withColumn("_inside", inside), handed, [*keys, "_range"], "left")
         .withColumn(into, F.coalesce("_before", F.lit(0)) + F.col("_inside") - 1)
-        .drop("_block", "_inside", "_before")
+        .drop("_range", "_inside", "_before")
     )
 
 
 def previous_within(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    value: str,
-    into: str,
-    block: int = TURN_BLOCK,
+    df: DataFrame, keys: Sequence[str], order: str, value: str, into: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Value of the row before, within a key, by a unique integer column.
 
-    `value` must not be NULL. The last value of each block is handed to the
-    next one, so a window sees one block or one row per block.
+    `value` must not be NULL. As in number_within; a range hands on its last value.
     """
     keys = list(keys)
-    rows = _in_blocks(df, keys, order, block)
+    ranges = _ranges(df, keys, hot_rows)
+    if not ranges:
+        return df.withColumn(into, F.lag(value).over(Window.partitionBy(*keys).orderBy(order)))
+    rows = _in_ranges(df, keys, order, ranges)
     handed = (
-        rows.groupBy(*keys, "_block").agg(F.max_by(value, order).alias("_last"))
-        .withColumn(
-            "_handed", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block"))
-        )
+        rows.groupBy(*keys, "_range").agg(F.max_by(value, order).alias("_last"))
+        .withColumn("_handed", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range")))
         .where("_handed IS NOT NULL").drop("_last")
     )
-    inside = F.lag(value).over(Window.partitionBy(*keys, "_block").orderBy(order))
+    inside = F.lag(value).over(Window.partitionBy(*keys, "_range").orderBy(order))
     return (
-        _null_safe(rows.withColumn("_inside", inside), handed, [*keys, "_block"], "left")
+        _null_safe(rows.withColumn("_inside", inside), handed, [*keys, "_range"], "left")
         .withColumn(into, F.coalesce("_inside", "_handed"))
-        .drop("_block", "_inside", "_handed")
+        .drop("_range", "_inside", "_handed")
     )

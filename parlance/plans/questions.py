@@ -14,9 +14,8 @@ from parlance.operators.conversations import (
     rank_agents,
     topic_example,
 )
-from parlance.operators.keyed import previous_within
+from parlance.operators.keyed import HOT_ROWS, previous_within
 from parlance.operators.search import semantic_search
-from parlance.schema import TURN_BLOCK
 
 
 def top_negative_topics_in_month(
@@ -80,7 +79,7 @@ def sentiment_arc(
     )
 
 
-def sentiment_inflections(turns: DataFrame, block: int = TURN_BLOCK) -> DataFrame:
+def sentiment_inflections(turns: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Customer turns at which sentiment changes direction.
 
     Columns: conv_id, turn_index, score, change from the customer's turn before,
@@ -90,12 +89,12 @@ def sentiment_inflections(turns: DataFrame, block: int = TURN_BLOCK) -> DataFram
         "conv_id", "turn_index", F.col("sentiment_score").alias("score")
     )
     moves = (
-        previous_within(scores, ["conv_id"], "turn_index", "score", "_before", block)
+        previous_within(scores, ["conv_id"], "turn_index", "score", "_before", hot_rows)
         .withColumn("change", F.col("score") - F.col("_before")).drop("_before")
         .where("change <> 0")
     )
     return previous_within(
-        moves, ["conv_id"], "turn_index", "change", "previous_change", block
+        moves, ["conv_id"], "turn_index", "change", "previous_change", hot_rows
     ).where(F.signum("change") != F.signum("previous_change"))
 
 

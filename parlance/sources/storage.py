@@ -9,11 +9,6 @@ from pyspark.sql import functions as F
 from parlance.operators.rollups import agent_rollup
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`, or the warehouse where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-
-
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at a path, or None if nothing was written there."""
     try:

@@ -19,23 +19,42 @@ def keyed_rows(spark, step, n=3000):
 def test_numbering_of_sparse_and_dense_orders(spark):
     for step in (1, 10_000, 10**14):
         rows, df = keyed_rows(spark, step)
-        got = {(r["k"], r["at"]): r["n"] for r in keyed.number_within(df, ["k"], "at", "n", block=64).collect()}
+        got = {(r["k"], r["at"]): r["n"] for r in keyed.number_within(df, ["k"], "at", "n", hot_rows=64).collect()}
         seen = {}
         for k, at in sorted(rows, key=lambda r: (str(r[0]), r[1])):
             assert got[k, at] == seen.get(k, 0)
             seen[k] = got[k, at] + 1
 
 
-def test_few_blocks_however_sparse(spark):
+def test_ranges_hold_so_many_rows_however_sparse(spark):
+    rows, df = keyed_rows(spark, 10_000)
+    ranges = keyed._ranges(df, ["k"], 64)
+    assert ranges == -(-len(rows) // 64) and keyed._ranges(df, ["k"], 3000) == 0 == keyed._ranges(df.limit(0), ["k"], 1)
+    sizes = keyed._in_ranges(df, ["k"], "at", ranges).groupBy("_range").count().collect()
+    assert max(r["count"] for r in sizes) <= 4 * 64
+
+
+def test_without_a_hot_key_there_is_one_exchange(spark):
     _, df = keyed_rows(spark, 10_000)
-    blocks = keyed._in_blocks(df, ["k"], "at", 64).groupBy("k").agg(
-        F.countDistinct("_block").alias("n"), F.count("*").alias("rows"))
-    assert all(r["n"] <= r["rows"] / 64 + 1 for r in blocks.collect())
+    df = df.withColumn("v", F.col("at") * 2)
+    once = keyed.number_within(df, ["k"], "at", "n")
+    twice = keyed.previous_within(keyed.previous_within(df, ["k"], "at", "v", "p"), ["k"], "at", "v", "q")
+    for found in (once, twice):
+        tree = plan_of(found).split("\n\n")[0]
+        assert tree.count("Exchange") == 1 and tree.count("Scan") == 1
+
+
+def test_a_hot_key_is_read_from_storage(spark):
+    """At most two scans of the stored rows; the input is not read again."""
+    _, df = keyed_rows(spark, 1)
+    tree = plan_of(keyed.number_within(df, ["k"], "at", "n", hot_rows=64)).split("\n\n")[0]
+    assert tree.count("Scan parquet") <= 2 and tree.count("Scan ExistingRDD") == 0
+    assert tree.count("Exchange") <= 4
 
 
 def test_previous_value_over_blocks(spark):
     rows, df = keyed_rows(spark, 10_000, 500)
-    found = keyed.previous_within(df.withColumn("v", F.col("at") + 1), ["k"], "at", "v", "p", block=16)
+    found = keyed.previous_within(df.withColumn("v", F.col("at") + 1), ["k"], "at", "v", "p", hot_rows=16)
     got = {(r["k"], r["at"]): r["p"] for r in found.collect()}
     last = {}
     for k, at in sorted(rows, key=lambda r: (str(r[0]), r[1])):

@@ -100,7 +100,7 @@ def inflections_python(scores):
 @pytest.mark.parametrize("block", [1, 3, 4096])
 def test_inflections_do_not_depend_on_blocks(turns_of, block):
     rows, turns = long_turns(turns_of, n=60)
-    found = questions.sentiment_inflections(turns, block=block)
+    found = questions.sentiment_inflections(turns, hot_rows=block)
     expected = [(c, *hit) for c in ("hot", "s1", "s2")
                 for hit in inflections_python(customer_scores(rows, c))]
     assert len(expected) > 5
@@ -111,7 +111,7 @@ def test_inflections_do_not_depend_on_blocks(turns_of, block):
 def test_numbering_does_not_depend_on_blocks(spark, block):
     df = spark.createDataFrame(
         [("hot", 3 * i) for i in range(50)] + [("s", 5), ("s", 900)], "k string, o long")
-    found = keyed.number_within(df, ["k"], "o", "n", block=block)
+    found = keyed.number_within(df, ["k"], "o", "n", hot_rows=block)
     assert rows_of(found.select("k", "o", "n")) == sorted(
         [("hot", 3 * i, i) for i in range(50)] + [("s", 5, 0), ("s", 900, 1)], key=str)
 
