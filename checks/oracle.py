@@ -534,6 +534,11 @@ SELECT conv_id, (turn_index // 2)::BIGINT AS part,
 FROM event_turns WHERE role = 'customer' GROUP BY ALL""",
     "agent_rollup": AGENT_ROW + "chat_agents",
     "agent_rollup_events": AGENT_ROW + "event_agents",
+    "updated_conversations": CONVERSATION_ROW + "chat_convs",
+    "updated_agents": AGENT_ROW + "chat_agents",
+    "updated_turns": f"""
+SELECT conv_id, turn_index::BIGINT AS turn_index, role, agent_name, {nine('sentiment_score')} AS sentiment_score,
+  text_clean FROM chat""",
     "conversation_document": """
 SELECT conv_id, 0::BIGINT AS part,
   string_agg('[' || role || '] ' || text_clean, chr(10) ORDER BY turn_index) AS document

@@ -22,7 +22,7 @@ from parlance.operators import (
     topics,
     vectors,
 )
-from parlance.plans import questions
+from parlance.plans import questions, update
 from parlance.schema import LABELS
 from parlance.sources import storage
 from parlance.sources.turns import latest_turns, read_turns_csv, upsert_turns
@@ -393,6 +393,39 @@ def agent_rollup_events(spark, sf):
     return plain(rollups.agent_rollup(rollups.conversation_rollup(turns, fx.topics(spark)), turns))
 
 
+def updated_store(spark, sf):
+    """A store built from a part of the turns, wrong in places, and brought up to date."""
+    turns, topics = fx.chat_turns(spark, sf), fx.topics(spark)
+    number = F.substring("conv_id", 2, 7).cast("int")
+    wrong = turns.withColumns({
+        "agent_name": F.when(number % 5 == 0, F.lit("Agent900")).otherwise(F.col("agent_name")),
+        "sentiment_score": F.when(number % 7 == 0, F.lit(0.9)).otherwise(F.col("sentiment_score")),
+    })
+    store = update.rollup_store(spark, fx.scratch(spark, "buckets"), buckets=16)
+    update.update_rollups(store, wrong.where((number % 3 != 0) & (F.col("turn_index") < 4)), topics)
+    late = turns.where((number % 3 == 0) | (number % 5 == 0) | (number % 7 == 0) | (F.col("turn_index") >= 4))
+    update.update_rollups(store, late.withColumn("seq", F.lit(1)).unionByName(
+        late.where("turn_index = 5").withColumns({"role": F.lit("system"), "seq": F.lit(0)})), topics, "seq")
+    return store
+
+
+@query
+def updated_conversations(spark, sf):
+    """Rollups after updates equal those of a rebuild."""
+    return plain(updated_store(spark, sf).read("conversations"))
+
+
+@query
+def updated_agents(spark, sf):
+    return plain(updated_store(spark, sf).read("agents"))
+
+
+@query
+def updated_turns(spark, sf):
+    return plain(updated_store(spark, sf).read("turns").select(
+        "conv_id", "turn_index", "role", "agent_name", "sentiment_score", "text_clean"))
+
+
 # Documents and vectors.
 
 

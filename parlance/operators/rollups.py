@@ -91,7 +91,17 @@ def sentiment_trajectory_parts(turns: DataFrame, block: int = TURN_BLOCK) -> Dat
 
 
 def agent_rollup(conversations: DataFrame, turns: DataFrame, top: int = 3) -> DataFrame:
-    """One row per agent named in a conversation.
+    """One row per agent named in a conversation, from conversations and all turns."""
+    score = empathy_score(F.col("empathy_signal"))
+    sums = (
+        turns.where("role = 'agent' AND agent_name IS NOT NULL")
+        .groupBy("agent_name").agg(F.sum(score).alias("total"), F.count(score).alias("n"))
+    )
+    return agent_rollup_from(conversations, sums, top)
+
+
+def agent_rollup_from(conversations: DataFrame, empathy: DataFrame, top: int = 3) -> DataFrame:
+    """One row per agent, from conversations and sums (agent_name, total, n) of empathy scores.
 
     Conversations are first summed per (agent, topic), which splits a busy agent
     and leaves a few rows per agent to rank. Empathy is the mean over all of the
@@ -123,16 +133,12 @@ def agent_rollup(conversations: DataFrame, turns: DataFrame, top: int = 3) -> Da
             F.collect_list(F.when(F.col("_rank") <= top, topic_entry)).alias("_topics"),
         )
     )
-    empathy = (
-        turns.where("role = 'agent' AND agent_name IS NOT NULL")
-        .groupBy("agent_name")
-        .agg(F.avg(empathy_score(F.col("empathy_signal"))).alias("empathy_mean"))
-    )
+    means = empathy.groupBy("agent_name").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("empathy_mean"))
     ranked = F.transform(
         F.array_sort("_topics"),
         lambda t: F.struct(t["topic"].alias("topic"), t["n"].alias("n")),
     )
-    return per_agent.join(empathy, "agent_name", "left").select(
+    return per_agent.join(means, "agent_name", "left").select(
         "agent_name", "conv_count", "avg_customer_sentiment", "empathy_mean",
         "resolution_rate", "escalation_rate", ranked.alias("top_topics"),
     )
