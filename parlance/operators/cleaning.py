@@ -1,17 +1,25 @@
 """Cleaning of turn text against a lexicon of known words.
 
-Texts repeat, so every text is tokenised once. Positions of gibberish words are
-gathered per text and joined to the rows by a digest of the text.
+A lexicon of bounded size is held by the workers, and texts are cleaned in place, in
+Arrow batches and one pass over each text. With a larger one words are joined to it;
+places of gibberish words are gathered per text and joined to the rows by a digest of
+the text. In neither way is a text shuffled as a key.
 """
 
+import re
 from collections.abc import Sequence
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance import constants as C
 from parlance.functions.text import tidy_spaces, truncate_last_terminator
-from parlance.operators.keyed import fits_broadcast, lookup_join
+from parlance.operators.keyed import fits_broadcast, lookup_join, with_digest
+
+# A lexicon of up to so many words is held by every Python worker.
+HELD_WORDS = 500_000
 
 
 def _words(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
@@ -63,6 +71,52 @@ def _known_words(
     return frequent.union(allow.select(F.lower("token"))).distinct()
 
 
+def _held_words(
+    lexicon: DataFrame, allow: DataFrame | Sequence[str], threshold: float
+) -> Broadcast | None:
+    """The known words, sent to the workers; None if there are more than they hold.
+
+    To the driver come no more words than that.
+    """
+    known = _known_words(lexicon, allow, threshold).limit(HELD_WORDS + 1).collect()
+    if len(known) > HELD_WORDS:
+        return None
+    return lexicon.sparkSession.sparkContext.broadcast(frozenset(r["word"] for r in known))
+
+
+def _stripped(held: Broadcast):
+    """A text without the words that are not held."""
+    pattern = re.compile(C.WORD_PATTERN)
+
+    @F.arrow_udf("string")
+    def strip(texts: pa.Array) -> pa.Array:
+        known = held.value
+
+        def kept(word: re.Match) -> str:
+            return word[0] if word[0].lower() in known else ""
+
+        return pa.array((pattern.sub(kept, t.as_py()) if t.is_valid else None for t in texts), pa.string())
+
+    return strip
+
+
+def _gibberish_places(held: Broadcast):
+    """(places, tokens, words): the words of a text that are not held, and how many words it has."""
+    pattern = re.compile(C.WORD_PATTERN)
+    kind = pa.struct([("places", pa.list_(pa.int32())), ("tokens", pa.list_(pa.string())), ("words", pa.int32())])
+
+    @F.arrow_udf("places array<int>, tokens array<string>, words int")
+    def find(texts: pa.Array) -> pa.Array:
+        known, rows = held.value, []
+        for text in texts:
+            words = pattern.findall(text.as_py()) if text.is_valid else []
+            bad = [(at, w) for at, w in enumerate(words) if w.lower() not in known]
+            rows.append({"places": [at for at, _ in bad], "tokens": [w for _, w in bad], "words": len(words)})
+        return pa.array(rows, kind)
+
+    return find
+
+
 def _gibberish_rows(
     df: DataFrame, keys: Sequence[str], text: str, lexicon: DataFrame,
     allow: DataFrame | Sequence[str], threshold: float,
@@ -90,28 +144,28 @@ def gibberish_tokens(
     threshold: float = C.ZIPF_THRESHOLD,
 ) -> DataFrame:
     """Gibberish word tokens of each row: keys, pos (among the text's words), token."""
-    rows = _gibberish_rows(df, keys, text, lexicon, allow, threshold)
-    return rows.select(*keys, "pos", "token")
-
-
-def _with_digest(df: DataFrame, text: str) -> DataFrame:
-    """Add 128 bits that stand for a text, so that no join or grouping moves texts as keys."""
-    return df.withColumns({
-        "_d1": F.xxhash64(F.col(text)), "_d2": F.xxhash64(F.lit(1), F.col(text))
-    })
+    held = _held_words(lexicon, allow, threshold)
+    if held is None:
+        rows = _gibberish_rows(df, keys, text, lexicon, allow, threshold)
+        return rows.select(*keys, "pos", "token")
+    found = df.select(*keys, _gibberish_places(held)(F.col(text)).alias("_found"))
+    each = F.explode(F.arrays_zip("_found.places", "_found.tokens")).alias("_at")
+    return found.select(*keys, each).select(*keys, F.col("_at.places").alias("pos"), F.col("_at.tokens").alias("token"))
 
 
 def _positions(
     keyed: DataFrame, text: str, lexicon: DataFrame,
     allow: DataFrame | Sequence[str], threshold: float,
 ) -> DataFrame:
-    """(digest, positions) of each distinct text that holds gibberish."""
-    texts = (
-        keyed.where(F.col(text).isNotNull()).select("_d1", "_d2", F.col(text).alias("_text"))
-        .dropDuplicates(["_d1", "_d2"])
+    """(digest, positions) of each text that holds gibberish.
+
+    No text is shuffled: what is grouped are the digests and places of gibberish words,
+    and a text that repeats sends its places once per task.
+    """
+    rows = _gibberish_rows(
+        keyed.where(F.col(text).isNotNull()), ["_d1", "_d2"], text, lexicon, allow, threshold
     )
-    rows = _gibberish_rows(texts, ["_d1", "_d2"], "_text", lexicon, allow, threshold)
-    return rows.groupBy("_d1", "_d2").agg(F.collect_list("pos").alias("_positions"))
+    return rows.groupBy("_d1", "_d2").agg(F.collect_set("pos").alias("_positions"))
 
 
 def strip_gibberish(
@@ -124,9 +178,14 @@ def strip_gibberish(
 ) -> DataFrame:
     """Add the text without its gibberish words, white space tidied.
 
-    Only digests and positions are joined to the rows; a text is rebuilt where it is.
+    With a large lexicon only digests and positions are joined to the rows; a text is
+    rebuilt where it is.
     """
-    keyed = _with_digest(df, text)
+    others = [c for c in df.columns if c != into]
+    held = _held_words(lexicon, allow, threshold)
+    if held is not None:
+        return df.select(*others, tidy_spaces(_stripped(held)(F.col(text))).alias(into))
+    keyed = with_digest(df, text)
     found = lookup_join(
         keyed, _positions(keyed, text, lexicon, allow, threshold), ["_d1", "_d2"]
     )
@@ -134,7 +193,7 @@ def strip_gibberish(
     return (
         _without_words(found, text, "_positions", "_rebuilt")
         .withColumn(into, tidy_spaces(kept))
-        .select(*[c for c in df.columns if c != into], into)
+        .select(*others, into)
     )
 
 
@@ -147,7 +206,14 @@ def gibberish_ratio(
     into: str = "gibberish_ratio",
 ) -> DataFrame:
     """Add the share of word tokens that are gibberish; 0.0 without words."""
-    keyed = _with_digest(df, text)
+    held = _held_words(lexicon, allow, threshold)
+    if held is not None:
+        share = F.try_divide(F.size("_found.places").cast("double"), F.col("_found.words").cast("double"))
+        found = df.withColumn("_found", _gibberish_places(held)(F.col(text)))
+        return found.select(
+            *[c for c in df.columns if c != into], F.coalesce(share, F.lit(0.0)).alias(into)
+        )
+    keyed = with_digest(df, text)
     found = _positions(keyed, text, lexicon, allow, threshold).select(
         "_d1", "_d2", F.size("_positions").alias("_bad")
     )

@@ -54,6 +54,13 @@ def lookup_join(
     return facts.join(lookup, list(on), how)
 
 
+def with_digest(df: DataFrame, text: str) -> DataFrame:
+    """Add 128 bits that stand for a text, so that no join or grouping has texts as keys."""
+    return df.withColumns({
+        "_d1": F.xxhash64(F.col(text)), "_d2": F.xxhash64(F.lit(1), F.col(text))
+    })
+
+
 def block_of(index: Column, block: int = TURN_BLOCK) -> Column:
     """Number of the block that holds an integer index."""
     return F.floor(index / F.lit(block)).cast("long")

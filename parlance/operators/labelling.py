@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from parlance import constants as C
 from parlance.functions.text import redact_pii, strip
-from parlance.operators.keyed import lookup_join
+from parlance.operators.keyed import lookup_join, with_digest
 from parlance.schema import LABEL_COLUMNS, LABELS, RAW_LABELS
 
 # Keyword rules of the built-in labeller: (label, pattern), first match wins.
@@ -195,15 +195,16 @@ def upsert_labels(labels: DataFrame, new: DataFrame) -> DataFrame:
 def propagate_labels(turns: DataFrame, labels: DataFrame) -> DataFrame:
     """Copy a text's labels onto every turn that holds it; other turns keep theirs.
 
+    Texts are compared by 128 bits of them, so that a text is no key of a join.
     `labels` should be a stored table: its size decides how it is joined.
     """
-    found = labels.select(
-        "text_clean",
+    found = with_digest(labels.where("text_clean IS NOT NULL"), "text_clean").select(
+        "_d1", "_d2",
         F.lit(True).alias("_found"),
         *[F.col(c).alias(f"_{c}") for c in LABEL_COLUMNS],
     )
     joined = lookup_join(
-        turns, found, ["text_clean"], "left", measure=True
+        with_digest(turns, "text_clean"), found, ["_d1", "_d2"], "left", measure=True
     )
     new = {
         c: F.when(F.col("_found"), F.col(f"_{c}")).otherwise(F.col(c))

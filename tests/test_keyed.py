@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from tests.helpers import plan_of
 from pyspark.sql import functions as F
 
@@ -68,15 +69,24 @@ def test_measuring_moves_a_row_per_task(spark):
     assert not keyed.fits_broadcast(df, max_bytes=1000 * 19 - 1)
 
 
-def test_cleaning_joins_digests_not_texts(spark):
-    df = spark.createDataFrame([(i, f"hello zzq {i % 3}.") for i in range(30)], "id long, text string")
-    lexicon = spark.createDataFrame([("hello", 5.0)], "token string, zipf double")
-    for found in (cleaning.strip_gibberish(df, "text", lexicon), cleaning.gibberish_ratio(df, "text", lexicon)):
-        plan = plan_of(found)
-        keys = [line for line in plan.splitlines() if "hashpartitioning(" in line]
-        assert keys and not any("text" in line for line in keys)
-    assert {r["stripped"] for r in cleaning.strip_gibberish(df, "text", lexicon).collect()} == {
-        "hello 0.", "hello 1.", "hello 2."}
+@pytest.mark.parametrize("held", [500_000, 0])
+def test_cleaning_shuffles_no_text(spark, monkeypatch, held):
+    monkeypatch.setattr(cleaning, "HELD_WORDS", held)
+    texts = [f"hello zzq {i % 3}." for i in range(30)] + [None, "", "Hello-zzq zzq'hello hello’s HELLO é zzq"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    lexicon = spark.createDataFrame([("hello", 5.0), ("Hello’s", 3.0), ("zzq", 0.5)], "token string, zipf double")
+    stripped = cleaning.strip_gibberish(df, "text", lexicon)
+    ratio = cleaning.gibberish_ratio(df, "text", lexicon)
+    tokens = cleaning.gibberish_tokens(df, "text", lexicon, ["id"])
+    for found in (stripped, ratio, tokens):
+        keys = [line for line in plan_of(found).splitlines() if "hashpartitioning(" in line]
+        assert not any("text" in line for line in keys) and bool(keys) <= (held == 0)
+    got = {r["id"]: r["stripped"] for r in stripped.collect()}
+    assert [got[i] for i in (0, 1, 30, 31, 32)] == ["hello 0.", "hello 1.", None, "", "hello’s HELLO é"]
+    shares = {r["id"]: r["gibberish_ratio"] for r in ratio.collect()}
+    assert [shares[i] for i in (0, 30, 31, 32)] == [0.5, 0.0, 0.0, 0.6]
+    assert {(r["pos"], r["token"]) for r in tokens.where("id = 32").collect()} == {
+        (0, "Hello-zzq"), (1, "zzq'hello"), (4, "zzq")}
 
 
 def test_word_frequencies(spark):
