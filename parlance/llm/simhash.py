@@ -7,8 +7,8 @@ radius // blocks bits of some block, so a table for each block, looked up under
 all keys that near a query's, finds every one.
 
 Defined results: a null text counts as empty; a text without terms has a
-fingerprint of zeros; documents follow each other by id, null first, and by text
-where ids are equal; an empty table gives an empty result.
+fingerprint of zeros; documents follow each other by id, null first, and by a hash
+of the text, then the text, where ids are equal; an empty table gives an empty result.
 """
 
 import functools
@@ -138,8 +138,8 @@ HANDED = {"part": pa.int32(), "first": pa.string(), "last": pa.string(), "last_i
 def compared_documents(docs: DataFrame, text: str = "text", id: str = "doc_id", how: SimHash = SimHash()) -> DataFrame:
     """Per document: its fingerprint, that of its edited text, and their likeness.
 
-    Documents are range partitioned by id and read in order, so each meets the
-    next one without a window over the whole table. The last document of a
+    Documents are range partitioned by id and a hash of the text, so that no text is
+    sampled, and read in order, so each meets the next one without a window over the whole table. The last document of a
     partition is joined to the first of the next one.
     """
     spark = docs.sparkSession
@@ -171,7 +171,8 @@ def compared_documents(docs: DataFrame, text: str = "text", id: str = "doc_id",
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     read = stored(
-        rows.repartitionByRange(parts, "id", "text").sortWithinPartitions("id", "text")
+        rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(parts, "id", "hash")
+        .sortWithinPartitions("id", "hash", "text").select("id", "text")
         .mapInArrow(in_order, COLUMNS + ", part int, first string, last string, last_id long")
     )
     ends = read.where("part IS NOT NULL")
