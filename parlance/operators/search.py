@@ -381,12 +381,12 @@ def _candidates_in_cell(k: int, slack: float, model: InvertedLists, doc_id: str,
             if len(starts) > k:
                 keep = upper >= np.partition(lower, -k, axis=1)[:, -k, None]
             query, place = np.nonzero(keep)
-            found.append((query + at, place))
-        query, place = (np.concatenate(c) for c in zip(*found))
+            found.append((query + at, place, lower[query, place], upper[query, place]))
+        query, place, lower, upper = (np.concatenate(c) for c in zip(*found))
         return pa.Table.from_arrays(
             [
                 queries[query_id].combine_chunks().take(pa.array(query)),
-                docs[doc_id].combine_chunks().take(pa.array(starts[place])),
+                docs[doc_id].combine_chunks().take(pa.array(starts[place])), pa.array(lower), pa.array(upper),
             ],
             schema=arrow,
         )
@@ -394,6 +394,14 @@ def _candidates_in_cell(k: int, slack: float, model: InvertedLists, doc_id: str,
     return score
 
 
+def _likely(found: DataFrame, k: int, doc_id: str, query_id: str) -> DataFrame:
+    """(query_id, doc_id): candidates of all cells that may be among the k best of all of them."""
+    best = found.groupBy(query_id, doc_id).agg(F.max("_lower").alias("_lower"), F.max("_upper").alias("_upper"))
+    placed = best.withColumn("_place", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("_lower"))))
+    least = F.max(F.when(F.col("_place") == k, F.col("_lower"))).over(Window.partitionBy(query_id))
+    return placed.withColumn("_least", least).where("_least IS NULL OR _upper >= _least").select(query_id, doc_id)
+
+
 def _similarity(a: str, b: str) -> Column:
     def dot(x: str, y: str) -> Column:
         product = F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double"))
@@ -442,11 +450,12 @@ def semantic_topk_approx(
         query_id, "embedding", F.col("list").alias("_list"), _slot(query_id, blocks).alias("_block"),
         F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("_slice"),
     )
-    schema = T.StructType(_hit_schema(kept, queries, doc_id, query_id).fields[:2])
+    bounds = [T.StructField(c, T.DoubleType()) for c in ("_lower", "_upper")]
+    schema = T.StructType([*_hit_schema(kept, queries, doc_id, query_id).fields[:2], *bounds])
     found = _met(of_docs, of_queries, _candidates_in_cell(k, slack, model, doc_id, query_id, schema), schema)
     vectors = kept.select(doc_id, F.col("embedding").alias("_vector")).where("embedding IS NOT NULL")
     scored = (
-        found.distinct().join(asked.withColumnRenamed("embedding", "_asked"), query_id)
+        _likely(found, k, doc_id, query_id).join(asked.withColumnRenamed("embedding", "_asked"), query_id)
         .join(vectors, doc_id)
         .select(query_id, doc_id, _similarity("_asked", "_vector").alias("similarity"))
     )
