@@ -4,6 +4,7 @@ import functools
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 from typing import NamedTuple
 
 import numpy as np
@@ -27,6 +28,10 @@ LOWER_VALUES = BYTE_VALUES.copy()
 LOWER_VALUES[ord("A") : ord("Z") + 1] = BYTE_VALUES[ord("a") : ord("z") + 1]
 
 
+# The folders stored since the innermost call of `settled` began.
+_on_the_way: ContextVar[list[str] | None] = ContextVar("on_the_way", default=None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,10 +53,32 @@ def stored(df: DataFrame) -> DataFrame:
     true size, by which it chooses between a broadcast and a shuffled join.
     """
     path = shared_folder(df.sparkSession)
+    made = _on_the_way.get()
+    if made is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that `make` returns, stored; what was stored on the way to it is deleted.
+
+    For results that are small beside their intermediate tables. Nothing else may
+    read those tables; the result no longer does, once it is written.
+    """
+    made: list[str] = []
+    token = _on_the_way.set(made)
+    try:
+        df = make()
+    finally:
+        _on_the_way.reset(token)
+    result = stored(df)
+    for path in made:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return result
+
+
 def packed(docs: DataFrame, **columns: str | Column) -> DataFrame:
     """The whole row as a struct `row`, beside the columns to work on under given names.
 
@@ -67,6 +94,11 @@ def unpacked(df: DataFrame, columns: list[str], added: list[str]) -> DataFrame:
     return df.select(*kept, *added)
 
 
+def text_key(*columns: Column) -> list[Column]:
+    """`key` and `check`, 128 bits that tell a text, or a text on its host, from others."""
+    return [F.xxhash64(*columns).alias("key"), F.xxhash64(F.lit(1), *columns).alias("check")]
+
+
 def words_column(text: Column) -> Column:
     """The words of a text as an array; empty for a null or blank text."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -18,9 +18,12 @@ def has_word(line: Column) -> Column:
 
 
 def normalised(line: Column) -> Column:
-    """A line without outer space, inner runs as one space, A-Z folded, digits as 0."""
+    """A line without outer space, inner runs as one space, A-Z folded.
+
+    Digits stay: rows of figures, or log lines, that differ in numbers only are not one line.
+    """
     single = F.regexp_replace(F.btrim(line, F.lit(SPACES)), SPACE_PATTERN, " ")
-    return F.translate(single, UPPER + "0123456789", UPPER.lower() + "0" * 10)
+    return F.translate(single, UPPER, UPPER.lower())
 
 
 def line_hash(line: Column) -> Column:

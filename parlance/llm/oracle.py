@@ -4,7 +4,7 @@ SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 WORD = r"[^ \t\n\x0B\f\r]+"
 NORMALISED = (
     rf"translate(regexp_replace(trim(line, {SPACES}), '[ \t\n\x0B\f\r]+', ' ', 'g'),"
-    " 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000')"
+    " 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 )
 BARE_CHARS = "length(translate(coalesce({0}, ''), " + SPACES + ", ''))"
 
@@ -37,10 +37,12 @@ WITH docs AS (
   SELECT source, count(DISTINCT text) + max((text IS NULL)::int) AS n FROM docs GROUP BY source
 ), frequent AS (
   SELECT l.source, l.norm FROM line_texts l JOIN host_texts h ON l.source IS NOT DISTINCT FROM h.source
-  WHERE l.n > 10 AND 100 * l.n > 2 * h.n
+  WHERE l.n > 10 AND (100 * l.n > 2 * h.n OR l.n > 100)
 ), per_doc AS (
   SELECT l.r, count(*) - count(DISTINCT line) AS n_dup_lines,
-    sum(CASE WHEN f.norm IS NOT NULL THEN {BARE_CHARS.format("line")} ELSE 0 END) AS gone
+    count(f.norm) AS n_frequent_lines,
+    sum(CASE WHEN f.norm IS NOT NULL THEN {BARE_CHARS.format("line")} ELSE 0 END) AS gone,
+    sum(CASE WHEN f.norm IS NOT NULL THEN len(regexp_extract_all(line, '{WORD}')) ELSE 0 END) AS gone_words
   FROM lines l LEFT JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.norm = f.norm
   GROUP BY l.r
 ), signals AS (
@@ -49,14 +51,17 @@ WITH docs AS (
     length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
     coalesce(p.n_dup_lines, 0) AS n_dup_lines,
     coalesce(c.n_repeat_words, 0) AS n_repeat_words,
-    coalesce(p.gone, 0) AS gone
+    coalesce(p.n_frequent_lines, 0) AS n_frequent_lines,
+    coalesce(p.gone, 0) AS gone, coalesce(p.gone_words, 0) AS gone_words
   FROM docs d LEFT JOIN covered c USING (r) LEFT JOIN per_doc p ON d.r = p.r
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
   n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+  n_frequent_lines::BIGINT AS n_frequent_lines, (n_words - gone_words)::BIGINT AS n_left_words,
+  (word_chars - gone)::BIGINT AS n_left_chars,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - gone_words >= 50
     AND 100 * (word_chars - gone) >= 50 * word_chars AS kept
 FROM signals
 """
@@ -70,23 +75,18 @@ WITH docs AS (
 ), lines AS (
   SELECT *, trim(line, {SPACES}) <> '' AS worded, {NORMALISED} AS norm FROM parts
 ), spread AS (
-  SELECT norm FROM lines WHERE worded GROUP BY norm HAVING count(DISTINCT source) >= 10
+  SELECT norm FROM lines WHERE worded GROUP BY norm
+  HAVING count(DISTINCT source) >= 10 AND count(DISTINCT text) FILTER (source IS NOT NULL) >= 10
 ), marked AS (
   SELECT l.*, l.worded AND s.norm IS NOT NULL AS hit FROM lines l LEFT JOIN spread s USING (norm)
 ), judged AS (
   SELECT r, count(*) FILTER (worded) AS n_lines, count(*) FILTER (hit) AS hits,
-    coalesce(sum({BARE_CHARS.format("line")}) FILTER (hit), 0) AS gone,
-    {BARE_CHARS.format("any_value(text)")} AS bare,
     string_agg(line, chr(10) ORDER BY pos) FILTER (NOT hit) AS rest
   FROM marked GROUP BY r
-), done AS (
-  SELECT d.doc_id, coalesce(j.n_lines, 0) AS n_lines,
-    hits > 0 AND 100 * gone <= 50 * bare AS cut, hits, rest, d.text
-  FROM docs d LEFT JOIN judged j USING (r)
 ), left_texts AS (
-  SELECT doc_id, n_lines, CASE WHEN cut THEN hits ELSE 0 END AS n_removed,
-    CASE WHEN cut THEN coalesce(rest, '') ELSE text END AS left_text
-  FROM done
+  SELECT d.doc_id, coalesce(j.n_lines, 0) AS n_lines, coalesce(j.hits, 0) AS n_removed,
+    CASE WHEN hits > 0 THEN coalesce(rest, '') ELSE d.text END AS left_text
+  FROM docs d LEFT JOIN judged j USING (r)
 )
 SELECT doc_id, n_lines::BIGINT AS n_lines, n_removed::BIGINT AS n_removed,
   length(left_text)::BIGINT AS n_chars, sha256(left_text) AS left_sha256

@@ -2,8 +2,8 @@
 
 Frequent lines are found from hashes of normalised lines: per host, the distinct
 texts that hold a line are counted, lines above the limits are taken out, and a
-document that loses too much of its text is rejected. Exact copies count as one
-text, so a document is not rejected for being copied often.
+document that loses too much of its text, or has too few words left, is rejected.
+Exact copies count as one text, so a document is not rejected for being copied often.
 
 Only DataFrame functions are used. Defined results: a null text counts as empty
 and is rejected by the base rules; a null host is a host of its own; repeated
@@ -16,11 +16,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import packed, stored, unpacked, words_column
-from parlance.llm.lines import all_lines, has_word, line_hashes, without_lines, word_chars
+from parlance.llm.common import packed, settled, stored, text_key, unpacked, words_column
+from parlance.llm.lines import all_lines, has_word, normalised, without_lines, word_chars
 
 SYMBOLS = "#*$%&|<>"
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+LEFT = ("n_frequent_lines", "n_left_words", "n_left_chars")
 
 
 @dataclass(frozen=True)
@@ -30,8 +31,9 @@ class Limits:
     min_words: int = 50
     max_repeat_percent: int = 50
     line_texts: int = 10        # a frequent line is in more texts of the host than this
-    line_percent: int = 2       # ... and in more than this share of them
-    min_left_percent: int = 50  # of the characters that must be left without such lines
+    line_percent: int = 2       # ... and in more than this share of them,
+    many_texts: int = 100       # ... or in more than this many
+    min_left_percent: int = 50  # of the characters must be left without such lines, and `min_words`
 
 
 def _placed_windows(words: Column, n_windows: Column) -> Column:
@@ -96,22 +98,31 @@ def base_failed(limits: Limits = Limits()) -> Column:
     )
 
 
-def frequent_lines(
-    docs: DataFrame, text: str = "text", host: str = "source", limits: Limits = Limits()
-) -> DataFrame:
-    """(host, lines): the hashes of the lines that are frequent on each host.
+def host_lines(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """(host, key, check, place, line, chars, words): each line with a word of each text.
 
-    A host has no more of them than its mean number of lines a text times 100 /
-    line_percent, so the array is bounded however large the host is.
+    `key` and `check` tell a text on its host from others, `line` is the hash of
+    the line in the form in which lines are compared.
     """
-    texts = docs.select(
-        F.col(host).alias("host"),
-        F.xxhash64(F.col(text)).alias("text_id"),
-        line_hashes(F.col(text)).alias("lines"),
+    parts = docs.select(
+        F.col(host).alias("host"), *text_key(F.col(host), F.col(text)),
+        F.posexplode(all_lines(F.col(text))).alias("place", "part"),
+    ).where(has_word(F.col("part")))
+    formed = parts.select("host", "key", "check", "place", normalised(F.col("part")).alias("form"))
+    # The words of a compared line are parted by one space each.
+    bare = F.length(F.translate("form", " ", ""))
+    return formed.select(
+        "host", "key", "check", "place", F.xxhash64("form").alias("line"),
+        bare.alias("chars"), (F.length("form") - bare + 1).alias("words"),
     )
+
+
+def frequent_lines(
+    lines: DataFrame, docs: DataFrame, text: str = "text", host: str = "source", limits: Limits = Limits()
+) -> DataFrame:
+    """(host, line): the hashes of the lines that are frequent on each host."""
     per_line = (
-        texts.select("host", "text_id", F.explode("lines").alias("line"))
-        .distinct()
+        lines.select("host", "line", "key", "check").distinct()
         .groupBy("host", "line").agg(F.count("*").alias("n"))
         .where(F.col("n") > limits.line_texts)
     )
@@ -122,28 +133,51 @@ def frequent_lines(
     )
     return (
         per_line.join(per_host, F.col("host").eqNullSafe(F.col("of_host")))
-        .where(100 * F.col("n") > limits.line_percent * F.col("n_texts"))
-        .groupBy("host").agg(F.collect_list("line").alias("lines"))
+        .where((100 * F.col("n") > limits.line_percent * F.col("n_texts")) | (F.col("n") > limits.many_texts))
+        .select("host", "line")
+    )
+
+
+def _frequent_in_texts(docs: DataFrame, text: str, host: str, limits: Limits) -> DataFrame:
+    """(key, check, lines, gone, gone_chars, gone_words) of each text that holds frequent lines."""
+    lines = stored(host_lines(docs, text, host))
+    frequent = stored(frequent_lines(lines, docs, text, host, limits)).withColumnsRenamed(
+        {"host": "of_host", "line": "found"}
+    )
+    same = F.col("host").eqNullSafe(F.col("of_host")) & (F.col("line") == F.col("found"))
+    return (
+        lines.join(frequent, same, "left_semi")
+        .select("key", "check", "place", "line", "chars", "words").distinct()
+        .groupBy("key", "check").agg(
+            F.collect_set("line").alias("lines"), F.count("*").alias("gone"),
+            F.sum("chars").alias("gone_chars"), F.sum("words").alias("gone_words"),
+        )
     )
 
 
 def quality_rules(
     docs: DataFrame, text: str = "text", host: str = "source", limits: Limits = Limits()
 ) -> DataFrame:
-    """Add the signals, base_failed, left_text and kept to each document.
+    """Add the signals, base_failed, what is left without frequent lines, left_text and kept.
 
-    `left_text` is the text without its host's frequent lines. The table of those
-    lines is stored first; its size decides whether it is broadcast.
+    The lines of all texts are hashed once and stored; which of them are frequent
+    is joined to them by host and line, and what each distinct text loses is kept.
     """
-    frequent = stored(frequent_lines(docs, text, host, limits)).withColumnRenamed("host", "of_host")
-    rows = packed(docs, text=text, host=host)
-    joined = _with_signals(rows).join(frequent, F.col("host").eqNullSafe(F.col("of_host")), "left")
-    left = F.when(F.col("lines").isNull(), F.col("text")).otherwise(
-        without_lines(F.col("text"), F.col("lines"))
-    )
-    judged = joined.withColumn("left_text", F.when(F.col("text").isNotNull(), left))
-    enough = 100 * word_chars(F.col("left_text")) >= limits.min_left_percent * F.col("word_chars")
-    done = judged.withColumn("base_failed", base_failed(limits)).withColumn(
-        "kept", ~F.col("base_failed") & enough
+    key, check = text_key(F.col(host), F.col(text))
+    hits = settled(docs.sparkSession, lambda: _frequent_in_texts(docs, text, host, limits))
+    rows = packed(docs, text=text, key=key, check=check)
+    joined = _with_signals(rows).join(hits, ["key", "check"], "left")
+    done = joined.withColumns({
+        "base_failed": base_failed(limits),
+        "n_frequent_lines": F.coalesce("gone", F.lit(0).cast("long")),
+        "n_left_words": F.col("n_words") - F.coalesce("gone_words", F.lit(0)),
+        "n_left_chars": F.col("word_chars") - F.coalesce("gone_chars", F.lit(0)),
+        "left_text": F.when(F.col("lines").isNull(), F.col("text")).otherwise(
+            without_lines(F.col("text"), F.col("lines"))
+        ),
+    }).withColumn(
+        "kept",
+        ~F.col("base_failed") & (F.col("n_left_words") >= limits.min_words)
+        & (100 * F.col("n_left_chars") >= limits.min_left_percent * F.col("word_chars")),
     )
-    return unpacked(done, docs.columns, [*SIGNALS, "base_failed", "left_text", "kept"])
+    return unpacked(done, docs.columns, [*SIGNALS, "base_failed", *LEFT, "left_text", "kept"])

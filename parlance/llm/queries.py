@@ -112,7 +112,7 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", *quality_rules.SIGNALS, "base_failed", "kept")
+    return judged.select("doc_id", *quality_rules.SIGNALS, "base_failed", *quality_rules.LEFT, "kept")
 
 
 @query
