@@ -1,13 +1,21 @@
 """A corpus pipeline: quality rules, line dedup, near-dedup, mixing, packing.
 
 `run` applies the stages to the documents table; each stage is written and read
-again before the next. The packing stage returns the batches.
+again before the next. The packing stage returns the batches. A stage leaves small
+tables of keys behind in the shared folder, no texts.
+
+Defined results: a null or empty text is rejected by the quality rules; a null
+source is a host of its own there, counts for no line in the line dedup, and is a
+source of its own in the mix; a row with a null id is a near-duplicate of nothing;
+of rows that repeat an id with different texts, all stay or none; rows that repeat
+wholly are treated alike; further columns are carried along under any name; an
+empty table gives empty stages.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import stored, table
+from parlance.llm.common import settled, stored, table, text_key
 from parlance.llm.line_dedup import line_dedup
 from parlance.llm.minhash import near_duplicates
 from parlance.llm.mixing import mixed_documents
@@ -15,31 +23,41 @@ from parlance.llm.packing import pack
 from parlance.llm.quality_rules import quality_rules
 
 
-def _with_text(judged: DataFrame, docs: DataFrame, *more: str) -> DataFrame:
+def _framed(docs: DataFrame) -> DataFrame:
+    """Text and source, and the other columns out of the operators' way."""
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")))
+    return docs.select(rest.alias("_rest"), "text", "source")
+
+
+def _unframed(judged: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of `docs`, with the text that is left and its number of characters."""
-    n_chars = F.length("left_text").cast("long")
-    return judged.withColumns({"text": F.col("left_text"), "n_chars": n_chars}).select(*docs.columns, *more)
+    new = {"text": F.col("left_text"), "n_chars": F.length("left_text").cast(docs.schema["n_chars"].dataType)}
+    return judged.select(*(new.get(c, F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; frequent lines leave the others.
 
-    The judgement is stored before it is filtered on: a filter on an unstored one
-    would be moved to the scan, with all signals copied into its condition.
+    The verdict on each text and host is stored before it is filtered on: a filter
+    on an unstored one would be moved to the scan, with all signals copied into it.
     """
-    judged = quality_rules(docs).withColumn("_kept_by_rules", F.col("kept"))
-    return stored(_with_text(judged, docs, "_kept_by_rules")).where("_kept_by_rules").select(*docs.columns)
+    key, check = text_key(F.col("source"), F.col("text"))
+    judged = quality_rules(_framed(docs).withColumns({"_key": key, "_check": check}))
+    rejected = settled(
+        spark, lambda: stored(judged.select("_key", "_check", "kept")).where("NOT kept").select("_key", "_check").distinct()
+    )
+    return _unframed(judged.join(rejected, ["_key", "_check"], "left_anti"), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines leave the texts; every document stays."""
-    return _with_text(line_dedup(docs), docs)
+    return _unframed(line_dedup(_framed(docs)), docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays."""
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = settled(spark, lambda: near_duplicates(docs).where("NOT kept").select("doc_id").distinct())
+    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
