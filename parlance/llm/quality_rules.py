@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import packed, settled, stored, text_key, unpacked, words_column
+from parlance.llm.common import settled, stored, text_key, words_column
 from parlance.llm.lines import all_lines, has_word, normalised, without_lines, word_chars
 
 SYMBOLS = "#*$%&|<>"
@@ -165,7 +165,9 @@ def quality_rules(
     """
     key, check = text_key(F.col(host), F.col(text))
     hits = settled(docs.sparkSession, lambda: _frequent_in_texts(docs, text, host, limits))
-    rows = packed(docs, text=text, key=key, check=check)
+    # The text stays out of the packed row, so that no shuffle carries it where it isn't asked for.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("row")
+    rows = docs.select(row, F.col(text).alias("text"), key, check)
     joined = _with_signals(rows).join(hits, ["key", "check"], "left")
     done = joined.withColumns({
         "base_failed": base_failed(limits),
@@ -180,4 +182,8 @@ def quality_rules(
         ~F.col("base_failed") & (F.col("n_left_words") >= limits.min_words)
         & (100 * F.col("n_left_chars") >= limits.min_left_percent * F.col("word_chars")),
     )
-    return unpacked(done, docs.columns, [*SIGNALS, "base_failed", *LEFT, "left_text", "kept"])
+    added = [*SIGNALS, "base_failed", *LEFT, "left_text", "kept"]
+    kept = [
+        (F.col("text") if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c not in added
+    ]
+    return done.select(*kept, *added)
