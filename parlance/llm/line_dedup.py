@@ -71,7 +71,8 @@ def line_dedup(
 
     Line hashes are made once and stored; the lines to remove are found once for
     each distinct text. Only these stay stored, which leaves the rows' own shuffle
-    free to be split where one text is hot.
+    free to be split where one text is hot. They grow with the texts, so rows meet
+    them by a shuffle at every size.
     """
 
     def found() -> DataFrame:
@@ -85,7 +86,7 @@ def line_dedup(
     hits = settled(docs.sparkSession, found)
     key, check = text_key(F.col(text))
     rows = packed(docs, text=text, key=key, check=check)
-    done = rows.join(hits, ["key", "check"], "left").withColumn(
+    done = rows.join(hits.hint("merge"), ["key", "check"], "left").withColumn(
         "left_text",
         F.when(F.col("hits").isNotNull(), without_lines(F.col("text"), F.col("hits"))).otherwise(F.col("text")),
     ).withColumn("n_lines", _n_lines("text")).withColumn(

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import settled, stored, text_key, words_column
+from parlance.llm.common import packed, settled, stored, text_key, unpacked, words_column
 from parlance.llm.lines import all_lines, has_word, normalised, without_lines, word_chars
 
 SYMBOLS = "#*$%&|<>"
@@ -155,10 +155,8 @@ def _frequent_in_texts(docs: DataFrame, text: str, host: str, limits: Limits) ->
     )
 
 
-def quality_rules(
-    docs: DataFrame, text: str = "text", host: str = "source", limits: Limits = Limits()
-) -> DataFrame:
-    """Add the signals, base_failed, what is left without frequent lines, left_text and kept.
+def _judged(docs: DataFrame, text: str, host: str, limits: Limits) -> DataFrame:
+    """Packed rows with key, check, the signals, what is left, `lines` to take out, and kept.
 
     The lines of all texts are hashed once and stored; which of them are frequent
     is joined to them by host and line, and what each distinct text loses is kept.
@@ -169,21 +167,55 @@ def quality_rules(
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("row")
     rows = docs.select(row, F.col(text).alias("text"), key, check)
     joined = _with_signals(rows).join(hits, ["key", "check"], "left")
-    done = joined.withColumns({
+    return joined.withColumns({
         "base_failed": base_failed(limits),
         "n_frequent_lines": F.coalesce("gone", F.lit(0).cast("long")),
         "n_left_words": F.col("n_words") - F.coalesce("gone_words", F.lit(0)),
         "n_left_chars": F.col("word_chars") - F.coalesce("gone_chars", F.lit(0)),
-        "left_text": F.when(F.col("lines").isNull(), F.col("text")).otherwise(
-            without_lines(F.col("text"), F.col("lines"))
-        ),
     }).withColumn(
         "kept",
         ~F.col("base_failed") & (F.col("n_left_words") >= limits.min_words)
         & (100 * F.col("n_left_chars") >= limits.min_left_percent * F.col("word_chars")),
     )
+
+
+def _left_text() -> Column:
+    return F.when(F.col("lines").isNull(), F.col("text")).otherwise(
+        without_lines(F.col("text"), F.col("lines"))
+    )
+
+
+def quality_rules(
+    docs: DataFrame, text: str = "text", host: str = "source", limits: Limits = Limits()
+) -> DataFrame:
+    """Add the signals, base_failed, what is left without frequent lines, left_text and kept."""
+    done = _judged(docs, text, host, limits).withColumn("left_text", _left_text())
     added = [*SIGNALS, "base_failed", *LEFT, "left_text", "kept"]
     kept = [
         (F.col("text") if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c not in added
     ]
     return done.select(*kept, *added)
+
+
+def quality_verdicts(
+    docs: DataFrame, text: str = "text", host: str = "source", limits: Limits = Limits()
+) -> DataFrame:
+    """(key, check, kept, lines): the verdict on each distinct text of each host, and the
+    hashes of the frequent lines to take out of it (null: none)."""
+    return _judged(docs, text, host, limits).groupBy("key", "check").agg(
+        F.any_value("kept").alias("kept"), F.any_value("lines").alias("lines")
+    )
+
+
+def kept_texts(
+    docs: DataFrame, verdicts: DataFrame, text: str = "text", host: str = "source"
+) -> DataFrame:
+    """The documents that are kept by stored verdicts, with left_text.
+
+    Verdicts grow with the texts, so they are joined by one shuffle at every size;
+    the rows of a hot text are split by the skew join.
+    """
+    key, check = text_key(F.col(host), F.col(text))
+    rows = packed(docs, text=text, key=key, check=check)
+    found = rows.join(verdicts.where("kept").hint("merge"), ["key", "check"])
+    return unpacked(found.withColumn("left_text", _left_text()), docs.columns, ["left_text"])
