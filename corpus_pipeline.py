@@ -15,12 +15,12 @@ empty table gives empty stages.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import settled, stored, table, text_key
+from parlance.llm.common import settled, stored, table
 from parlance.llm.line_dedup import line_dedup
 from parlance.llm.minhash import near_duplicates
 from parlance.llm.mixing import mixed_documents
 from parlance.llm.packing import pack
-from parlance.llm.quality_rules import quality_rules
+from parlance.llm.quality_rules import kept_texts, quality_verdicts
 
 
 def _framed(docs: DataFrame) -> DataFrame:
@@ -41,12 +41,9 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The verdict on each text and host is stored before it is filtered on: a filter
     on an unstored one would be moved to the scan, with all signals copied into it.
     """
-    key, check = text_key(F.col("source"), F.col("text"))
-    judged = quality_rules(_framed(docs).withColumns({"_key": key, "_check": check}))
-    rejected = settled(
-        spark, lambda: stored(judged.select("_key", "_check", "kept")).where("NOT kept").select("_key", "_check").distinct()
-    )
-    return _unframed(judged.join(rejected, ["_key", "_check"], "left_anti"), docs)
+    framed = _framed(docs)
+    verdicts = settled(spark, lambda: quality_verdicts(framed))
+    return _unframed(kept_texts(framed, verdicts), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
