@@ -4,16 +4,19 @@ A text is labelled once, however many turns hold it. The labeller is a plug: a
 function over pandas batches, or the built-in keyword rules.
 """
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance import constants as C
 from parlance.functions.text import redact_pii, strip
 from parlance.operators.keyed import lookup_join, with_digest
-from parlance.schema import LABEL_COLUMNS, LABELS, RAW_LABELS
+from parlance.schema import ANSWERS, LABEL_COLUMNS, LABELS, RAW_LABELS
 
 # Keyword rules of the built-in labeller: (label, pattern), first match wins.
 INTENT_RULES = (
@@ -112,6 +115,52 @@ def label_texts(
     return spread.mapInPandas(run, RAW_LABELS)
 
 
+def label_batches(
+    labeller: Callable[[pd.DataFrame], pd.DataFrame],
+    batch_size: int = 25,
+    workers: int = 4,
+    attempts: int = 3,
+    wait: float = 1.0,
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A labeller as a function for mapInArrow that outlives failing batches.
+
+    A task asks for at most `workers` batches at a time, each up to `attempts`
+    times with a wait that doubles. A batch fails too if its answers lack a column
+    or have values of another type; further columns are left out. A batch without
+    answers gives its texts with the last error in `failure`.
+    """
+    kinds = {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}
+    layout = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in ANSWERS])
+
+    def typed(answers: pd.DataFrame) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pandas(answers.astype(object), layout, preserve_index=False)
+
+    def ask(batch: pd.DataFrame) -> pa.RecordBatch:
+        failure = None
+        for attempt in range(attempts):
+            if attempt:
+                time.sleep(wait * 2 ** (attempt - 1))
+            try:
+                return typed(labeller(batch.copy()).assign(failure=None))
+            except Exception as error:
+                failure = f"{type(error).__name__}: {error}"
+        return typed(batch.assign(failure=failure).reindex(columns=layout.names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ThreadPoolExecutor(workers) as pool:
+            for rows in batches:
+                # As many batches as workers, so that no more answers wait in memory.
+                for at in range(0, rows.num_rows, batch_size * workers):
+                    frame = rows.slice(at, batch_size * workers).to_pandas()
+                    parts = range(0, len(frame), batch_size)
+                    yield from pool.map(ask, [
+                        frame.iloc[start:start + batch_size].reset_index(drop=True)
+                        for start in parts
+                    ])
+
+    return run
+
+
 def _outside(column: str, allowed: tuple) -> Column:
     return ~F.coalesce(F.col(column).isin(*allowed), F.lit(False))
 

@@ -45,6 +45,9 @@ RAW_LABELS = T.StructType([
     T.StructField("text_en", T.StringType()),
 ])
 
+# The same, with the error of a batch that got no answer.
+ANSWERS = T.StructType([*RAW_LABELS, T.StructField("failure", T.StringType())])
+
 LABELS = T.StructType([
     T.StructField("text_clean", T.StringType()),
     T.StructField("role", T.StringType()),

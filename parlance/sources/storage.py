@@ -25,6 +25,7 @@ def materialize(
     force: bool = False,
     partition_by: Sequence[str] | None = None,
     expected_rows: int | None = None,
+    rows_per_file: int = 0,
 ) -> DataFrame:
     """Write a stage's result unless it is there, and return the stored table.
 
@@ -32,27 +33,27 @@ def materialize(
     to the end; a job that was lost on the way leaves no such mark. `force`
     rebuilds it. With `expected_rows` a table of another size is rebuilt too.
     Files are sized by an adaptive rebalance, which also splits a partition value
-    that holds most rows.
+    that holds most rows; `rows_per_file` bounds them further.
     """
     spark = df.sparkSession
-    stored = read_table(spark, path) if _is_marked(spark, path) else None
+    stored = read_table(spark, path) if is_marked(spark, path) else None
     if stored is not None and not force:
         if expected_rows is None or stored.count() == expected_rows:
             return stored
-    _mark(spark, path, False)
+    mark(spark, path, False)
     keys = list(partition_by or [])
-    writer = df.hint("rebalance", *keys).write.mode("overwrite")
+    writer = df.hint("rebalance", *keys).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
     (writer.partitionBy(*keys) if keys else writer).parquet(path)
-    _mark(spark, path, True)
+    mark(spark, path, True)
     return spark.read.parquet(path)
 
 
-def _mark(spark: SparkSession, path: str, finished: bool) -> None:
+def mark(spark: SparkSession, path: str, finished: bool) -> None:
     marks = spark.range(1).selectExpr(f"{str(finished).lower()} AS finished")
     marks.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}.mark")
 
 
-def _is_marked(spark: SparkSession, path: str) -> bool:
+def is_marked(spark: SparkSession, path: str) -> bool:
     marks = read_table(spark, f"{path.rstrip('/')}.mark")
     return marks is not None and bool(marks.where("finished").take(1))
 

@@ -3,7 +3,7 @@ from tests.helpers import rows_of
 from pyspark.sql import functions as F
 
 from parlance.operators import scoring, sessions
-from parlance.plans.build import build_tables, label_pending
+from parlance.plans.build import Asking, build_tables, label_pending
 from parlance.schema import SESSIONS
 from parlance.sources import storage
 from parlance.sources.turns import latest_turns, read_turns_csv, upsert_turns
@@ -259,6 +259,83 @@ def test_labelling_goes_on(spark, tmp_path):
     assert label_pending(good, path, at, labeller, force=True)[0].count() == 2 and seen.value == 5
 
 
+def neutral_labeller():
+    """Made by a call, as the workers cannot import this file."""
+
+    def neutral(frame):
+        return frame.assign(
+            sentiment_label="neu", sentiment_score=0.0, intent="other", empathy_signal="na",
+            is_escalation=0, contains_pii=0, language="en", text_en=frame["text_clean"])
+
+    return neutral
+
+
+def texts(spark, n):
+    return spark.range(n).selectExpr("concat('t', id, '.') AS text_clean", "'customer' AS role")
+
+
+def test_a_batch_that_fails_loses_no_other(spark, tmp_path):
+    answered, neutral = spark.sparkContext.accumulator(0), neutral_labeller()
+
+    def moody(frame):
+        """Each batch fails once, the one with t7 twice."""
+        first = frame["text_clean"].iloc[0]
+        seen = tmp_path / f"seen-{first}"
+        tries = len(seen.read_text()) if seen.exists() else 0
+        seen.write_text("x" * (tries + 1))
+        if tries < (2 if (frame["text_clean"] == "t7.").any() else 1):
+            raise RuntimeError("busy")
+        answered.add(len(frame))
+        return neutral(frame)
+
+    asking = Asking(batch_size=3, workers=2, attempts=2, wait=0.0, chunk_rows=5, chunks_at_once=2)
+    path, at = str(tmp_path / "out"), "2025-12-03 00:00:00"
+    labels, _ = label_pending(texts(spark, 40), path, at, moody, asking=asking)
+    lost = spark.read.parquet(f"{path}/labels_rejected")
+    missing = lost.count()
+    assert 1 <= missing <= 3 and labels.count() == 40 - missing
+    assert {r["error"] for r in lost.collect()} == {"no label returned after RuntimeError: busy"}
+    asked_again = Asking(batch_size=3, attempts=3, wait=0.0)
+    labels, grew = label_pending(texts(spark, 40), path, at, moody, asking=asked_again)
+    assert grew and labels.count() == labels.select("text_clean").distinct().count() == 40
+    assert answered.value == 40
+
+
+def test_lost_labelling_asks_the_missing_chunks_only(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    neutral = neutral_labeller()
+
+    def labeller(frame):
+        if len(list(log.iterdir())) >= 8 and not (tmp_path / "well").exists():
+            # Not an Exception: the task is lost, as with its executor.
+            raise SystemExit("gone")
+        for text in frame["text_clean"]:
+            with open(log / text, "a") as file:
+                file.write("x")
+        return neutral(frame)
+
+    asking = Asking(batch_size=2, workers=1, attempts=1, chunk_rows=2, chunks_at_once=1)
+    path, at = str(tmp_path / "out"), "2025-12-03 00:00:00"
+    with pytest.raises(Exception):
+        label_pending(texts(spark, 20), path, at, labeller, asking=asking)
+    assert len(list(log.iterdir())) == 8 and storage.read_table(spark, f"{path}/labels") is None
+    (tmp_path / "well").touch()
+    labels, grew = label_pending(texts(spark, 20), path, at, labeller, asking=asking)
+    assert grew and labels.count() == 20
+    assert [len(f.read_text()) for f in log.iterdir()] == [1] * 20
+    labels, grew = label_pending(texts(spark, 20), path, at, labeller, asking=asking)
+    assert not grew and labels.count() == 20
+
+
+def test_a_forced_run_replaces_all_labels(spark, tmp_path):
+    path, at, neutral = str(tmp_path / "out"), "2025-12-03 00:00:00", neutral_labeller()
+    for n in (3, 6):
+        assert label_pending(texts(spark, n), path, at, neutral)[0].count() == n
+    assert label_pending(texts(spark, 2), path, at, neutral, force=True)[0].count() == 2
+    assert label_pending(texts(spark, 4), path, at)[0].count() == 4
+
+
 def test_streaming_ingest(spark, tmp_path):
     source, target, marks = (str(tmp_path / n) for n in ("in", "turns", "marks"))
     (tmp_path / "in").mkdir()
