@@ -424,6 +424,11 @@ QUERIES = {
     "read_turns_csv": f"""
 SELECT conv_id, turn_index, {stamp('"timestamp"')} AS "timestamp", role, text_raw,
   nullif(customer_name, '') AS customer_name, nullif(agent_name, '') AS agent_name
+FROM chat_raw""",
+    "read_turns_csv_split": f"""
+SELECT conv_id, turn_index, {stamp('"timestamp"')} AS "timestamp", role,
+  text_raw || chr(10) || '"' || role || '",' || chr(10) || text_raw AS text_raw,
+  nullif(customer_name, '') AS customer_name, nullif(agent_name, '') AS agent_name
 FROM chat_raw""",
     "upsert_turns": f"""
 SELECT conv_id, turn_index, role, text_raw || ' again.' AS text_raw, NULL::VARCHAR AS sentiment_label,
@@ -506,6 +511,9 @@ FROM documents""",
     f" {nine('sentiment_score')} AS sentiment_score) FROM ({rule_sql('document_pairs')})",
     "label_texts_by_function": r"SELECT role, CASE WHEN regexp_extract(text_clean, '\d+')::INT % 2"
     " = 1 THEN 'neg' ELSE 'neu' END AS sentiment_label, count(*) AS n FROM pending GROUP BY ALL",
+    "label_pending": r"SELECT role, CASE WHEN regexp_extract(text_clean, '\d+')::INT % 2"
+    " = 1 THEN 'neg' ELSE 'neu' END AS sentiment_label, count(*) AS n"
+    " FROM (SELECT text_clean, min(role) AS role FROM pending GROUP BY text_clean) GROUP BY ALL",
     "validate_labels": "SELECT * FROM accepted",
     "validate_labels_rejected": "SELECT text_clean, role, error FROM judged WHERE error IS NOT NULL",
     "upsert_labels": """

@@ -57,7 +57,8 @@ def read_turns_csv_split(spark: SparkSession, path: str, stretch_bytes: int = 64
 
     For large files whose fields hold line breaks. The first line of each file is
     its header; files with another header than the first one raise an error. The
-    number of quotes is counted first, so the files are read twice.
+    files are read three times: for their quotes, for the records that lie within a
+    stretch, and for those that cross into the next one.
     """
     names = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"').columns
     as_read = {"mode": "FAILFAST", "quote": '"', "escape": '"', "multiLine": "true"}
