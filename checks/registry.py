@@ -532,7 +532,7 @@ def letters(texts):
 def embed_documents_by_function(spark, sf):
     """Vectors of letter counts, from a function over batches of texts."""
     docs = vectors.embed_documents(fx.chat_documents(spark, sf), letters)
-    rounded = F.transform("embedding", lambda x: F.round(x * 10_000).cast("long").cast("string"))
+    rounded = F.transform("embedding", lambda x: F.round(x.cast("double") * 10_000).cast("long").cast("string"))
     return docs.select("conv_id", F.array_join(rounded, ",").alias("vector"))
 
 

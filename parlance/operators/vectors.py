@@ -3,14 +3,13 @@
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from parlance import constants as C
 from parlance.operators.conversations import check_choice
@@ -78,21 +77,9 @@ def embed_documents(
             .withColumn("embedding", vector_to_array("_unit", dtype="float32"))
             .drop("_counts", "_weights", "_unit")
         )
-    embed, batch = embedder, EMBED_BATCH
-
-    def run(texts: pd.Series) -> pd.Series:
-        rows = []
-        for start in range(0, len(texts), batch):
-            found = np.asarray(embed(texts.iloc[start:start + batch].tolist()), dtype="float32")
-            norms = np.linalg.norm(found, axis=1, keepdims=True)
-            rows.extend(found / np.where(norms == 0, 1, norms))
-        return pd.Series(rows, index=texts.index)
-
-    embedded = docs.withColumn(
-        "embedding", F.pandas_udf(run, T.ArrayType(T.FloatType()))(F.col(document))
-    )
+    embedded = docs.withColumn("embedding", _unit_vectors(embedder, EMBED_BATCH)(F.col(document)))
     if "part" not in docs.columns:
-        return embedded
+        return embedded.withColumn("embedding", F.col("embedding").cast("array<float>"))
     length = F.greatest(F.length(document), F.lit(1)).cast("double")
     parts = embedded.withColumns({"_vector": array_to_vector("embedding"), "_length": length})
     mean = Summarizer.mean(F.col("_vector"), F.col("_length"))
@@ -104,6 +91,22 @@ def embed_documents(
     )
 
 
+def _unit_vectors(embed: Callable[[list[str]], np.ndarray], batch: int):
+    """A function's vectors in double precision, so that they are rounded once, when they are stored."""
+
+    @F.arrow_udf("array<double>")
+    def run(texts: pa.Array) -> pa.Array:
+        flat, ends = [np.empty(0)], [np.zeros(1, np.int32)]
+        for start in range(0, len(texts), batch):
+            found = np.asarray(embed(texts.slice(start, batch).to_pylist()), dtype="float64")
+            norms = np.linalg.norm(found, axis=1, keepdims=True)
+            flat.append((found / np.where(norms == 0, 1, norms)).ravel())
+            ends.append(ends[-1][-1] + np.arange(1, len(found) + 1, dtype=np.int32) * found.shape[1])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(flat)))
+
+    return run
+
+
 def filter_documents(
     docs: DataFrame,
     *,

@@ -264,3 +264,16 @@ def test_supplied_embedder(spark):
     for r in rows:
         n = len(r["document"])
         assert r["embedding"] == pytest.approx(list(np.array([n, 1.0]) / np.hypot(n, 1)), abs=1e-6)
+
+
+@pytest.mark.parametrize("part", [[], [0]])
+def test_supplied_vectors_are_rounded_once(spark, part):
+    """Counts over their norm, rounded to single precision from double."""
+    counts = np.random.default_rng(3).integers(0, 120, (500, 26))
+    docs = spark.createDataFrame(
+        [(str(i), *part, " ".join(map(str, c.tolist()))) for i, c in enumerate(counts)],
+        "conv_id string, " + "part long, " * len(part) + "document string")
+    embed = lambda texts: np.array([list(map(int, t.split())) for t in texts])
+    got = {int(r["conv_id"]): r["embedding"] for r in vectors.embed_documents(docs, embed).collect()}
+    want = np.float32(counts / np.sqrt((counts * counts).sum(1, keepdims=True)))
+    assert (np.float32([got[i] for i in range(500)]) == want).all()
