@@ -3,7 +3,8 @@
 Queries are a table, and stay one. Documents and queries meet in the cells of a
 grid: documents are dealt into slices of bounded bytes, queries into blocks of
 bounded rows, and a cell is one slice with one block. A cell is scored by matrix
-products and keeps k hits a query; hits of all cells are merged by rank.
+products and keeps k hits a query; hits of all cells are merged by rank. What a cell
+sends and holds grows with its rows, never with the pairs that it scores.
 """
 
 from collections.abc import Callable, Sequence
@@ -11,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,21 +24,25 @@ from parlance.functions.text import doc_excerpt
 from parlance.operators.conversations import check_range
 from parlance.operators.vectors import embed_documents, filter_documents
 
-# A slice holds documents of about so many bytes, a block so many queries.
-SLICE_BYTES = 32 << 20
+# A slice holds documents of about so many bytes and so many rows, a block so many queries.
+SLICE_BYTES = 16 << 20
+SLICE_ROWS = 65_536
 QUERY_BLOCK = 16_384
 
 # So many scores are worked on at once.
-SCORES = 1 << 22
+SCORES = 1 << 21
 
-# Up to so many hits are known to be small enough to broadcast.
-BROADCAST_HITS = 200_000
+# Queries that are joined to their lists at once.
+PROBE_BATCH = 1_024
+
+# So many rows give one score to the estimate of the k-th best.
+GROUP = 32
 
 # Similarities are ranked at this precision, so that equal vectors tie and the
 # id decides, whatever the order of the sums in a task.
 RANK_DIGITS = 9
 
-# Errors of the codes' sums of single precision; candidates are kept within it.
+# Errors of scores of single precision; candidates are kept within it.
 TOLERANCE = 1e-5
 
 # What a search hit tells about a conversation, besides id, similarity and excerpt.
@@ -47,18 +53,28 @@ SEARCH_FIELDS = (
 CELL = ("_list", "_slice", "_block")
 
 
-def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column, a row each."""
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.astype("float64").reshape(rows, -1)
+    return flat.reshape(len(column), -1)
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
+    matrix = matrix.astype("float64")
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(norms == 0, 1, norms)
 
 
-def _slot(id: str, n: Column | int) -> Column:
-    return F.pmod(F.xxhash64(id), F.lit(n) if isinstance(n, int) else n).cast("int")
+def _single_unit(matrix: np.ndarray, step: int = 8_192) -> np.ndarray:
+    """Unit vectors of single precision; only a step of them is held in double precision."""
+    out = np.empty(matrix.shape, "float32")
+    for at in range(0, len(matrix), step):
+        out[at : at + step] = _unit(matrix[at : at + step])
+    return out
+
+
+def _slot(id: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(id), F.lit(n)).cast("int")
 
 
 def _blocks(queries: DataFrame) -> int:
@@ -67,7 +83,7 @@ def _blocks(queries: DataFrame) -> int:
 
 def _slice_rows(vectors: DataFrame) -> int:
     one = vectors.select(F.size("embedding")).first()
-    return max(1, SLICE_BYTES // (4 * max(1, one[0]))) if one else 1
+    return max(1, min(SLICE_ROWS, SLICE_BYTES // (4 * max(1, one[0])))) if one else 1
 
 
 def _met(docs: DataFrame, queries: DataFrame, score, schema: T.StructType) -> DataFrame:
@@ -80,46 +96,111 @@ def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     if scores.shape[1] > k:
         least = np.partition(scores, -k, axis=1)[:, -k, None]
         above, level = scores > least, scores == least
-        level &= np.cumsum(level, axis=1) <= k - above.sum(1, keepdims=True)
-        return np.nonzero(above | level)
-    return np.nonzero(np.ones_like(scores, bool))
+        level &= np.cumsum(level, axis=1, dtype=np.int32) <= k - above.sum(1, keepdims=True)
+        return np.nonzero((above | level) & (scores > -np.inf))
+    return np.nonzero(scores > -np.inf)
 
 
 def _by_document(docs: pa.Table, doc_id: str) -> tuple[pa.Table, np.ndarray]:
     """The rows in ascending order of their ids, and where the rows of each document begin."""
-    docs = docs.sort_by(doc_id)
-    names = np.array(docs[doc_id].to_pylist(), dtype=object)
-    return docs, np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+    docs = docs.sort_by(doc_id).combine_chunks()
+    names = docs[doc_id].combine_chunks()
+    other = pc.fill_null(pc.not_equal(names[1:], names[:-1]), True).to_numpy(zero_copy_only=False)
+    return docs, np.flatnonzero(np.concatenate(([True], other)))
 
 
 def _of_documents(scores: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """A document of several rows counts with its best one."""
-    return scores if len(starts) == scores.shape[1] else np.maximum.reduceat(scores, starts, axis=1)
+    return scores if len(starts) == len(scores) else np.maximum.reduceat(scores, starts, axis=0)
 
 
-def _best_in_cell(k: int, doc_id: str, query_id: str, schema: T.StructType):
-    arrow = to_arrow_schema(schema)
+def _reached(scores: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """For each query (column) a score that at least k documents reach, near the k-th best.
 
-    def score(docs: pa.Table, queries: pa.Table) -> pa.Table:
-        if not docs.num_rows or not queries.num_rows:
-            return arrow.empty_table()
-        docs, starts = _by_document(docs, doc_id)
-        vectors = _unit(_matrix(docs["embedding"], docs.num_rows))
-        asked = _unit(_matrix(queries["embedding"], queries.num_rows))
-        step, found = max(1, SCORES // len(vectors)), []
-        for at in range(0, len(asked), step):
-            scores = _of_documents(np.round(asked[at : at + step] @ vectors.T, RANK_DIGITS), starts)
-            query, place = _top(scores, k)
-            found.append((query + at, place, scores[query, place]))
-        query, place, similarity = (np.concatenate(c) for c in zip(*found))
+    It is the k-th best of the best ones of groups of documents, so that few scores are put in order.
+    """
+    scores = _of_documents(scores, starts)
+    if len(scores) <= k:
+        return np.full(scores.shape[1], -np.inf, scores.dtype)
+    size = max(1, min(GROUP, len(scores) // (8 * k)))
+    groups = len(scores) // size
+    best = scores[: groups * size].reshape(groups, size, -1).max(axis=1)
+    return np.partition(best, -k, axis=0)[-k]
+
+
+class _Cell:
+    """The documents of a cell, and their k best for each query."""
+
+    def __init__(self, docs: pa.Table, doc_id: str, k: int):
+        docs, self.starts = _by_document(docs, doc_id)
+        self.rows, self.k = docs, k
+        self.ids = docs[doc_id].combine_chunks().take(pa.array(self.starts))
+        self.document = np.repeat(np.arange(len(self.starts)), np.diff(self.starts, append=docs.num_rows))
+        self.raw = _matrix(docs["embedding"])
+        self.single = _single_unit(self.raw)
+        self.tolerance = max(TOLERANCE, self.raw.shape[1] * 1.2e-7)
+
+    def best(self, asked: np.ndarray, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, document, similarity) among the kept pairs (row, query).
+
+        Single precision tells which pairs may be among the best, and these are scored in double
+        precision. Where these are many, as with copies, all are.
+        """
+        scores = self.single @ asked.astype("float32").T
+        if kept is not None:
+            scores[~kept] = -2
+        least = np.maximum(_reached(scores, self.starts, self.k) - 2 * self.tolerance, -1.5)
+        row, query = np.divmod(np.flatnonzero(scores >= least), scores.shape[1])
+        if len(row) * self.raw.shape[1] > 2 * SCORES:
+            return self._best_of_all(asked, kept)
+        similarity = np.round(np.einsum("ij,ij->i", _unit(self.raw[row]), asked[query]), RANK_DIGITS)
+        document = self.document[row]
+        order = np.lexsort((-similarity, document, query))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(document[order]) != 0) | (np.diff(query[order]) != 0)
+        order = order[new]
+        order = order[np.lexsort((document[order], -similarity[order], query[order]))]
+        first = np.searchsorted(query[order], np.arange(len(asked)))
+        order = order[np.arange(len(order)) - first[query[order]] < self.k]
+        return query[order], document[order], similarity[order]
+
+    def _best_of_all(self, asked, kept):
+        scores = np.empty((self.raw.shape[0], len(asked)))
+        for at in range(0, len(scores), 8_192):
+            scores[at : at + 8_192] = _unit(self.raw[at : at + 8_192]) @ asked.T
+        np.round(scores, RANK_DIGITS, out=scores)
+        if kept is not None:
+            scores[~kept] = -np.inf
+        scores = _of_documents(scores, self.starts).T
+        query, document = _top(scores, self.k)
+        return query, document, scores[query, document]
+
+    def hits(self, queries: pa.Table, query_id: str, schema: pa.Schema, kept=None) -> pa.Table:
+        """The hits of all queries; kept(asked), if given, tells the pairs that are scored."""
+        matrix, found = _matrix(queries["embedding"]), []
+        step = max(1, SCORES // max(matrix.shape[1], self.rows.num_rows))
+        for at in range(0, len(matrix), step):
+            asked = _unit(matrix[at : at + step])
+            query, document, similarity = self.best(asked, kept and kept(asked))
+            found.append((query + at, document, similarity))
+        query, document, similarity = (np.concatenate(c) for c in zip(*found))
         return pa.Table.from_arrays(
             [
                 queries[query_id].combine_chunks().take(pa.array(query)),
-                docs[doc_id].combine_chunks().take(pa.array(starts[place])), pa.array(similarity),
+                self.ids.take(pa.array(document)), pa.array(similarity),
             ],
-            schema=arrow,
+            schema=schema,
         )
 
+
+def _best_in_cell(k: int, doc_id: str, query_id: str, schema: T.StructType):
+    arrow = to_arrow_schema(schema)
+
+    def score(docs: pa.Table, queries: pa.Table) -> pa.Table:
+        if not docs.num_rows or not queries.num_rows:
+            return arrow.empty_table()
+        return _Cell(docs, doc_id, k).hits(queries, query_id, arrow)
+
     return score
 
 
@@ -300,7 +381,7 @@ def with_lists(docs: DataFrame, model: InvertedLists) -> DataFrame:
 
     @F.arrow_udf(schema)
     def index(column: pa.Array) -> pa.Array:
-        vectors = _unit(_matrix(pa.chunked_array([column]), len(column)))
+        vectors = _unit(_matrix(pa.chunked_array([column])))
         lists = model.assigned(vectors)
         codes, error = model.coded(vectors, lists)
         return pa.StructArray.from_arrays(
@@ -334,81 +415,56 @@ def probed_lists(
         for batch in batches:
             if not batch.num_rows or not len(lists):
                 continue
-            vectors = _unit(_matrix(pa.chunked_array([batch["embedding"]]), batch.num_rows))
-            centres = model.centroids[lists]
-            order = np.argsort((centres * centres).sum(1) - 2 * vectors @ centres.T, axis=1, kind="stable")
-            before = np.cumsum(rows[order], axis=1) - rows[order]
-            query, at = np.nonzero((np.arange(len(lists)) < probes) | (before < k))
-            chosen, row = order[query, at], pa.array(query)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch[query_id].take(row), batch["embedding"].take(row), pa.array(lists[chosen], pa.int32()),
-                    pa.array(rows[chosen]), pa.array(-(-rows[chosen] // per_slice), pa.int32()),
-                ],
-                [query_id, "embedding", "list", "rows", "slices"],
-            )
+            # A query goes to many lists, so few queries at a time.
+            for few in (batch.slice(at, PROBE_BATCH) for at in range(0, batch.num_rows, PROBE_BATCH)):
+                vectors = _unit(_matrix(pa.chunked_array([few["embedding"]])))
+                centres = model.centroids[lists]
+                order = np.argsort((centres * centres).sum(1) - 2 * vectors @ centres.T, axis=1, kind="stable")
+                before = np.cumsum(rows[order], axis=1) - rows[order]
+                query, at = np.nonzero((np.arange(len(lists)) < probes) | (before < k))
+                chosen, row = order[query, at], pa.array(query)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        few[query_id].take(row), few["embedding"].take(row), pa.array(lists[chosen], pa.int32()),
+                        pa.array(rows[chosen]), pa.array(-(-rows[chosen] // per_slice), pa.int32()),
+                    ],
+                    [query_id, "embedding", "list", "rows", "slices"],
+                )
 
     kind, vector = (queries.schema[c].dataType.simpleString() for c in (query_id, "embedding"))
     return asked.mapInArrow(near, f"{query_id} {kind}, embedding {vector}, list int, rows long, slices int")
 
 
-def _candidates_in_cell(k: int, slack: float, model: InvertedLists, doc_id: str, query_id: str, schema: T.StructType):
-    """Documents whose coded similarity may be among the k best of the cell.
+def _coded_best_in_cell(k: int, slack: float, model: InvertedLists, doc_id: str, query_id: str, schema: T.StructType):
+    """The k best of a cell among the documents whose coded similarity may be among its k best.
 
     The coded similarity is off by at most `code_error`; with a slack of 1 every
-    document that can be among the k best is kept, with less those that are likely to be.
+    document that can be among the k best is scored by its vector, with less those that are likely to be.
     """
     arrow = to_arrow_schema(schema)
 
     def score(docs: pa.Table, queries: pa.Table) -> pa.Table:
         if not docs.num_rows or not queries.num_rows:
             return arrow.empty_table()
-        docs, starts = _by_document(docs, doc_id)
-        codes = np.frombuffer(b"".join(docs["code"].to_pylist()), np.uint8).reshape(docs.num_rows, -1)
-        margin = slack * docs["code_error"].to_numpy().astype("float64") + TOLERANCE
-        asked = _unit(_matrix(queries["embedding"], queries.num_rows))
+        cell = _Cell(docs, doc_id, k)
+        codes = np.frombuffer(b"".join(cell.rows["code"].to_pylist()), np.uint8).reshape(len(cell.raw), -1)
+        codes = np.ascontiguousarray(codes.T).astype(np.intp)
+        margin = (slack * cell.rows["code_error"].to_numpy() + cell.tolerance).astype("float32")[:, None]
         centre = model.centroids[docs["_list"][0].as_py()]
-        parts, entries, width = model.books.shape
-        step, found = max(1, SCORES // max(len(codes), parts * entries)), []
-        for at in range(0, len(asked), step):
-            block = asked[at : at + step]
-            tables = np.einsum("qpw,pew->qpe", block.reshape(len(block), parts, width), model.books)
-            scores = np.repeat((block @ centre)[:, None], len(codes), axis=1)
-            for p in range(parts):
-                scores += tables[:, p, codes[:, p]]
-            lower, upper = _of_documents(scores - margin, starts), _of_documents(scores + margin, starts)
-            keep = np.ones(upper.shape, bool)
-            if len(starts) > k:
-                keep = upper >= np.partition(lower, -k, axis=1)[:, -k, None]
-            query, place = np.nonzero(keep)
-            found.append((query + at, place, lower[query, place], upper[query, place]))
-        query, place, lower, upper = (np.concatenate(c) for c in zip(*found))
-        return pa.Table.from_arrays(
-            [
-                queries[query_id].combine_chunks().take(pa.array(query)),
-                docs[doc_id].combine_chunks().take(pa.array(starts[place])), pa.array(lower), pa.array(upper),
-            ],
-            schema=arrow,
-        )
-
-    return score
-
-
-def _likely(found: DataFrame, k: int, doc_id: str, query_id: str) -> DataFrame:
-    """(query_id, doc_id): candidates of all cells that may be among the k best of all of them."""
-    best = found.groupBy(query_id, doc_id).agg(F.max("_lower").alias("_lower"), F.max("_upper").alias("_upper"))
-    placed = best.withColumn("_place", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("_lower"))))
-    least = F.max(F.when(F.col("_place") == k, F.col("_lower"))).over(Window.partitionBy(query_id))
-    return placed.withColumn("_least", least).where("_least IS NULL OR _upper >= _least").select(query_id, doc_id)
+        parts, _, width = model.books.shape
 
+        def likely(asked: np.ndarray) -> np.ndarray:
+            """A table of part products a query, looked up by the codes."""
+            pieces = asked.reshape(len(asked), parts, width)
+            coded = np.repeat((asked @ centre).astype("float32")[None], len(cell.raw), axis=0)
+            for p in range(parts):
+                coded += np.take((model.books[p] @ pieces[:, p].T).astype("float32"), codes[p], axis=0)
+            coded += margin
+            return coded >= _reached(coded - 2 * margin, cell.starts, k)
 
-def _similarity(a: str, b: str) -> Column:
-    def dot(x: str, y: str) -> Column:
-        product = F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double"))
-        return F.aggregate(product, F.lit(0.0), lambda s, p: s + p)
+        return cell.hits(queries, query_id, arrow, likely)
 
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.round(F.coalesce(F.try_divide(dot(a, b), norms), F.lit(0.0)), RANK_DIGITS)
+    return score
 
 
 def semantic_topk_approx(
@@ -426,10 +482,11 @@ def semantic_topk_approx(
     """semantic_topk over the lists nearest to each query only.
 
     `docs` comes from with_lists with the same model, best read from a table
-    partitioned by `list`. Each query is joined to the lists it probes; only codes
-    are shuffled there, a list of many documents in slices. Codes are scored by one
-    table of part products per query, and documents that may be among the k best,
-    within `slack` times the error of their code, are scored again by their vectors.
+    partitioned by `list`. Each query is joined to the lists it probes, a list of many
+    documents in slices. Codes are scored by one table of part products per query, and
+    documents that may be among the k best of their slice, within `slack` times the error of
+    their code, are scored again by their vectors in the same place: these are some share of
+    all pairs, so no pair but the k best of a slice leaves it.
     A slack of 1 loses none of the k best of the probed lists, so probing all lists
     with it is exact. A query gets k hits whenever k documents pass the filters.
     """
@@ -439,24 +496,17 @@ def semantic_topk_approx(
     probed = probed_lists(kept, asked, model, k, probes, doc_id, query_id)
     per_slice = _slice_rows(kept)
     sizes = kept.groupBy("list").agg(F.ceil(F.count("*") / F.lit(per_slice)).cast("int").alias("_slices"))
-    coded = kept.select(doc_id, "code", "code_error", "list")
+    coded = kept.select(doc_id, "code", "code_error", "list", "embedding")
     # One row a list; a list of the model has its centroid in every task already.
     of_docs = coded.join(F.broadcast(sizes), "list").select(
-        doc_id, "code", "code_error", F.col("list").alias("_list"),
-        _slot(doc_id, F.col("_slices")).alias("_slice"),
+        doc_id, "code", "code_error", "embedding", F.col("list").alias("_list"),
+        F.pmod(F.xxhash64(doc_id, "embedding"), "_slices").cast("int").alias("_slice"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"),
     )
     of_queries = probed.select(
         query_id, "embedding", F.col("list").alias("_list"), _slot(query_id, blocks).alias("_block"),
         F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("_slice"),
     )
-    bounds = [T.StructField(c, T.DoubleType()) for c in ("_lower", "_upper")]
-    schema = T.StructType([*_hit_schema(kept, queries, doc_id, query_id).fields[:2], *bounds])
-    found = _met(of_docs, of_queries, _candidates_in_cell(k, slack, model, doc_id, query_id, schema), schema)
-    vectors = kept.select(doc_id, F.col("embedding").alias("_vector")).where("embedding IS NOT NULL")
-    scored = (
-        _likely(found, k, doc_id, query_id).join(asked.withColumnRenamed("embedding", "_asked"), query_id)
-        .join(vectors, doc_id)
-        .select(query_id, doc_id, _similarity("_asked", "_vector").alias("similarity"))
-    )
-    return _with_details(kept, _ranked(scored, k, doc_id, query_id), doc_id, query_id, details)
+    schema = _hit_schema(kept, queries, doc_id, query_id)
+    hits = _met(of_docs, of_queries, _coded_best_in_cell(k, slack, model, doc_id, query_id, schema), schema)
+    return _with_details(kept, _ranked(hits, k, doc_id, query_id), doc_id, query_id, details)

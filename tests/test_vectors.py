@@ -108,6 +108,17 @@ def test_all_lists_without_slack_lost_are_exact(spark, data, monkeypatch, slice_
         assert hits(search.semantic_topk_approx(docs, queries, model, k=10, probes=12, slack=1.0)) == exact
 
 
+def test_only_the_best_of_a_cell_leave_it(spark, data, monkeypatch):
+    """However many documents may be among the best, a list sends k hits a query."""
+    matrix, asked = data
+    docs, model = listed(spark, matrix)
+    sent, ranked = [], search._ranked
+    monkeypatch.setattr(search, "_ranked", lambda hits, *rest: sent.append(hits) or ranked(hits, *rest))
+    queries = table(spark, asked, list("abcd"), "query_id")
+    assert search.semantic_topk_approx(docs, queries, model, k=1, probes=12, slack=1.0).count() == 4
+    assert sent[0].count() <= 4 * 12
+
+
 def test_recall_of_clustered_vectors(spark):
     draw = np.random.default_rng(11)
     centres = draw.normal(size=(20, 16))
