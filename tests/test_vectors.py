@@ -1,5 +1,9 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 from tests.helpers import plan_of
 
 from parlance.operators import documents, search, vectors
@@ -265,6 +269,24 @@ def test_search_of_documents(spark, turns_of):
         assert hit["conv_id"] == first
 
 
+def test_a_cell_takes_bounded_memory(spark):
+    """Neither the scores of a cell nor its queries are held whole in several copies."""
+    draw = np.random.default_rng(2)
+
+    def rows(n, name):
+        vectors = draw.normal(size=(n, 16)).astype("float32")
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 16 * n + 1, 16), pa.int32()), pa.array(vectors.ravel()))
+        return pa.table({name: pa.array(np.arange(n)), "embedding": lists})
+
+    docs, queries = rows(60_000, "conv_id"), rows(2_000, "query_id")
+    schema = T.StructType.fromDDL("query_id long, conv_id long, similarity double")
+    tracemalloc.start()
+    found = search._best_in_cell(10, "conv_id", "query_id", schema)(docs, queries)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 20_000 and peak < 80e6
+
+
 def test_supplied_embedder(spark):
     def embed(texts):
         assert len(texts) <= vectors.EMBED_BATCH
