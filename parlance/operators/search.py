@@ -22,6 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from parlance import constants as C
 from parlance.functions.text import doc_excerpt
 from parlance.operators.conversations import check_range
+from parlance.operators.keyed import lookup_join, with_digest
 from parlance.operators.vectors import embed_documents, filter_documents
 
 # A slice holds documents of about so many bytes and so many rows, a block so many queries.
@@ -287,18 +288,25 @@ def semantic_search(
 ) -> DataFrame:
     """Search embedded conversations by text: ids, similarity, excerpt and metadata.
 
-    `queries` has an id and a text each; they are embedded with the embedder that
-    embedded the conversations.
+    `queries` has an id and a text each; texts are embedded with the embedder that
+    embedded the conversations. A text is asked once, however many queries have it:
+    texts are told apart by 128 bits, and a text's hits, one row, are joined to its queries.
     """
+    named = with_digest(queries.select(query_id, F.col(query).alias("document")), "document")
+    texts = named.groupBy("_d1", "_d2").agg(F.first("document").alias("document"))
     asked = embed_documents(
-        queries.select(query_id, F.col(query).alias("document")), embedder
+        texts.select(F.concat_ws(":", "_d1", "_d2").alias("_text"), "document"), embedder
     )
     details = ["document", *(f"metadata.{f}" for f in SEARCH_FIELDS)]
-    hits = semantic_topk(docs, asked, k, query_id=query_id, details=details, **filters)
-    return hits.select(
-        query_id, "rank", "conv_id", "similarity",
+    hits = semantic_topk(docs, asked, k, query_id="_text", details=details, **filters)
+    told = F.struct(
+        "rank", "conv_id", "similarity",
         doc_excerpt(F.col("document")).alias("document_excerpt"), *SEARCH_FIELDS,
     )
+    lists = hits.groupBy("_text").agg(F.collect_list(told).alias("_hits"))
+    ids = named.select(query_id, F.concat_ws(":", "_d1", "_d2").alias("_text"))
+    found = lookup_join(ids, lists, ["_text"], "inner")
+    return found.select(query_id, F.explode("_hits").alias("_hit")).select(query_id, "_hit.*")
 
 
 @dataclass(frozen=True)

@@ -269,6 +269,24 @@ def test_search_of_documents(spark, turns_of):
         assert hit["conv_id"] == first
 
 
+def test_a_text_is_asked_once(spark, monkeypatch):
+    """Queries that repeat a text get its hits; only different texts are searched for."""
+    docs = spark.createDataFrame(
+        [("a", "one", [1.0, 0.0]), ("b", "two", [0.0, 1.0])],
+        "conv_id string, document string, embedding array<float>",
+    ).selectExpr("*", "named_struct('topic', 't', 'agent_name', 'g', 'customer_sentiment_overall', 0D,"
+                 " 'language', 'en', 'escalation_flag', 0) AS metadata")
+    searched, exact = [], search.semantic_topk
+    monkeypatch.setattr(
+        search, "semantic_topk", lambda docs, asked, *a, **b: searched.append(asked) or exact(docs, asked, *a, **b))
+    embed = lambda texts: np.array([[float("x" in t), float("y" in t)] for t in texts])
+    queries = spark.createDataFrame([(i, "xy"[i % 2]) for i in range(400)], "query_id long, query string")
+    rows = search.semantic_search(docs, queries, embed, k=2).collect()
+    assert searched[0].count() == 2
+    assert sorted((r["query_id"], r["rank"], r["conv_id"]) for r in rows) == [
+        (i, rank, "abba"[i % 2 * 2 + rank - 1]) for i in range(400) for rank in (1, 2)]
+
+
 def test_a_cell_takes_bounded_memory(spark):
     """Neither the scores of a cell nor its queries are held whole in several copies."""
     draw = np.random.default_rng(2)
