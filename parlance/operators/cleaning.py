@@ -7,12 +7,14 @@ the text. In neither way is a text shuffled as a key.
 """
 
 import re
-from collections.abc import Sequence
+from array import array
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance import constants as C
 from parlance.functions.text import tidy_spaces, truncate_last_terminator
@@ -21,6 +23,9 @@ from parlance.operators.keyed import fits_broadcast, lookup_join, with_digest
 # A lexicon of up to so many words is held by every Python worker.
 HELD_WORDS = 500_000
 
+# So many gibberish words leave a Python worker at once.
+TOKENS_AT_ONCE = 20_000
+
 
 def _words(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """One row per word token: keys, pos (0 for the first word), token, word.
@@ -100,19 +105,50 @@ def _stripped(held: Broadcast):
     return strip
 
 
-def _gibberish_places(held: Broadcast):
-    """(places, tokens, words): the words of a text that are not held, and how many words it has."""
+def _words_counted(held: Broadcast):
+    """(bad, words): how many words of a text are not held, and how many words it has."""
     pattern = re.compile(C.WORD_PATTERN)
-    kind = pa.struct([("places", pa.list_(pa.int32())), ("tokens", pa.list_(pa.string())), ("words", pa.int32())])
 
-    @F.arrow_udf("places array<int>, tokens array<string>, words int")
-    def find(texts: pa.Array) -> pa.Array:
-        known, rows = held.value, []
+    @F.arrow_udf("bad int, words int")
+    def count(texts: pa.Array) -> pa.Array:
+        known = held.value
+        bad, words = array("i"), array("i")
         for text in texts:
-            words = pattern.findall(text.as_py()) if text.is_valid else []
-            bad = [(at, w) for at, w in enumerate(words) if w.lower() not in known]
-            rows.append({"places": [at for at, _ in bad], "tokens": [w for _, w in bad], "words": len(words)})
-        return pa.array(rows, kind)
+            n = unknown = 0
+            for word in pattern.finditer(text.as_py()) if text.is_valid else ():
+                n += 1
+                unknown += word[0].lower() not in known
+            bad.append(unknown)
+            words.append(n)
+        return pa.StructArray.from_arrays([pa.array(bad, pa.int32()), pa.array(words, pa.int32())], ["bad", "words"])
+
+    return count
+
+
+def _unheld_tokens(held: Broadcast, keys: Sequence[str]):
+    """Batches of keys, pos and token: the words that are not held, a bounded number at a time."""
+    pattern, names = re.compile(C.WORD_PATTERN), [*keys, "pos", "token"]
+
+    def rows(batch: pa.RecordBatch, at: array, pos: array, tokens: list[str]) -> pa.RecordBatch:
+        row = pa.array(at, pa.int32())
+        columns = [batch.column(c).take(row) for c in range(len(keys))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(pos, pa.int32()), pa.array(tokens, pa.string())], names)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = held.value
+        for batch in batches:
+            at, pos, tokens = array("i"), array("i"), []
+            for i, t in enumerate(batch.column(len(keys))):
+                for n, word in enumerate(pattern.finditer(t.as_py()) if t.is_valid else ()):
+                    if word[0].lower() not in known:
+                        at.append(i)
+                        pos.append(n)
+                        tokens.append(word[0])
+                        if len(tokens) == TOKENS_AT_ONCE:
+                            yield rows(batch, at, pos, tokens)
+                            at, pos, tokens = array("i"), array("i"), []
+            if tokens:
+                yield rows(batch, at, pos, tokens)
 
     return find
 
@@ -148,9 +184,9 @@ def gibberish_tokens(
     if held is None:
         rows = _gibberish_rows(df, keys, text, lexicon, allow, threshold)
         return rows.select(*keys, "pos", "token")
-    found = df.select(*keys, _gibberish_places(held)(F.col(text)).alias("_found"))
-    each = F.explode(F.arrays_zip("_found.places", "_found.tokens")).alias("_at")
-    return found.select(*keys, each).select(*keys, F.col("_at.places").alias("pos"), F.col("_at.tokens").alias("token"))
+    asked = df.select(*keys, F.col(text).alias("_text"))
+    schema = T.StructType([*asked.schema.fields[:-1], *T.StructType.fromDDL("pos int, token string")])
+    return asked.mapInArrow(_unheld_tokens(held, keys), schema)
 
 
 def _positions(
@@ -208,8 +244,8 @@ def gibberish_ratio(
     """Add the share of word tokens that are gibberish; 0.0 without words."""
     held = _held_words(lexicon, allow, threshold)
     if held is not None:
-        share = F.try_divide(F.size("_found.places").cast("double"), F.col("_found.words").cast("double"))
-        found = df.withColumn("_found", _gibberish_places(held)(F.col(text)))
+        share = F.try_divide(F.col("_found.bad").cast("double"), F.col("_found.words").cast("double"))
+        found = df.withColumn("_found", _words_counted(held)(F.col(text)))
         return found.select(
             *[c for c in df.columns if c != into], F.coalesce(share, F.lit(0.0)).alias(into)
         )

@@ -1,8 +1,10 @@
 import random
 import re
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
-from tests.helpers import rows_of
+from tests.helpers import plan_of, rows_of
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -171,6 +173,21 @@ def test_gibberish_against_python(spark, monkeypatch, fits):
     assert rows_of(tokens) == [(0, 1, "zzqx")]
 
 
+def test_gibberish_words_leave_python_in_bounded_batches(spark):
+    """One text of many words is many batches; no list of a whole batch of texts is made."""
+    held = SimpleNamespace(value=frozenset({"the"}))
+    texts = ["the zzqx " * 50_000, None, "the", "qq the"]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9, 10]), pa.array(texts)], ["id", "_text"])
+    found = list(cleaning._unheld_tokens(held, ["id"])(iter([batch])))
+    assert max(b.num_rows for b in found) <= 20_000 and sum(b.num_rows for b in found) == 50_001
+    rows = [tuple(r.values()) for b in found for r in b.to_pylist()]
+    assert rows == [*((7, 2 * i + 1, "zzqx") for i in range(50_000)), (10, 0, "qq")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    lexicon = spark.createDataFrame([("the", 6.0)], "token string, zipf double")
+    plan = plan_of(cleaning.gibberish_tokens(df, "text", lexicon, ["id"], []))
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
 def test_clean_turns(spark, turns_of):
     lexicon = spark.createDataFrame(list(KNOWN.items()), "token string, zipf double")
     turns = turns_of(
