@@ -188,6 +188,14 @@ def test_gibberish_words_leave_python_in_bounded_batches(spark):
     assert "MapInArrow" in plan and "Generate" not in plan
 
 
+def test_gibberish_ratio_takes_no_words_out_of_python(spark):
+    lexicon = spark.createDataFrame([("the", 6.0)], "token string, zipf double")
+    df = spark.createDataFrame([(0, "the zz the q"), (1, None), (2, "1 2"), (3, "")], "id long, text string")
+    ratio = cleaning.gibberish_ratio(df, "text", lexicon, [])
+    assert rows_of(ratio.select("id", "gibberish_ratio")) == [(0, 0.5), (1, 0.0), (2, 0.0), (3, 0.0)]
+    assert "tokens" not in plan_of(ratio)
+
+
 def test_clean_turns(spark, turns_of):
     lexicon = spark.createDataFrame(list(KNOWN.items()), "token string, zipf double")
     turns = turns_of(
