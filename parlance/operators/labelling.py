@@ -7,6 +7,7 @@ function over pandas batches, or the built-in keyword rules.
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -39,6 +40,26 @@ NEGATIVE_RULE = r"(?i)\b(error|crash|failed|not working|charged twice|urgent|fru
 HINDI_RULE = r"(?i)\b(mujhe|hai|mein|baare|chahiye|jaldi|nahi|ho)\b"
 ENGLISH_RULE = r"(?i)\b(the|is|my|with|help|please|while|of|and)\b"
 
+# Text that a match of a rule holds in lower case, one of these at least: to look for it costs far less
+# than the rule. Rules of short words have none.
+RULE_HINTS = {
+    "escalation_request": ("escalate", "manager", "supervisor"),
+    "urgency_request": ("urgent", "asap", "immediately", "jaldi", "expedite"),
+    "resolution_confirmation": ("resolved", "works now", "issue fixed"),
+    "thanks": ("thank", "dhanyavaad", "purchase"),
+    "apology": ("sorry", "apologi", "regret"),
+    "complaint": ("error", "crash", "not working", "failed", "charged twice", "t arrived"),
+    "info_request": ("please ",),
+    "solution_offer": ("refund", "reset", "replacement"),
+    "status_update": ("checking", "investigating", "in progress"),
+    "acknowledgement": ("ok", "got it", "noted", "view"),
+    "query": ("?", "help"),
+    EMPATHETIC_RULE: ("sorry", "apologi", "understand", "regret"),
+    DISMISSIVE_RULE: ("cannot help", "not our problem", "per policy"),
+    POSITIVE_RULE: ("thank", "great", "resolved", "purchase", "works now"),
+    NEGATIVE_RULE: ("error", "crash", "failed", "not working", "charged twice", "urgent", "frustrated"),
+}
+
 
 def pending_texts(
     turns: DataFrame, labels: DataFrame, limit: int | None = None
@@ -55,15 +76,26 @@ def pending_texts(
 def rule_labels(pending: DataFrame) -> DataFrame:
     """Labels from the keyword rules, as plain column expressions."""
     text = F.col("text_clean")
+
+    def hinted(rule: str) -> Column:
+        found = [F.contains(F.col("_low"), F.lit(hint)) for hint in RULE_HINTS[rule]]
+        return reduce(Column.__or__, found)
+
+    def fits(pattern: str, rule: str | None = None) -> Column:
+        return hinted(rule or pattern) & text.rlike(pattern)
+
+    def count(pattern: str) -> Column:
+        return F.when(~hinted(pattern), 0).otherwise(F.regexp_count(text, F.lit(pattern)))
+
     intent = F.lit("other")
     for label, pattern in reversed(INTENT_RULES):
-        intent = F.when(text.rlike(pattern), label).otherwise(intent)
+        intent = F.when(fits(pattern, label), label).otherwise(intent)
     balance, found = F.col("_pos") - F.col("_neg"), F.col("_pos") + F.col("_neg")
     hindi, english = text.rlike(HINDI_RULE), text.rlike(ENGLISH_RULE)
     return (
         pending
-        .withColumn("_pos", F.regexp_count(text, F.lit(POSITIVE_RULE)))
-        .withColumn("_neg", F.regexp_count(text, F.lit(NEGATIVE_RULE)))
+        .withColumn("_low", F.lower(text))
+        .withColumns({"_pos": count(POSITIVE_RULE), "_neg": count(NEGATIVE_RULE), "_intent": intent})
         .select(
             "text_clean",
             "role",
@@ -72,12 +104,12 @@ def rule_labels(pending: DataFrame) -> DataFrame:
             F.coalesce(
                 F.try_divide(balance.cast("double"), found.cast("double")), F.lit(0.0)
             ).alias("sentiment_score"),
-            intent.alias("intent"),
+            F.col("_intent").alias("intent"),
             F.when(F.col("role") != "agent", "na")
-            .when(text.rlike(EMPATHETIC_RULE), "empathetic")
-            .when(text.rlike(DISMISSIVE_RULE), "dismissive")
+            .when(fits(EMPATHETIC_RULE), "empathetic")
+            .when(fits(DISMISSIVE_RULE), "dismissive")
             .otherwise("neutral").alias("empathy_signal"),
-            (intent == "escalation_request").cast("int").alias("is_escalation"),
+            (F.col("_intent") == "escalation_request").cast("int").alias("is_escalation"),
             (redact_pii(text) != text).cast("int").alias("contains_pii"),
             F.when(hindi & english, "mixed").when(hindi, "hi").otherwise("en")
             .alias("language"),

@@ -1,5 +1,7 @@
+import random
+
 import pytest
-from tests.helpers import rows_of
+from tests.helpers import plan_of, rows_of
 from pyspark.sql import functions as F
 
 from parlance.operators import keyed, labelling
@@ -103,6 +105,26 @@ def test_labelling_resumes(spark, turns_of):
     assert labelling.pending_texts(turns, stored).count() == 0
 
 
+def test_hints_lose_no_match_of_a_rule(spark):
+    """A text that a rule matches holds one of its hints; texts without are not searched by the rule."""
+    words = ("Escalate manager SUPERVISOR urgent Urgently ASAP immediately jaldi expedite resolved|works now|issue fixed|"
+             "thanks|thank you|Dhanyavaad|purchase|sorry|apologise|APOLOGIZE|regret|error|crash|Not Working|failed|"
+             "charged twice|hasn't arrived|hasnt arrived|please share|Please confirm|please provide|refund is|"
+             "refunded has been|reset will be|replacement is|checking|investigating|in progress|okay|OK|got it|noted|view|"
+             "?|help|understand|cannot help|not our problem|as per policy|great|frustrated|\u0130|\u212a|x|ok\u0130")
+    draw, words = random.Random(9), [w for part in words.split("|") for w in ([part] if part[0].islower() else [part, *part.split()])]
+    texts = [*words, *(draw.choice(["", " ", "."]).join(draw.choices(words, k=draw.randrange(6))) for _ in range(3_000)), None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text_clean string")
+    rules = {**dict(labelling.INTENT_RULES), **{r: r for r in labelling.RULE_HINTS if r.startswith("(")}}
+    assert rules.keys() == labelling.RULE_HINTS.keys()
+    for rule, pattern in rules.items():
+        held = " OR ".join(f'contains(lower(text_clean), "{hint}")' for hint in labelling.RULE_HINTS[rule])
+        assert df.where(F.col("text_clean").rlike(pattern)).count() > 0
+        assert df.where(F.col("text_clean").rlike(pattern)).where(f"NOT ({held})").count() == 0, rule
+    pending = df.selectExpr("text_clean", "CASE i % 2 WHEN 0 THEN 'agent' ELSE 'customer' END AS role")
+    assert "contains(" in plan_of(labelling.rule_labels(pending)).lower()
+
+
 def test_supplied_labeller(spark, turns_of):
     sizes = spark.sparkContext.accumulator(0)
 
