@@ -328,3 +328,12 @@ def test_supplied_vectors_are_rounded_once(spark, part):
     got = {int(r["conv_id"]): r["embedding"] for r in vectors.embed_documents(docs, embed).collect()}
     want = np.float32(counts / np.sqrt((counts * counts).sum(1, keepdims=True)))
     assert (np.float32([got[i] for i in range(500)]) == want).all()
+
+
+def test_slices_of_short_vectors_are_bounded_in_rows(spark):
+    """Rows cost memory too: short vectors don't make a slice of hundreds of thousands of them."""
+    assert search._slice_rows(table(spark, np.ones((3, 2)))) <= 65_536
+    docs = spark.range(150_000).selectExpr("id AS conv_id", "array(float(id % 7), 1F) AS embedding")
+    asked = spark.createDataFrame([("q", [0.0, 1.0])], "query_id string, embedding array<float>")
+    found = search.semantic_topk(docs, asked, k=5).orderBy("rank").collect()
+    assert [r["conv_id"] for r in found] == [0, 7, 14, 21, 28]
