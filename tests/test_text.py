@@ -193,7 +193,8 @@ def test_gibberish_ratio_takes_no_words_out_of_python(spark):
     df = spark.createDataFrame([(0, "the zz the q"), (1, None), (2, "1 2"), (3, "")], "id long, text string")
     ratio = cleaning.gibberish_ratio(df, "text", lexicon, [])
     assert rows_of(ratio.select("id", "gibberish_ratio")) == [(0, 0.5), (1, 0.0), (2, 0.0), (3, 0.0)]
-    assert "tokens" not in plan_of(ratio)
+    plan = plan_of(ratio)
+    assert "places" not in plan and ".bad" in plan
 
 
 def test_clean_turns(spark, turns_of):
