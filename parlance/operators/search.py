@@ -30,8 +30,9 @@ SLICE_BYTES = 16 << 20
 SLICE_ROWS = 65_536
 QUERY_BLOCK = 16_384
 
-# So many scores are worked on at once.
+# So many scores are worked on at once, and so many vectors in double precision.
 SCORES = 1 << 21
+VECTORS = 8_192
 
 # Queries that are joined to their lists at once.
 PROBE_BATCH = 1_024
@@ -56,7 +57,8 @@ CELL = ("_list", "_slice", "_block")
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     """The vectors of a column, a row each."""
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    whole = column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()
+    flat = whole.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1)
 
 
@@ -66,12 +68,29 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norms == 0, 1, norms)
 
 
-def _single_unit(matrix: np.ndarray, step: int = 8_192) -> np.ndarray:
-    """Unit vectors of single precision; only a step of them is held in double precision."""
-    out = np.empty(matrix.shape, "float32")
-    for at in range(0, len(matrix), step):
-        out[at : at + step] = _unit(matrix[at : at + step])
-    return out
+class _Vectors:
+    """The vectors of a column in an order of its rows, read where Arrow holds them: none is copied."""
+
+    def __init__(self, column: pa.ChunkedArray, order: np.ndarray):
+        self.chunks = [_matrix(pa.chunked_array([c])) for c in column.chunks if len(c)]
+        self.ends = np.cumsum([len(c) for c in self.chunks])
+        self.order, self.width = order, self.chunks[0].shape[1]
+
+    def unit(self, rows: np.ndarray | slice) -> np.ndarray:
+        """Unit vectors of double precision of some rows."""
+        rows = self.order[rows]
+        out, chunk = np.empty((len(rows), self.width)), np.searchsorted(self.ends, rows, "right")
+        for c, matrix in enumerate(self.chunks):
+            own = chunk == c
+            out[own] = matrix[rows[own] - (self.ends[c] - len(matrix))]
+        return _unit(out)
+
+    def single(self) -> np.ndarray:
+        """Unit vectors of single precision of all rows."""
+        out = np.empty((len(self.order), self.width), "float32")
+        for at in range(0, len(out), VECTORS):
+            out[at : at + VECTORS] = self.unit(slice(at, at + VECTORS))
+        return out
 
 
 def _slot(id: str, n: int) -> Column:
@@ -102,12 +121,13 @@ def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(scores > -np.inf)
 
 
-def _by_document(docs: pa.Table, doc_id: str) -> tuple[pa.Table, np.ndarray]:
-    """The rows in ascending order of their ids, and where the rows of each document begin."""
-    docs = docs.sort_by(doc_id).combine_chunks()
-    names = docs[doc_id].combine_chunks()
+def _by_document(ids: pa.ChunkedArray) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """The ascending order of the rows by their ids, the ids in it, and where the rows of each document begin."""
+    ids = ids.combine_chunks()
+    order = pc.sort_indices(ids)
+    names = ids.take(order)
     other = pc.fill_null(pc.not_equal(names[1:], names[:-1]), True).to_numpy(zero_copy_only=False)
-    return docs, np.flatnonzero(np.concatenate(([True], other)))
+    return order, names, np.flatnonzero(np.concatenate(([True], other)))
 
 
 def _of_documents(scores: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -133,13 +153,12 @@ class _Cell:
     """The documents of a cell, and their k best for each query."""
 
     def __init__(self, docs: pa.Table, doc_id: str, k: int):
-        docs, self.starts = _by_document(docs, doc_id)
-        self.rows, self.k = docs, k
-        self.ids = docs[doc_id].combine_chunks().take(pa.array(self.starts))
+        self.order, names, self.starts = _by_document(docs[doc_id])
+        self.ids, self.k = names.take(pa.array(self.starts)), k
         self.document = np.repeat(np.arange(len(self.starts)), np.diff(self.starts, append=docs.num_rows))
-        self.raw = _matrix(docs["embedding"])
-        self.single = _single_unit(self.raw)
-        self.tolerance = max(TOLERANCE, self.raw.shape[1] * 1.2e-7)
+        self.vectors = _Vectors(docs["embedding"], self.order.to_numpy().astype(np.int64))
+        self.single = self.vectors.single()
+        self.tolerance = max(TOLERANCE, self.vectors.width * 1.2e-7)
 
     def best(self, asked: np.ndarray, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, document, similarity) among the kept pairs (row, query).
@@ -152,10 +171,13 @@ class _Cell:
             scores[~kept] = -2
         least = np.maximum(_reached(scores, self.starts, self.k) - 2 * self.tolerance, -1.5)
         row, query = np.divmod(np.flatnonzero(scores >= least), scores.shape[1])
-        if len(row) * self.raw.shape[1] > 2 * SCORES:
+        if len(row) * self.vectors.width > 2 * SCORES:
             return self._best_of_all(asked, kept)
-        similarity = np.round(np.einsum("ij,ij->i", _unit(self.raw[row]), asked[query]), RANK_DIGITS)
-        document = self.document[row]
+        similarity = np.empty(len(row))
+        for at in range(0, len(row), VECTORS):
+            few = slice(at, at + VECTORS)
+            similarity[few] = np.einsum("ij,ij->i", self.vectors.unit(row[few]), asked[query[few]])
+        similarity, document = np.round(similarity, RANK_DIGITS), self.document[row]
         order = np.lexsort((-similarity, document, query))
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(document[order]) != 0) | (np.diff(query[order]) != 0)
@@ -166,9 +188,10 @@ class _Cell:
         return query[order], document[order], similarity[order]
 
     def _best_of_all(self, asked, kept):
-        scores = np.empty((self.raw.shape[0], len(asked)))
-        for at in range(0, len(scores), 8_192):
-            scores[at : at + 8_192] = _unit(self.raw[at : at + 8_192]) @ asked.T
+        scores = np.empty((len(self.single), len(asked)))
+        for at in range(0, len(scores), VECTORS):
+            few = slice(at, at + VECTORS)
+            scores[few] = self.vectors.unit(few) @ asked.T
         np.round(scores, RANK_DIGITS, out=scores)
         if kept is not None:
             scores[~kept] = -np.inf
@@ -179,7 +202,7 @@ class _Cell:
     def hits(self, queries: pa.Table, query_id: str, schema: pa.Schema, kept=None) -> pa.Table:
         """The hits of all queries; kept(asked), if given, tells the pairs that are scored."""
         matrix, found = _matrix(queries["embedding"]), []
-        step = max(1, SCORES // max(matrix.shape[1], self.rows.num_rows))
+        step = max(1, SCORES // max(matrix.shape[1], len(self.single)))
         for at in range(0, len(matrix), step):
             asked = _unit(matrix[at : at + step])
             query, document, similarity = self.best(asked, kept and kept(asked))
@@ -455,16 +478,16 @@ def _coded_best_in_cell(k: int, slack: float, model: InvertedLists, doc_id: str,
         if not docs.num_rows or not queries.num_rows:
             return arrow.empty_table()
         cell = _Cell(docs, doc_id, k)
-        codes = np.frombuffer(b"".join(cell.rows["code"].to_pylist()), np.uint8).reshape(len(cell.raw), -1)
+        codes = np.frombuffer(b"".join(docs["code"].take(cell.order).to_pylist()), np.uint8).reshape(docs.num_rows, -1)
         codes = np.ascontiguousarray(codes.T).astype(np.intp)
-        margin = (slack * cell.rows["code_error"].to_numpy() + cell.tolerance).astype("float32")[:, None]
+        margin = (slack * docs["code_error"].take(cell.order).to_numpy() + cell.tolerance).astype("float32")[:, None]
         centre = model.centroids[docs["_list"][0].as_py()]
         parts, _, width = model.books.shape
 
         def likely(asked: np.ndarray) -> np.ndarray:
             """A table of part products a query, looked up by the codes."""
             pieces = asked.reshape(len(asked), parts, width)
-            coded = np.repeat((asked @ centre).astype("float32")[None], len(cell.raw), axis=0)
+            coded = np.repeat((asked @ centre).astype("float32")[None], docs.num_rows, axis=0)
             for p in range(parts):
                 coded += np.take((model.books[p] @ pieces[:, p].T).astype("float32"), codes[p], axis=0)
             coded += margin

@@ -305,6 +305,25 @@ def test_a_cell_takes_bounded_memory(spark):
     assert found.num_rows == 20_000 and peak < 80e6
 
 
+def test_a_cell_reads_vectors_where_they_are():
+    """Arrow's chunks are not joined or sorted into copies, and what is found does not depend on them."""
+    draw, n, dim = np.random.default_rng(3), 60_000, 64
+    vectors, ids = draw.normal(size=(n, dim)).astype("float32"), draw.permutation(n)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, dim * n + 1, dim), pa.int32()), pa.array(vectors.ravel()))
+    whole = pa.table({"conv_id": pa.array(ids), "embedding": lists})
+    docs = pa.Table.from_batches(whole.to_batches(max_chunksize=7_000))
+    held = pa.total_allocated_bytes()
+    cell = search._Cell(docs, "conv_id", 5)
+    assert pa.total_allocated_bytes() - held < 4e6
+    asked = search._unit(draw.normal(size=(3, dim)))
+    query, document, similarity = cell.best(asked)
+    scores = asked @ search._unit(vectors).T
+    for q in range(3):
+        best = np.argsort(-scores[q])[:5]
+        assert cell.ids.to_numpy()[document[query == q]].tolist() == ids[best].tolist()
+        assert np.allclose(similarity[query == q], scores[q][best], atol=1e-9)
+
+
 def test_supplied_embedder(spark):
     def embed(texts):
         assert len(texts) <= vectors.EMBED_BATCH
