@@ -1,9 +1,10 @@
 """Embedding of documents, and the choice of documents by their metadata."""
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 from parlance import constants as C
 from parlance.operators.conversations import check_choice
 
-# Documents and their vectors go through Python in batches of this many.
+# Documents and their vectors go through Python in batches of this many, and of so many bytes if one is not larger.
 EMBED_BATCH = 64
+EMBED_BYTES = 2 << 20
 
 
 def fit_embedder(docs: DataFrame, dim: int = 256, document: str = "document") -> PipelineModel:
@@ -91,14 +93,25 @@ def embed_documents(
     )
 
 
+def _few(texts: pa.Array, rows: int, size: int) -> Iterator[pa.Array]:
+    """Stretches of at most so many texts, and of so many bytes if one text is not larger."""
+    length = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(length, dtype=np.int64), 0
+    while start < len(texts):
+        full = np.searchsorted(ends, ends[start] - length[start] + size, "right")
+        stop = max(start + 1, min(start + rows, int(full)))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
 def _unit_vectors(embed: Callable[[list[str]], np.ndarray], batch: int):
     """A function's vectors in double precision, so that they are rounded once, when they are stored."""
 
     @F.arrow_udf("array<double>")
     def run(texts: pa.Array) -> pa.Array:
         flat, ends = [np.empty(0)], [np.zeros(1, np.int32)]
-        for start in range(0, len(texts), batch):
-            found = np.asarray(embed(texts.slice(start, batch).to_pylist()), dtype="float64")
+        for few in _few(texts, batch, EMBED_BYTES):
+            found = np.asarray(embed(few.to_pylist()), dtype="float64")
             norms = np.linalg.norm(found, axis=1, keepdims=True)
             flat.append((found / np.where(norms == 0, 1, norms)).ravel())
             ends.append(ends[-1][-1] + np.arange(1, len(found) + 1, dtype=np.int32) * found.shape[1])

@@ -336,6 +336,26 @@ def test_supplied_embedder(spark):
         assert r["embedding"] == pytest.approx(list(np.array([n, 1.0]) / np.hypot(n, 1)), abs=1e-6)
 
 
+def test_long_texts_are_embedded_few_at_a_time(spark):
+    """Texts of any length meet the function in bounded bytes, each once and in order."""
+    asked = []
+
+    def embed(texts):
+        asked.append(texts)
+        return np.array([[len(t or ""), 1] for t in texts])
+
+    texts = [c * n for c, n in zip("abcdefgh" * 25, [3 << 20, 0, 5, 700_000, 900_000, 1 << 20, 40, 2] * 25)]
+    texts[1] = None
+    found = vectors._unit_vectors(embed, vectors.EMBED_BATCH).func(pa.array(texts))
+    assert [t for few in asked for t in few] == texts
+    assert max(sum(len(t or "") for t in few) for few in asked if len(few) > 1) <= 2 << 20
+    want = np.array([[len(t or ""), 1] for t in texts])
+    assert np.allclose(found.to_pylist(), want / np.linalg.norm(want, axis=1, keepdims=True))
+    asked.clear()
+    assert len(vectors._unit_vectors(embed, 64).func(pa.array(["x"] * 130))) == 130
+    assert [len(few) for few in asked] == [64, 64, 2]
+
+
 @pytest.mark.parametrize("part", [[], [0]])
 def test_supplied_vectors_are_rounded_once(spark, part):
     """Counts over their norm, rounded to single precision from double."""
