@@ -11,6 +11,7 @@ from array import array
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,7 +101,14 @@ def _stripped(held: Broadcast):
         def kept(word: re.Match) -> str:
             return word[0] if word[0].lower() in known else ""
 
-        return pa.array((pattern.sub(kept, t.as_py()) if t.is_valid else None for t in texts), pa.string())
+        # Texts are written one behind the other, so that a batch is not held as a list of them besides.
+        whole, ends = bytearray(), array("i", [0])
+        for text in texts:
+            if text.is_valid:
+                whole += pattern.sub(kept, text.as_py()).encode()
+            ends.append(len(whole))
+        valid = pc.is_valid(texts).buffers()[1] if texts.null_count else None
+        return pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(whole), valid, texts.null_count)
 
     return strip
 

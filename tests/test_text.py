@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from types import SimpleNamespace
 
 import pyarrow as pa
@@ -197,6 +198,33 @@ def test_gibberish_ratio_takes_no_words_out_of_python(spark):
     assert "places" not in plan and ".bad" in plan
 
 
+def test_gibberish_is_counted_in_bounded_memory(spark):
+    """No list of a text's words or of their places is made; words are counted one by one."""
+    count = cleaning._words_counted(SimpleNamespace(value=frozenset({"the"}))).func
+    batch = pa.array(["the zzqx " * 200_000, None, "the", ""])
+    tracemalloc.start()
+    found = count(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.to_pylist() == [{"bad": b, "words": w} for b, w in ((200_000, 400_000), (0, 0), (0, 1), (0, 0))]
+    assert peak < 5e6
+
+
+def test_texts_are_stripped_into_one_buffer(spark):
+    """A batch of stripped texts is held once, not as a list of strings and as an array."""
+    strip = cleaning._stripped(SimpleNamespace(value=frozenset({"the"}))).func
+    batch = pa.array([None, "the zzqx, été.", "", *["the zzqx 12 " * 1_000] * 1_000, None]).slice(1)
+    held = pa.total_allocated_bytes()
+    tracemalloc.start()
+    found = strip(batch)
+    peak = tracemalloc.get_traced_memory()[1] + pa.total_allocated_bytes() - held
+    tracemalloc.stop()
+    found.validate(full=True)
+    assert found.to_pylist() == ["the , éé.", "", *["the  12 " * 1_000] * 1_000, None]
+    assert peak < 1.6 * 8_000_000
+    assert strip(pa.array([], pa.string())).to_pylist() == []
+
+
 def test_clean_turns(spark, turns_of):
     lexicon = spark.createDataFrame(list(KNOWN.items()), "token string, zipf double")
     turns = turns_of(
